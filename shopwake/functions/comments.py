@@ -47,10 +47,10 @@ def gbk_text(column: pd.Series) -> pd.Series:
 
 
 def lookup(key: Column, table: dict, default) -> Column:
-    out = F.lit(default)
+    out = F
     for k, v in table.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
+        out = out.when(key == k, F.lit(v))
+    return out.otherwise(F.lit(default))
 
 
 def report_level(comment: Column) -> Column:

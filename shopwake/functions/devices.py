@@ -46,10 +46,9 @@ def contains_any(text: Column, fragments) -> Column:
 
 def first_match(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """Name of the first entry with a fragment inside ``text``, else null."""
-    out = None
+    out = F
     for name, fragments in table.items():
-        hit = contains_any(text, fragments)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = out.when(contains_any(text, fragments), name)
     return out
 
 

@@ -55,19 +55,21 @@ def valid_birthday(birthday: Column) -> Column:
 
 
 def decade(year: Column) -> Column:
-    label = F.lit(OTHER_DECADE)
+    label = F
     for first, name in DECADES.items():
-        label = F.when(year.between(first, first + 9), name).otherwise(label)
-    return label
+        label = label.when(year.between(first, first + 9), name)
+    return label.otherwise(OTHER_DECADE)
 
 
 def zodiac(month: Column, day: Column) -> Column:
     """Sign of a month and day; the year starts in the last sign."""
     mmdd = month * 100 + day
-    sign = F.when(month.between(1, 12) & day.between(1, 31), F.lit("摩羯"))
-    for name, (m, d) in ZODIAC_STARTS.items():
-        sign = F.when(sign.isNotNull() & (mmdd >= m * 100 + d), name).otherwise(sign)
-    return F.coalesce(sign, F.lit(UNKNOWN_SIGN))
+    sign = F.when(
+        ~F.coalesce(month.between(1, 12) & day.between(1, 31), F.lit(False)), UNKNOWN_SIGN
+    )
+    for name, (m, d) in reversed(ZODIAC_STARTS.items()):
+        sign = sign.when(mmdd >= m * 100 + d, name)
+    return sign.otherwise(next(reversed(ZODIAC_STARTS)))
 
 
 def sign_label(sign: Column) -> Column:
@@ -77,10 +79,10 @@ def sign_label(sign: Column) -> Column:
 
 
 def gender_label(code: Column) -> Column:
-    label = F.lit(UNKNOWN_GENDER)
+    label = F
     for value, name in GENDERS.items():
-        label = F.when(code == value, name).otherwise(label)
-    return label
+        label = label.when(code == value, name)
+    return label.otherwise(UNKNOWN_GENDER)
 
 
 def age_on(birthday: Column, as_of: Column) -> Column:

@@ -157,10 +157,10 @@ LATE_PERIOD, NO_PERIOD, NO_LOGIN = "晚上(18-24)", "未知", "无登录"
 
 
 def day_period(last_hour):
-    label = F.lit(LATE_PERIOD)
-    for upper, name in sorted(PERIODS.items(), reverse=True):
-        label = F.when(last_hour <= upper, name).otherwise(label)
-    return F.when(last_hour.isNull(), NO_PERIOD).otherwise(label)
+    label = F.when(last_hour.isNull(), NO_PERIOD)
+    for upper, name in PERIODS.items():
+        label = label.when(last_hour <= upper, name)
+    return label.otherwise(LATE_PERIOD)
 
 
 def user_portraits(logs: DataFrame, width: str | None = "30 seconds") -> DataFrame:

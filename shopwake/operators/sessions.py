@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import times
-from .ordered import DEFAULT_SLICE_MS, ordered_scan
+from .ordered import DEFAULT_SLICE_MS, segments
 
 GAP_MS = 30 * times.MINUTE_MS
 MAX_BOUNCE_EVENTS = 2
@@ -28,26 +28,22 @@ def visit_events(logs: DataFrame) -> DataFrame:
 def with_sessions(
     events: DataFrame, gap_ms: int = GAP_MS, slice_ms: int = DEFAULT_SLICE_MS
 ) -> DataFrame:
-    """Add ``session_start`` (epoch ms of the session's first event).
+    """Add ``session_start`` (epoch ms of the session's first event) and
+    ``step``, the event's number inside its session.
 
     A gap longer than ``gap_ms`` opens a new session; an equal gap does not.
     """
-    order = ["ts", "log_id"]
-    scanned = ordered_scan(
-        events.withColumn("_at", F.col("ts")),
+    cut = segments(
+        events,
         ["user_id"],
-        order,
-        previous=["_at"],
+        ["ts", "log_id"],
+        ["ts"],
+        lambda before, now: now["ts"] - before["ts"] > gap_ms,
+        start="_start",
+        step="step",
         slice_ms=slice_ms,
     )
-    opens = F.col("prev__at").isNull() | (F.col("ts") - F.col("prev__at") > gap_ms)
-    return ordered_scan(
-        scanned.withColumn("_opens", F.when(opens, F.col("ts"))),
-        ["user_id"],
-        order,
-        latest={"session_start": F.col("_opens")},
-        slice_ms=slice_ms,
-    ).drop("_at", "prev__at", "_opens")
+    return cut.withColumn("session_start", F.col("_start.ts")).drop("_start")
 
 
 def session_metrics(sessions: DataFrame, zone: str = times.DEFAULT_ZONE) -> DataFrame:
@@ -93,7 +89,6 @@ def session_paths(
     sessions: DataFrame,
     zone: str = times.DEFAULT_ZONE,
     steps_per_part: int = STEPS_PER_PART,
-    slice_ms: int = DEFAULT_SLICE_MS,
 ) -> DataFrame:
     """Ordered steps of each session as JSON.
 
@@ -101,14 +96,6 @@ def session_paths(
     needs, none longer than ``steps_per_part``, so no list grows unbounded.
     Ordinary sessions have the single part 0.
     """
-    order = ["ts", "log_id"]
-    numbered = ordered_scan(
-        sessions,
-        ["user_id", "session_start"],
-        order,
-        sums={"step": F.lit(1).cast("bigint")},
-        slice_ms=slice_ms,
-    )
     step = F.struct(
         "step",
         "page",
@@ -117,7 +104,7 @@ def session_paths(
     )
     part = F.floor((F.col("step") - 1) / steps_per_part).cast("int")
     listed = (
-        numbered.groupBy("user_id", "session_start", part.alias("path_part"))
+        sessions.groupBy("user_id", "session_start", part.alias("path_part"))
         .agg(F.array_sort(F.collect_list(step)).alias("steps"))
     )
     shown = F.transform(

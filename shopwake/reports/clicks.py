@@ -497,7 +497,9 @@ def _sessions(t: Tables):
 
 @report(
     "w3_session_split",
-    _VISITS + "SELECT user_id, ts, log_id, page, action, session_start FROM ss",
+    _VISITS
+    + """SELECT user_id, ts, log_id, page, action, session_start,
+  row_number() OVER (PARTITION BY user_id, session_start ORDER BY ts, log_id) AS step FROM ss""",
 )
 def w3(t):
     return _sessions(t)

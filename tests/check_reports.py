@@ -29,9 +29,11 @@ def main() -> int:
     for name, r in REPORTS.items():
         if wanted and not any(w in name for w in wanted):
             continue
-        begun = time.time()
+        begun, spent = time.time(), 0.0
         try:
-            df = r(spark, sf_dir)
+            df = r(spark, sf_dir).cache()
+            df.count()
+            spent = time.time() - begun
             if r.sql is None:
                 text = f"rows only: {df.count()}"
                 ok = True
@@ -43,7 +45,7 @@ def main() -> int:
             if wanted:
                 traceback.print_exc()
         bad += not ok
-        print(f"{'ok ' if ok else 'BAD'} {name} {time.time() - begun:.2f}s {text[:1500]}", flush=True)
+        print(f"{'ok ' if ok else 'BAD'} {name} spark {spent:.2f}s all {time.time() - begun:.2f}s {text[:1500]}", flush=True)
     print(f"{bad} bad")
     return bad
 
