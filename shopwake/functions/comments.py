@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from .devices import contains_any
+
 # Words of the two report levels; p1 is looked up first.
 P1_WORDS = (
     "政治", "反动", "色情", "黄赌毒", "毒品", "颠覆", "港独", "台独",
@@ -57,8 +59,8 @@ def report_level(comment: Column) -> Column:
     """p1, p2 or p3 by the words inside a comment; a missing comment is p3."""
     text = F.lower(comment)
     return (
-        F.when(text.rlike("|".join(P1_WORDS)), "p1")
-        .when(text.rlike("|".join(P2_WORDS)), "p2")
+        F.when(contains_any(text, P1_WORDS), "p1")
+        .when(contains_any(text, P2_WORDS), "p2")
         .otherwise("p3")
     )
 
@@ -67,13 +69,13 @@ def register_sql_functions(spark: SparkSession) -> None:
     """``gbk_decode`` and ``comment_level`` for use inside SQL text."""
     spark.udf.register("gbk_decode", gbk_text)
 
-    def alternation(words):
-        return "|".join(words)
+    def any_of(words):
+        return " OR ".join(f"contains(lower(c), '{w}')" for w in words)
 
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION comment_level(c STRING) RETURNS STRING "
-        f"RETURN CASE WHEN lower(c) RLIKE '{alternation(P1_WORDS)}' THEN 'p1' "
-        f"WHEN lower(c) RLIKE '{alternation(P2_WORDS)}' THEN 'p2' ELSE 'p3' END"
+        f"RETURN CASE WHEN {any_of(P1_WORDS)} THEN 'p1' "
+        f"WHEN {any_of(P2_WORDS)} THEN 'p2' ELSE 'p3' END"
     )
 
 

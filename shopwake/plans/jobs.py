@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import changes as C
+from ..functions import comments as M
+from ..operators import changes as C, joins, lexicon as lexicon_ops, moderation
+from ..sources.staging import staged
 
 
 def as_lines(rows: DataFrame) -> DataFrame:
@@ -16,3 +18,51 @@ def as_lines(rows: DataFrame) -> DataFrame:
 def change_feed_lines(changes: DataFrame) -> DataFrame:
     """Change envelopes to flat text records."""
     return as_lines(C.flatten(changes))
+
+
+def moderate(
+    comments: DataFrame,
+    lexicon: DataFrame,
+    users: DataFrame | None = None,
+    key: str = "comment_id",
+    stage: bool = True,
+) -> DataFrame:
+    """Comment rows to moderation results.
+
+    ``comments`` holds ``key``, order_id, user_id, product_id, total_amount
+    (text), ds, ts and comment. Detection and amounts read every text once;
+    the result is staged because the user history needs it twice.
+    """
+    rows = comments.filter(M.not_blank(F.col("comment"))).withColumn(
+        "amount", M.amount(F.col("total_amount"), F.col("comment"))
+    )
+    detected = lexicon_ops.with_detection(rows, lexicon, key)
+    if stage:
+        detected = staged(detected, "moderated")
+    judged = moderation.with_history(detected, key).withColumn(
+        "triggered_keyword",
+        M.triggered_keyword(F.col("found"), F.col("sensitive_level")),
+    )
+    result = judged.withColumns(
+        {
+            "ban_days": M.ban_days(F.col("sensitive_level")),
+            "action": M.action(F.col("sensitive_level")),
+            "result": M.result_json(),
+        }
+    )
+    return result if users is None else joins.with_user_defaults(result, users)
+
+
+def portrait_rows(orders: DataFrame) -> DataFrame:
+    """Order rows with repaired names and comment level, typed for the sink."""
+    return orders.select(
+        "order_id",
+        "user_id",
+        "product_id",
+        M.gbk_text("product_name").alias("product_name"),
+        M.gbk_text("product_class").alias("product_class"),
+        F.col("ds").try_cast("bigint").alias("ds"),
+        F.col("ts").try_cast("bigint").alias("ts"),
+        "comment",
+        M.report_level(F.col("comment")).alias("comment_level"),
+    )
