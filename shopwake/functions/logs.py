@@ -98,7 +98,8 @@ def page_types_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col("log_type").isin(*PAGE_TYPES))
 
 
-def _cleaned(items: Column) -> Column:
+def clean_keywords(items: Column) -> Column:
+    """Trimmed words without blanks and ``null`` texts."""
     trimmed = F.transform(items, lambda w: F.trim(w))
     return F.filter(trimmed, lambda w: w.isNotNull() & (w != "") & (w != "null"))
 
@@ -108,7 +109,7 @@ def keyword_list(raw: Column | str) -> Column:
     text = F.col(raw) if isinstance(raw, str) else raw
     as_array = F.from_json(text, "array<string>")
     as_split = F.split(text, ",")
-    return _cleaned(
+    return clean_keywords(
         F.when(F.ltrim(text).startswith("["), as_array).otherwise(as_split)
     )
 
@@ -117,6 +118,6 @@ def search_keywords(df: DataFrame, keywords: str = "keywords") -> DataFrame:
     """One row per keyword of each search log; blanks are dropped."""
     return (
         df.filter(F.col("log_type") == "search")
-        .withColumn("keyword", F.explode(_cleaned(F.col(keywords))))
+        .withColumn("keyword", F.explode(clean_keywords(F.col(keywords))))
         .drop(keywords)
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import times
-from .ordered import DEFAULT_SLICE_MS, ordered_scan, segments
+from .ordered import ordered_scan, segments
+from .shares import device_sets, user_devices
 
 # No join here carries a broadcast hint: Spark broadcasts a side whose size it
 # has checked against its threshold and splits skewed keys otherwise.
@@ -54,3 +55,225 @@ def interval_join(
         right,
         (F.col("order_id") == F.col("_order")) & (F.col("_bucket") == F.col("_at")) & near,
     ).drop("_bucket", "_order", "_at")
+
+
+# --- comments and logs of a user, in order of arrival -----------------------
+#
+# Arrival order is (ts, comment before log, id). A log meets the comment that
+# is current when it arrives; a comment meets logs that came before it.
+
+AT = ["at_ts", "at_tag", "at_id"]
+
+
+def timeline(comments: DataFrame, logs: DataFrame) -> DataFrame:
+    """Both inputs of each user on one line.
+
+    ``comments``: user_id, ts, comment_id and small columns (all are carried
+    along with later logs, so leave long texts out). ``logs``: user_id, ts,
+    log_id, brand, plat and others. Adds per row ``current`` (newest comment
+    so far), ``log_no`` (logs so far) and ``device_count`` (devices so far).
+    """
+    comments = comments.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
+    logs = logs.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
+    comment = F.struct(*[c for c in comments.columns if c != "user_id"])
+    log = F.struct(*[c for c in logs.columns if c != "user_id"])
+
+    first_seen = user_devices(logs).select(
+        "user_id", F.col("log_id").alias("_first"), F.lit(1).alias("new_device")
+    )
+    marked = logs.join(
+        first_seen.withColumnRenamed("user_id", "_user"),
+        (F.col("user_id") == F.col("_user")) & (F.col("log_id") == F.col("_first")),
+        "left",
+    )
+    left = comments.select(
+        "user_id",
+        F.col("ts").alias("at_ts"),
+        F.lit(0).alias("at_tag"),
+        F.col("comment_id").cast("string").alias("at_id"),
+        comment.alias("comment"),
+        F.lit(0).alias("new_device"),
+    )
+    right = marked.select(
+        "user_id",
+        F.col("ts").alias("at_ts"),
+        F.lit(1).alias("at_tag"),
+        F.col("log_id").cast("string").alias("at_id"),
+        log.alias("log"),
+        F.coalesce("new_device", F.lit(0)).alias("new_device"),
+    )
+    line = left.unionByName(right, allowMissingColumns=True)
+    return ordered_scan(
+        line,
+        ["user_id"],
+        AT,
+        sums={
+            "log_no": F.col("at_tag").cast("bigint"),
+            "device_count": F.col("new_device").cast("bigint"),
+        },
+        latest={"current": F.col("comment")},
+    ).drop("new_device")
+
+
+def coverage(line: DataFrame) -> DataFrame:
+    """Which pairs exist when a comment meets all earlier logs of its user.
+
+    Writing those pairs out grows with the square of a user's rows, so they
+    are given as ranges: a comment meets the logs numbered 1 to
+    ``earlier_logs``, a log meets the comment ``current_comment``.
+    """
+    is_log = F.col("at_tag") == 1
+    return line.select(
+        "user_id",
+        *AT,
+        F.when(is_log, F.col("log_no")).alias("log_no"),
+        F.when(is_log, F.col("current.comment_id")).alias("current_comment"),
+        F.when(~is_log, F.col("log_no")).alias("earlier_logs"),
+    )
+
+
+def comment_log_pairs(line: DataFrame, buffer: int = LOG_BUFFER) -> DataFrame:
+    """Pairs of the newest comment with each log, and of each comment with the
+    ``buffer`` logs before it.
+
+    ``line`` is a staged :func:`timeline`; it is read for logs and for
+    comments. Logs are joined by (user, block of ``buffer`` logs): a comment
+    needs at most two blocks and a block never holds more than ``buffer``
+    rows, however busy the user is.
+    """
+    on_arrival = line.filter((F.col("at_tag") == 1) & F.col("current").isNotNull()).select(
+        "user_id",
+        *AT,
+        "device_count",
+        F.col("current").alias("comment"),
+        "log",
+        F.col("log_no"),
+    )
+    last, first = F.col("log_no"), F.greatest(F.col("log_no") - buffer + 1, F.lit(1))
+
+    def block(n):
+        return F.floor((n - 1) / buffer)
+
+    waiting = (
+        line.filter((F.col("at_tag") == 0) & (F.col("log_no") > 0))
+        .select(
+            "user_id",
+            *AT,
+            "device_count",
+            "comment",
+            first.alias("_first"),
+            last.alias("_last"),
+            F.explode(F.array_distinct(F.array(block(first), block(last)))).alias("_block"),
+        )
+    )
+    stored = line.filter(F.col("at_tag") == 1).select(
+        F.col("user_id").alias("_user"),
+        block(F.col("log_no")).alias("_at"),
+        "log",
+        "log_no",
+    )
+    met = waiting.join(
+        stored,
+        (F.col("user_id") == F.col("_user"))
+        & (F.col("_block") == F.col("_at"))
+        & F.col("log_no").between(F.col("_first"), F.col("_last")),
+    )
+    return on_arrival.unionByName(met.select(*on_arrival.columns))
+
+
+def with_device_list(pairs: DataFrame, logs: DataFrame) -> DataFrame:
+    """Add the devices a user had shown when the pair was made."""
+    lists = device_sets(logs.filter(F.col("user_id").isNotNull()))
+    joined = pairs.join(lists, "user_id", "left")
+    known = F.slice("devices", F.lit(1), F.col("device_count").cast("int"))
+    return joined.withColumn("devices", known)
+
+
+def with_user_info(pairs: DataFrame, users: DataFrame) -> DataFrame:
+    """Pairs of users with a profile row, joined to its latest version.
+
+    ``users`` has one row per user; its columns come back as ``user_info``.
+    """
+    info = users.select(
+        F.col("user_id").alias("_user"), F.struct(*users.columns).alias("user_info")
+    )
+    return pairs.join(info, F.col("user_id") == F.col("_user")).drop("_user")
+
+
+# Log types that are always reported, and the longest silence.
+IMPORTANT_TYPES = ("payment", "login", "purchase", "checkout", "order", "search")
+SILENCE_MS = 60 * times.SECOND_MS
+EMISSION = [*AT, "log_no"]
+
+
+def _later_emissions(batches):
+    """Sorted rows of runs to those more than the silence after the last one."""
+    run, last = None, None
+    for rows in batches:
+        keep = []
+        for name, anchor, ts in zip(rows["run"], rows["anchor"], rows["at_ts"]):
+            if name != run:
+                run, last = name, anchor
+            chosen = ts - last > SILENCE_MS
+            if chosen:
+                last = ts
+            keep.append(chosen)
+        yield rows[keep]
+
+
+def significant(pairs: DataFrame) -> DataFrame:
+    """Drop pairs that bring nothing new.
+
+    A pair is reported if it is the user's first, its type is important, its
+    type or the device set differs from the last report, or the last report is
+    more than a minute old. The device set only grows and an unreported pair
+    has the type of the last report, so all conditions but the minute compare
+    with the row before and cut the user into runs that start with a report.
+    Inside a run only rows more than a minute after its start can be reported;
+    those few are walked in order, run by run.
+    """
+    shown = pairs.withColumns(
+        {"_type": F.lower(F.col("log.log_type")), "_ms": F.col("at_ts")}
+    )
+    cut = segments(
+        shown,
+        ["user_id"],
+        EMISSION,
+        ["_type", "device_count", "_ms"],
+        lambda before, now: now["_type"].isin(*IMPORTANT_TYPES)
+        | ~now["_type"].eqNullSafe(before["_type"])
+        | (now["device_count"] != before["device_count"])
+        | (now["_ms"] - before["_ms"] > SILENCE_MS),
+        start="_run",
+        step="_step",
+    )
+    anchor = F.col("_run.at_ts")
+    late = cut.filter((F.col("_step") > 1) & (F.col("at_ts") - anchor > SILENCE_MS))
+    run = F.concat_ws("|", "user_id", *[F.col(f"_run.{c}") for c in EMISSION])
+    # Of several rows at one instant only the first can be reported.
+    instants = late.groupBy(run.alias("run"), anchor.alias("anchor"), "user_id", "at_ts").agg(
+        F.min(F.struct(*EMISSION)).alias("_row")
+    )
+    walked = (
+        instants.select("run", "anchor", "user_id", "at_ts", "_row.at_tag", "_row.at_id", "_row.log_no")
+        .repartition("run")
+        .sortWithinPartitions("run", "at_ts")
+    )
+    chosen = walked.mapInPandas(_later_emissions, walked.schema).select("user_id", *EMISSION)
+    reported = cut.filter(F.col("_step") == 1).unionByName(
+        cut.join(chosen, ["user_id", *EMISSION], "left_semi").select(*cut.columns)
+    )
+    return reported.drop("_type", "_ms", "_run", "_step")
+
+
+def recent(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The newest ``n`` rows of each key. The limit applies before the shuffle
+    too, so a busy key sends ``n`` rows per task."""
+    newest = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
+    return rows.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The newest row of each key."""
+    newest = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(key).agg(newest.alias("_row")).select("_row.*")

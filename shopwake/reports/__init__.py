@@ -1,4 +1,4 @@
 """Importing this package fills the registry."""
 
-from . import clicks, records, remarks, sales  # noqa: F401
+from . import clicks, pairs, records, remarks, sales  # noqa: F401
 from .registry import REPORTS  # noqa: F401
