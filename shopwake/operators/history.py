@@ -43,7 +43,8 @@ def search_history(
     """Keywords of each user's last searches, oldest first.
 
     ``search_keywords`` all of them in order, ``shown_keywords`` the first
-    distinct ones; counts are over the kept searches.
+    distinct ones; counts are over the kept searches. Categories are worked
+    out here, once per user, not per joined row.
     """
     searches = (
         logs.filter((F.col("log_type") == "search") & F.col("user_id").isNotNull())
@@ -65,6 +66,8 @@ def search_history(
         F.size(distinct).alias("unique_search_count"),
         F.size("records").alias("search_sessions"),
         times.local_datetime(F.element_at("records", -1)["ts"], zone).alias("last_search_time"),
+        P.category_counts(F.col("search_keywords")).alias("category_analysis"),
+        P.preferences(F.col("search_keywords")).alias("preferences"),
     )
 
 

@@ -35,7 +35,8 @@ def profile_rows(
     pairs = J.with_user_info(J.comment_log_pairs(line, buffer), users)
     if only_significant:
         pairs = J.significant(staged(pairs, "pairs"))
-    logins, searches = H.login_history(logs), H.search_history(logs)
+    logins = H.login_history(logs)
+    searches = H.search_history(logs).drop("search_keywords")
     return (
         J.with_device_list(pairs, logs)
         .join(logins, "user_id", "left")
@@ -95,7 +96,8 @@ def current_profile(rows: DataFrame, as_of: str) -> DataFrame:
         .when(device_count == 1, "single_device")
         .otherwise("unknown")
     )
-    liked = P.preferences(_listed("search_keywords"))
+    no_words = F.array().cast("array<string>")
+    liked = F.coalesce("preferences", P.preferences(no_words))
     ids = P.order_ids(comment["order_id"], log["order_id"])
     frequency = F.when(F.col("search_sessions") == 0, "none").otherwise(
         P.search_frequency(F.col("search_count"))
@@ -132,7 +134,7 @@ def current_profile(rows: DataFrame, as_of: str) -> DataFrame:
             F.col("search_sessions"),
             F.coalesce("last_search_time", F.lit("")).alias("last_search_time"),
             frequency.alias("search_frequency"),
-            P.category_counts(_listed("search_keywords")).alias("category_analysis"),
+            F.coalesce("category_analysis", P.category_counts(no_words)).alias("category_analysis"),
         ),
         "category_preferences": F.struct(
             liked["categories"].alias("browsed_categories"),
@@ -181,11 +183,17 @@ def current_profile(rows: DataFrame, as_of: str) -> DataFrame:
     return shown.withColumn("profile", F.to_json(F.struct(*fields)))
 
 
-def first_profile(rows: DataFrame, as_of: str, zone: str = times.DEFAULT_ZONE) -> DataFrame:
+def first_profile(
+    rows: DataFrame, texts: DataFrame, as_of: str, zone: str = times.DEFAULT_ZONE
+) -> DataFrame:
     """First profile form: user info, statistics of the record, search info.
 
-    ``as_of`` (yyyy-MM-dd HH:mm:ss) stands for the wall clock.
+    ``as_of`` (yyyy-MM-dd HH:mm:ss) stands for the wall clock. ``texts``
+    (comment_id, comment) joins the comment texts only here, so that the
+    joins and scans before never move them.
     """
+    words = texts.select(F.col("comment_id").alias("_id"), F.col("comment").alias("_text"))
+    rows = rows.join(words, F.col("comment.comment_id") == F.col("_id"), "left")
     comment, log = F.col("comment"), F.col("log")
     now = F.lit(as_of)
     day = F.substring(now, 1, 10)
@@ -244,6 +252,7 @@ def first_profile(rows: DataFrame, as_of: str, zone: str = times.DEFAULT_ZONE) -
                 F.struct(
                     F.coalesce(comment["sensitive_level"], F.lit("")).alias("sensitive_level"),
                     blocked.alias("is_insulting"),
+                    F.coalesce("_text", F.lit("")).alias("comment"),
                     F.coalesce(comment["product_id"], F.lit("")).alias("product_name"),
                     comment_time.alias("timestamp"),
                 )

@@ -56,7 +56,8 @@ fl AS (SELECT user_id, string_agg(keyword, ',' ORDER BY r) FILTER (WHERE r <= 50
 FROM k JOIN fl ON fl.user_id = k.user_id GROUP BY k.user_id""",
 )
 def a24(t):
-    return H.search_history(_known(t)).withColumns(
+    listed = H.search_history(_known(t)).drop("category_analysis", "preferences")
+    return listed.withColumns(
         {
             "search_keywords": F.array_join("search_keywords", ","),
             "shown_keywords": F.array_join("shown_keywords", ","),
@@ -100,7 +101,7 @@ SELECT user_id, ltrim(c, ',') AS categories,
    + 0.2 * (CAST(contains(c, 'pants') AS INTEGER) + CAST(contains(c, 'tops') AS INTEGER)), 10)) AS DOUBLE) AS score FROM pf""",
 )
 def p46(t):
-    liked = P.preferences(F.col("search_keywords"))
+    liked = F.col("preferences")
     return H.search_history(_known(t)).select(
         "user_id", F.array_join(liked["categories"], ",").alias("categories"), liked["score"].alias("score")
     )
@@ -248,7 +249,8 @@ def _profile_rows(t: Tables):
 
 @report("q8_profiles_first_form")
 def q8(t):
-    done = profiles.first_profile(_profile_rows(t), "2025-10-23 12:00:00")
+    texts = t.comments.select(F.col("doc_id").alias("comment_id"), "comment")
+    done = profiles.first_profile(_profile_rows(t), texts, "2025-10-23 12:00:00")
     return done.select("userid", *PR.J.EMISSION, "profile")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.streams import stored_table
+
 STORED = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -233,12 +235,24 @@ class Tables:
             return self.spark.sql(text, **sources)
         raise AttributeError(name)
 
+    def streaming(self, name: str) -> DataFrame:
+        """A derived table over streams of the stored ones."""
+        return StreamTables(self.spark, self.sf_dir).__getattr__(name)
+
     def lexicon(self) -> DataFrame:
         return self.spark.createDataFrame(
             list(LEXICON.items()), "word string, level string"
         )
 
 
+class StreamTables(Tables):
+    """The same tables, read as streams."""
+
+    def stored(self, name: str) -> DataFrame:
+        schema = super().stored(name).schema
+        return stored_table(self.spark, self.sf_dir, f"{name}.parquet", schema)
+
+
 def _reference(text: str, source: str) -> str:
     for keyword in ("FROM", "JOIN"):
         text = text.replace(f"{keyword} {source}", f"{keyword} {{{source}}}")
