@@ -39,10 +39,13 @@ def ntz_ms(ts: Column | str) -> Column:
 
 
 def local_time(ms: Column | str, zone: str = DEFAULT_ZONE) -> Column:
-    """Wall-clock time of an instant in ``zone``; independent of the session zone."""
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    instant = F.timestamp_add("MILLISECOND", _col(ms), origin)
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), instant)
+    """Wall-clock time of an instant in ``zone``, whatever the session zone.
+
+    A timestamp is shown in the session zone, so that shift is taken out first;
+    both shifts have literal zones and stay inside code generation.
+    """
+    shown_as_utc = F.to_utc_timestamp(event_time(ms), F.current_timezone())
+    return F.from_utc_timestamp(shown_as_utc, zone).cast("timestamp_ntz")
 
 
 def local_date(ms: Column | str, zone: str = DEFAULT_ZONE) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import times
+from ..sources.staging import staged
 from .ordered import DEFAULT_SLICE_MS, segments
 
 GAP_MS = 30 * times.MINUTE_MS
@@ -137,9 +138,13 @@ REPORT_COLUMNS = [
 ]
 
 
-def session_report(sessions: DataFrame, zone: str = times.DEFAULT_ZONE) -> DataFrame:
+def session_report(
+    sessions: DataFrame, zone: str = times.DEFAULT_ZONE, stage: bool = True
+) -> DataFrame:
+    """Metrics with paths. Both read the cut sessions, hence the staging."""
+    cut = staged(sessions, "sessions") if stage else sessions
     return (
-        session_metrics(sessions, zone)
-        .join(session_paths(sessions, zone), ["user_id", "session_start"])
+        session_metrics(cut, zone)
+        .join(session_paths(cut, zone), ["user_id", "session_start"])
         .select(*REPORT_COLUMNS)
     )

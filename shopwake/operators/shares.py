@@ -21,15 +21,19 @@ def new_devices(logs: DataFrame, zone: str = times.DEFAULT_ZONE) -> DataFrame:
         D.brand_name(F.col("brand")).alias("brand"),
         D.model_name(F.col("device")).alias("model"),
     )
-    known = named.filter(
+    # Unknown rows take no part through a null position, not through a filter:
+    # a filter would work out the three names a second time.
+    known = (
         (F.col("platform") != "unknown")
         & (F.col("brand") != "unknown")
         & (F.col("model") != "unknown")
     )
-    first = F.min_by(F.struct("ts", "platform", "brand", "model"), F.struct("ts", "log_id"))
+    position = F.when(known, F.struct("ts", "log_id"))
+    first = F.min_by(F.struct("ts", "platform", "brand", "model"), position)
     return (
-        known.groupBy("device_id")
+        named.groupBy("device_id")
         .agg(first.alias("first"))
+        .filter(F.col("first").isNotNull())
         .select(
             "device_id",
             times.local_date(F.col("first.ts"), zone).alias("stat_date"),

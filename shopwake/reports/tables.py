@@ -15,17 +15,23 @@ STORED = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# The generator makes ms and k columns of their own, computed once per row.
 SPARK = {
-    "ms": "unix_millis(CAST(ts AS TIMESTAMP))",
-    "k": "CAST(get_json_object(props, '$.k') AS BIGINT)",
+    "parsed_events": (
+        "events LATERAL VIEW inline(array(named_struct("
+        "'ms', unix_millis(CAST(ts AS TIMESTAMP)), "
+        "'k', CAST(get_json_object(props, '$.k') AS BIGINT)))) p AS ms, k"
+    ),
     "div": "div",
     "list": "array",
     "day": "CAST(date_add(DATE '1955-01-01', CAST({n} AS INT)) AS STRING)",
     "date_of": "CAST(CAST(timestamp_millis({n}) AS DATE) AS STRING)",
 }
 DUCK = {
-    "ms": "epoch_us(ts) // 1000",
-    "k": "CAST(json_extract_string(props, '$.k') AS BIGINT)",
+    "parsed_events": (
+        "(SELECT *, epoch_us(ts) // 1000 AS ms, "
+        "CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) p"
+    ),
     "div": "//",
     "list": "list_value",
     "day": "CAST(CAST(DATE '1955-01-01' + CAST({n} AS INTEGER) AS DATE) AS STRING)",
@@ -85,7 +91,7 @@ SELECT event_id,
        CASE WHEN k % 41 = 0 THEN NULL
             ELSE 'dev' || {_text('user_id * 4 + k % 4')} END AS userkey
 FROM (SELECT *, {_IP} AS ipn
-      FROM (SELECT event_id, event_type, user_id, %(ms)s AS ms, %(k)s AS k FROM events) e) e
+      FROM (SELECT event_id, event_type, user_id, ms, k FROM %(parsed_events)s) e) e
 """
 
 SALES = f"""
@@ -99,8 +105,8 @@ SELECT {_text('user_id')} AS id,
             WHEN 1 THEN {_text('ms')} ELSE '' END AS ts,
        ms AS insert_time,
        {_pick('event_id', 'r', '+I', '+U', 'r', '-D')} AS op
-FROM (SELECT event_id, user_id, value, %(ms)s AS ms, %(k)s AS k
-      FROM events WHERE event_type = 'purchase') e
+FROM (SELECT event_id, user_id, value, ms, k
+      FROM %(parsed_events)s WHERE event_type = 'purchase') e
 """
 
 USERS = f"""
