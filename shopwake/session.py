@@ -43,6 +43,9 @@ def build_session(
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the checkpoint folder the cluster names.
 
@@ -51,8 +54,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_roots.setdefault(context.applicationId, "")
+        if not root:
+            root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            _local_roots[context.applicationId] = root
     return f"{root.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"

@@ -170,7 +170,11 @@ class ProfileJoin(StatefulProcessor):
 def profile_stream(
     comments: DataFrame, logs: DataFrame, users: DataFrame, daily: bool = False, **options
 ) -> DataFrame:
-    """Joined rows as they become known. ``daily`` adds the timer output."""
+    """Joined rows as they become known.
+
+    ``daily`` adds the timer output; a query with timers never drains, so run
+    it with an interval trigger, not with ``availableNow``.
+    """
     return (
         tagged(comments, logs, users)
         .groupBy("user_id")
