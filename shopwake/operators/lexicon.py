@@ -209,6 +209,60 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
 
+def _joined(tokens_column: str, n: int) -> Column:
+    """Every ``n`` neighbouring tokens as one text."""
+    size = F.size(tokens_column)
+    return F.when(
+        size >= n,
+        F.transform(
+            F.sequence(F.lit(1), size - n + 1),
+            lambda i: F.array_join(F.slice(tokens_column, i, n), ""),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def _tokens_by_literal(words: list[tuple[str, str]], column: str) -> Column:
+    known = F.array(*[F.lit(w) for w, _ in words])
+    levels = F.create_map(*[F.lit(x) for pair in words for x in pair])
+    combined = F.array_intersect(F.concat(_joined(column, 3), _joined(column, 2)), known)
+    single = F.array_intersect(column, known)
+    hits = F.when(F.size(combined) > 0, combined).otherwise(single)
+    return _sorted(
+        F.transform(
+            hits,
+            lambda w: F.struct(w.alias("word"), F.try_element_at(levels, w).alias("level")),
+        )
+    )
+
+
+def _tokens_by_lookup(spark, words: list[tuple[str, str]], column: str) -> Column:
+    shared = spark.sparkContext.broadcast(tuple(words))
+
+    @F.pandas_udf(FOUND)
+    def find(lists: pd.Series) -> pd.Series:
+        known = shared.value
+        rank = _ranks(known)
+
+        def one(t):
+            combined = {
+                rank[g]
+                for n in (3, 2)
+                for g in ("".join(t[i : i + n]) for i in range(len(t) - n + 1))
+                if g in rank
+            }
+            ranks = combined or {rank[g] for g in t if g in rank}
+            return [{"word": known[r][0], "level": known[r][1]} for r in sorted(ranks)]
+
+        return lists.map(one, na_action="ignore")
+
+    return find(column)
+
+
+@lru_cache(maxsize=2)
+def _ranks(words: tuple[tuple[str, str], ...]) -> dict[str, int]:
+    return {word: rank for rank, (word, _) in enumerate(words)}
+
+
 def found_in_tokens(
     comments: DataFrame, lexicon: DataFrame, key: str, text: str = "comment"
 ) -> DataFrame:
@@ -219,17 +273,6 @@ def found_in_tokens(
     """
     # explode keeps the tokens a column of their own: cut once, used often
     cut = comments.select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
-    size = F.size("_t")
-
-    def joined(n: int) -> Column:
-        return F.when(
-            size >= n,
-            F.transform(
-                F.sequence(F.lit(1), size - n + 1),
-                lambda i: F.array_join(F.slice("_t", i, n), ""),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
     def tagged(words: Column, combined: bool) -> Column:
         return F.transform(
             F.array_distinct(words),
@@ -237,7 +280,7 @@ def found_in_tokens(
         )
 
     grams = F.concat(
-        tagged(F.concat(joined(3), joined(2)), True), tagged(joined(1), False)
+        tagged(F.concat(_joined("_t", 3), _joined("_t", 2)), True), tagged(F.col("_t"), False)
     )
     hits = (
         cut.select(key, F.inline(grams))
@@ -256,22 +299,42 @@ def found_in_tokens(
 
 
 def with_detection(
-    comments: DataFrame, lexicon: DataFrame, key: str, text: str = "comment", **sizes
+    comments: DataFrame,
+    lexicon: DataFrame,
+    key: str,
+    text: str = "comment",
+    literal_words: int = LITERAL_WORDS,
+    automaton_words: int = AUTOMATON_WORDS,
 ) -> DataFrame:
     """``found``, ``sensitive_level``, ``is_sensitive`` and ``masked_comment``.
 
-    Token joining is tried only where plain matching found nothing.
+    Token joining is tried only where plain matching found nothing. With a
+    lexicon that fits the tasks both happen row by row, so texts are read once
+    and not shuffled.
     """
-    direct = with_found(comments, lexicon, key, text, **sizes)
-    missed = direct.filter(F.size("found") == 0)
-    fallback = found_in_tokens(missed, lexicon, key, text).withColumnRenamed("found", "_more")
-    every = direct.join(fallback, key, "left").withColumn(
-        "found", F.coalesce("_more", "found")
-    )
-    return every.drop("_more").withColumns(
-        {
-            "sensitive_level": highest_level(F.col("found")),
-            "is_sensitive": F.size("found") > 0,
-            "masked_comment": masked(F.col(text), F.col("found")),
-        }
+    direct = with_found(comments, lexicon, key, text, literal_words, automaton_words)
+    words = _bounded_words(lexicon, automaton_words)
+    if words:
+        # explode keeps the tokens a column of their own: cut once, used often
+        missed = F.when(F.size("found") == 0, tokens(F.col(text)))
+        cut = direct.withColumn("_t", F.explode(F.array(missed)))
+        if len(words) <= literal_words:
+            more = F.when(F.col("_t").isNotNull(), _tokens_by_literal(words, "_t"))
+        else:
+            more = _tokens_by_lookup(comments.sparkSession, words, "_t")
+        every = cut.withColumn("_more", more).drop("_t")
+    else:
+        missed = direct.filter(F.size("found") == 0)
+        fallback = found_in_tokens(missed, lexicon, key, text)
+        every = direct.join(fallback.withColumnRenamed("found", "_more"), key, "left")
+    return (
+        every.withColumn("found", F.coalesce("_more", "found"))
+        .drop("_more")
+        .withColumns(
+            {
+                "sensitive_level": highest_level(F.col("found")),
+                "is_sensitive": F.size("found") > 0,
+                "masked_comment": masked(F.col(text), F.col("found")),
+            }
+        )
     )

@@ -206,8 +206,10 @@ def test_masks_follow_the_word_order(spark):
 def test_tokens_are_joined_only_without_a_direct_hit(spark):
     words = {"abcd": "P1", "狗东西": "P0", "xyz": "P2"}
     df = spark.createDataFrame([(1, "ab-cd"), (2, "狗 东,西"), (3, "XYZ"), (4, "xyz ab cd"), (5, "abc d e")], "id int, comment string")
-    got = {r["id"]: [w["word"] for w in r["found"]] for r in rows_of(X.with_detection(df, lexicon(spark, words), "id"))}
-    assert got == {1: ["abcd"], 2: ["狗东西"], 3: ["xyz"], 4: ["xyz"], 5: ["abcd"]}
+    for sizes in ({}, {"literal_words": 0}, {"literal_words": 0, "automaton_words": 0}):
+        detected = X.with_detection(df, lexicon(spark, words), "id", **sizes)
+        got = {r["id"]: [w["word"] for w in r["found"]] for r in rows_of(detected)}
+        assert got == {1: ["abcd"], 2: ["狗东西"], 3: ["xyz"], 4: ["xyz"], 5: ["abcd"]}, sizes
 
 
 def test_word_lists(spark, tmp_path):
