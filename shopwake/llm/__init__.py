@@ -3,5 +3,5 @@
 Importing this package fills the registry of its queries.
 """
 
-from . import corpus, passages  # noqa: F401
+from . import corpus, passages, scores  # noqa: F401
 from .queries import QUERIES, SQL  # noqa: F401
