@@ -18,7 +18,7 @@ from .text import IS_WORD, LOWER, Words, flat, list_array, mix, slices, stream
 
 SAMPLE_ROWS = 6_000  # texts the scorer is fitted on
 FEATURES = 1024
-LEAST = 200  # characters by which shares are shrunk, so that few say little
+LEAST = 200  # features of a text of so many characters count half: few say little
 LABELLERS = ("symbols", "capitals", "repeats", "bars", "marks", "variety", "sentences")
 
 # Character classes: one per ASCII sign, and one each for space, digits, capitals, others.
@@ -94,11 +94,12 @@ def features(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
         row = np.repeat(np.arange(n), np.diff(offsets))
         same = row[:-2] == row[2:]
         out[:, :-1] = np.bincount(row[:-2][same] * FEATURES + slot[same], minlength=n * FEATURES).reshape(n, FEATURES)
-    out[:, :-1] /= out[:, :-1].sum(axis=1, keepdims=True) + LEAST
+    total = out[:, :-1].sum(axis=1, keepdims=True)
+    out[:, :-1] /= np.maximum(total, 1)
     owner = np.repeat(np.arange(n), words.counts)
     again = (words.hash[1:] == words.hash[:-1]) & (owner[1:] == owner[:-1])
-    out[:, -1] = np.bincount(owner[1:][again], minlength=n) / (words.counts + LEAST / 5)
-    return np.sqrt(out)
+    out[:, -1] = np.bincount(owner[1:][again], minlength=n) / np.maximum(words.counts, 1)
+    return np.sqrt(out) * (total / (total + LEAST)).astype(np.float32)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
