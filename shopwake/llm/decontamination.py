@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import Scratch
+from .tables import Scratch, packed, with_fields
 from .text import Words, flat, slices
 
 ITEM_BYTES = 4 << 20  # item text in one automaton; more items take more passes
@@ -104,9 +104,9 @@ def _scan(shared, window: int):
                 all_hits.append(_merged(earlier[i]))
                 all_items.append(sorted({*items[i], *found}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(words.counts.astype(np.int64)),
+                [batch.column("_row"), batch.column("text"), pa.array(words.counts.astype(np.int64)),
                  pa.array(all_hits, _HIT_TYPE), pa.array(all_items, pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "hits", "items"],
+                ["_row", "text", "n_words", "hits", "items"],
             )
 
     return run
@@ -129,7 +129,7 @@ def _merged(hits: list[dict]) -> list[dict]:
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 13) -> DataFrame:
-    """One row per document: doc_id, text, n_words, ``hits`` and ``items``.
+    """The rows packed as ``_row`` and text, with n_words, ``hits`` and ``items``.
 
     ``hits`` are maximal runs of words inside occurrences of windows (first word,
     word after the last, and their places in the text in code points, end
@@ -138,7 +138,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 13) -> Da
     shorter one. Null and empty texts have no words; items without words match
     nothing; an item whose id is null marks words but is not listed. Repeated
     rows are each a row of the result, repeated items count once; empty tables
-    give no rows or no hits; other columns are ignored.
+    give no rows or no hits; other columns pass through in the struct.
 
     Items are sent to the executors in parts of up to ``ITEM_BYTES``; beyond that
     the documents pass several automata, and the result is the same.
@@ -149,16 +149,16 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 13) -> Da
     if longest and longest > ITEM_BYTES:
         raise ValueError(f"an item of {longest} bytes; {ITEM_BYTES} at most")
     parts = max(1, math.ceil(2 * (total or 0) / ITEM_BYTES))
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      F.from_json(F.lit("[]"), HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
+    rows = packed(docs)
+    schema = with_fields(rows, f"n_words long, hits {HITS}, items array<string>")
+    out = rows.select("_row", "text", F.lit(0).cast("long").alias("n_words"), F.from_json(F.lit("[]"), HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
     scratch = Scratch(spark, "benchmark")
-    kind = dict(docs.dtypes)["doc_id"]
     for part in range(parts):
         if part:
             out = scratch.keep(out, "pass")
         own = asked.where(F.expr(f"pmod(xxhash64(item, text), {parts}) = {part}")).collect()
         shared = spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in own])
-        out = out.mapInArrow(_scan(shared, window), f"doc_id {kind}, text string, n_words long, hits {HITS}, items array<string>")
+        out = out.mapInArrow(_scan(shared, window), schema)
     return out
 
 

@@ -39,7 +39,7 @@ FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN ids ON d.r = ids.r
 def _benchmark(rows, spark, sf_dir):
     hits = benchmark_hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return hits.select(
-        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.col("_row.doc_id").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
 

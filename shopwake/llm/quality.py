@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import IS_WORD, LOWER, Words, flat, list_array, mix, slices, stream
+from .tables import packed, with_fields
+from .text import Words, flat, list_array, mix, slices, stream
 
 SAMPLE_ROWS = 6_000  # texts the scorer is fitted on
 FEATURES = 1024
@@ -167,13 +168,15 @@ def _judge(shared):
             said = (votes(data, offsets, words).astype(np.int64) + 1) @ 3 ** np.arange(len(LABELLERS))
             junk = 1 / (1 + np.exp(-np.clip(features(data, offsets, words) @ w[:-1] + w[-1], -30, 30)))
             weak = posterior[np.minimum(np.searchsorted(patterns, said), len(patterns) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(1.0 - junk.astype(np.float64)), pa.array(1.0 - weak)], ["_row", "score", "weak_label"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("text"), pa.array(1.0 - junk.astype(np.float64)), pa.array(1.0 - weak)], ["_row", "text", "score", "weak_label"]
+            )
 
     return run
 
 
 def quality(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows as a struct ``_row``, with ``score`` and ``weak_label``: the
+    """The rows packed as ``_row`` and text, with ``score`` and ``weak_label``: the
     scorer's and the labellers' probability that a text is good.
 
     Vote patterns are counted over all texts (there are 3^7 at most); the scorer is
@@ -182,11 +185,11 @@ def quality(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     scored each; an empty table gives no rows; other columns pass through in the struct.
     """
     spark = docs.sparkSession
-    text = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"))
+    text = packed(docs)
     counted = text.select("text").mapInArrow(_vote_rows, "pattern long").groupBy("pattern").count().orderBy("pattern").collect()
     patterns = np.array([r.pattern for r in counted], np.int64)
     if not len(patterns):
-        return text.select("_row", F.lit(0.0).alias("score"), F.lit(0.0).alias("weak_label"))
+        return text.select("_row", "text", F.lit(0.0).alias("score"), F.lit(0.0).alias("weak_label"))
     posterior, _ = expectation_maximisation(_unpack(patterns), np.array([r["count"] for r in counted], np.float64))
     chosen = text.select("text", F.xxhash64("text").alias("tie")).orderBy("tie", "text").limit(sample_rows)
     table = chosen.mapInArrow(_sample_rows, "tie long, pattern long, x array<float>").toArrow()
@@ -194,5 +197,4 @@ def quality(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     x = np.stack(table.column("x").to_numpy())[order]
     weak = posterior[np.searchsorted(patterns, table.column("pattern").to_numpy()[order])]
     shared = spark.sparkContext.broadcast((patterns, posterior, fit(x, weak)))
-    kind = text.schema["_row"].dataType.simpleString()
-    return text.mapInArrow(_judge(shared), f"_row {kind}, score double, weak_label double")
+    return text.mapInArrow(_judge(shared), with_fields(text, "score double, weak_label double"))

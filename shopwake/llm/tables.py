@@ -1,8 +1,8 @@
-"""Tables that an operator writes for itself in the shared folder."""
+"""Tables an operator writes for itself, and rows that pass through Arrow whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import shared_dir
 
@@ -32,3 +32,19 @@ class Scratch:
         for path in self.names[begin:end]:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(conf).delete(target, True)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(_row, text): all other columns in a struct, whatever their names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(F.lit(True).alias("_"), *others).alias("_row"), F.col("text").cast("string").alias("text"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The packed ``columns`` again, in their order, and ``more``."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns), *more)
+
+
+def with_fields(rows: DataFrame, fields: str) -> T.StructType:
+    """Schema of packed rows with further fields, given as DDL."""
+    return T.StructType([*rows.select("_row", "text").schema.fields, *T.StructType.fromDDL(fields).fields])
