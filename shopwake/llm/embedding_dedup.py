@@ -51,7 +51,7 @@ def _signs(planes: int, tables: int, seed: int):
                     held[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), planes * tables))
                 at = np.flatnonzero(dims == dim)
                 up = np.stack([vectors[i] for i in at]).astype(np.float64) @ held[dim] > 0
-                codes[at] = up.reshape(len(at), tables, planes) @ (1 << np.arange(planes))
+                codes[at] = (up.reshape(len(at), tables, planes) @ (1 << np.arange(planes))) + (int(dim) << 32)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), flat], ["id", "codes"])
 
