@@ -90,6 +90,12 @@ LABELLED = """
 3 0.00 50 0.00 60 0.00 0 0 0 0 1
 8 0.00 30 0.00 40 0.10 0 0 0 0 1
 2 0.00 45 0.00 30 0.00 0 0 0 0 1
+50 0.00 50 0.00 2 1.00 0 0 0 0 1
+1000 0.00 0 0.00 0 0.00 0 0 0 0 1
+60 0.00 1 1.00 1 1.00 0 0 0 0 1
+25 0.05 3 1.00 0 0.00 0 0 0 0 1
+45 0.00 5 0.00 4 0.80 0 0 0 0 1
+90 0.20 20 1.00 9 0.90 0 0 0 0 1
 5 0.00 90 0.00 2 1.00 0 0 0 0 0
 4 0.00 2 1.00 3 1.00 0 0 0 0 0
 3 0.00 1 1.00 2 0.00 0 0 0 0 0
