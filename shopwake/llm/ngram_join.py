@@ -23,6 +23,7 @@ from .text import Words, distinct, flat, list_array, mix, shingles, slices, stre
 
 TILE = 1024  # classes compared at once with as many others
 COLUMNS = 4096  # n-grams of a tile counted at once
+SIEVE_WORDS = 1 << 20  # of 64 bits
 
 
 def banding(similarity: float, recall: float, rows: int = 6) -> tuple[int, int]:
@@ -64,14 +65,34 @@ def _signatures(words: int, bands: int, rows: int):
     return run
 
 
-def _full_sets(words: int):
+def _full_sets(words: int, sieve):
+    """Sets of the rows whose hash the sieve may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(*_sets(batch, words))], ["id", "grams"])
+            h = batch.column("h").to_numpy().view(np.uint64)
+            bits = sieve.value[(h % np.uint64(SIEVE_WORDS)).astype(np.int64)] >> (h >> np.uint64(58))
+            batch = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("doc_id", "t1", "t2")), list_array(*_sets(batch, words))], ["doc_id", "t1", "t2", "grams"]
+                )
 
     return run
 
 
+def _sieve(rows: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ``rows``: 8 MB at most, whatever their number. With
+    very many rows most bits are set and it lets through more; a join follows."""
+    h = F.xxhash64("least", "t1")
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
+    words = rows.select(h.alias("h")).select(F.expr(f"pmod(h, {SIEVE_WORDS})").alias("word"), bit.alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(SIEVE_WORDS, np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def shared(sets: list[np.ndarray]) -> np.ndarray:
     """How many members each two sets share, by products of 0/1 columns."""
     m = len(sets)
@@ -169,10 +190,12 @@ def _classes(docs: DataFrame, words: int, similarity: float, recall: float, scra
     edges = spots.join(heads, "spot").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     cands = scratch.keep(components(edges, scratch).select(F.col("node").alias("id"), F.col("component").alias("cand")), "candidates")
     asked = scratch.keep(cands.join(classes.select("id", "n", "least", "t1", "t2"), "id"), "asked")
-    # The text of one row of each candidate class.
+    # The sets of one row of each candidate class; texts are not shuffled for them.
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(asked))
+    found = keyed.withColumn("h", F.xxhash64("doc_id", "t1")).mapInArrow(_full_sets(words, sieve), f"doc_id {kind}, t1 long, t2 long, grams array<long>")
     one = [F.col("doc_id").eqNullSafe(F.col("least")), F.col("t1") == F.col("c1"), F.col("t2") == F.col("c2")]
-    found = keyed.join(asked.select("id", "least", F.col("t1").alias("c1"), F.col("t2").alias("c2")), one[0] & one[1] & one[2])
-    sets = scratch.keep(found.select("id", "text").mapInArrow(_full_sets(words), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
+    found = found.join(asked.select("id", "least", F.col("t1").alias("c1"), F.col("t2").alias("c2")), one[0] & one[1] & one[2])
+    sets = scratch.keep(found.select("id", "grams").dropDuplicates(["id"]), "sets")
     members = scratch.keep(asked.select("id", "n", "cand").join(sets.select("id", F.size("grams").alias("size")), "id"), "members")
     tiles = _tiles(members, similarity, scratch).join(sets, "id")
     links = scratch.keep(tiles.repartition("pair").sortWithinPartitions("pair", "cand").mapInArrow(_links(similarity), LINKS), "links")
@@ -216,11 +239,10 @@ def without_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     """
     scratch = Scratch(docs.sparkSession, "ngrams")
     texts, classes = _classes(docs.select("doc_id", "text"), words, similarity, recall, scratch)
-    # Column names of the documents are kept free of those used here.
-    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text", F.length("text")).alias("_t2"))
-    heads = classes.select(F.col("class_id").alias("_head"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
-    bare = texts.where("set_key is null").select(F.col("doc_id").alias("_head"), F.col("t1").alias("_h1"), F.col("t2").alias("_h2"), F.lit(True).alias("_all")).distinct()
-    keys = scratch.keep(heads.withColumn("_all", F.lit(False)).unionByName(bare), "kept")
-    kept = row.join(keys, F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_t1") == F.col("_h1")) & (F.col("_t2") == F.col("_h2")))
-    number = F.row_number().over(W.partitionBy("_id", "_t1", "_t2").orderBy("_t1"))
-    return kept.withColumn("_n", number).where("_all or _n = 1").select("_row.*")
+    # Rows are told by hashes of id and text, so that one shuffle serves join and window.
+    row = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("k1"), F.xxhash64(F.lit(1), "text", F.length("text")).alias("k2"))
+    heads = classes.select(F.xxhash64("class_id", "h1").alias("k1"), F.col("h2").alias("k2"), F.lit(False).alias("all")).distinct()
+    bare = texts.where("set_key is null").select(F.xxhash64("doc_id", "t1").alias("k1"), F.col("t2").alias("k2"), F.lit(True).alias("all")).distinct()
+    keys = scratch.keep(heads.unionByName(bare), "kept")
+    number = F.row_number().over(W.partitionBy("k1", "k2").orderBy("all"))
+    return row.join(keys, ["k1", "k2"]).withColumn("n", number).where("all or n = 1").select("row.*")
