@@ -13,8 +13,12 @@ A suffix array would sort every byte position by what follows. Here only depth
    A bucket of one run holds no repeated string and is done.
 3. Runs of a shared bucket are refined by the identifiers of all the bytes
    their strings cover. Equal runs are repeated as a whole.
-4. Runs alone in their class, in a bucket of several classes, are refined to
-   single starts: (bucket, offset, identifier at full depth) once for each class.
+4. Runs alone in their class, in a bucket of several classes, are cut into
+   cells of starts by their offset from the representative. What all strings of
+   a cell have in common is its core: cells are dealt to buckets by offset and core,
+   and those alone there are done. Equal cells are repeated as a whole.
+5. The cells that are left, where near copies begin to differ, are refined to single
+   starts: (bucket, offset, identifier at full depth), once for each class.
 
 Identifiers are 64 bits; a start is compared on bucket and full depth, 128.
 Texts equal as a whole are one class with a count from the start.
@@ -45,15 +49,15 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z
 
 
-def _depths(min_bytes: int) -> tuple[int, int]:
-    """(q, largest power of two up to ``min_bytes``)."""
+def _depths(min_bytes: int) -> tuple[int, int, int]:
+    """(q, largest power of two up to ``min_bytes``, starts in a cell)."""
     top = 1 << (min_bytes.bit_length() - 1)
-    return max(1, top // 4), top
+    return max(1, top // 4), top, min(32, min_bytes - top + 1)
 
 
-def _identifiers(data: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the q bytes and of the ``min_bytes`` bytes at each place."""
-    q, top = _depths(min_bytes)
+def _identifiers(data: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers of the q bytes, of a cell's core and of the ``min_bytes`` bytes at each place."""
+    q, top, cell = _depths(min_bytes)
     now, depth = _BYTE[data], 1
     grams = now if q == 1 else None
     while depth < top:
@@ -61,8 +65,8 @@ def _identifiers(data: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarr
         depth *= 2
         if depth == q:
             grams = now
-    rest = min_bytes - top
-    return grams, (_pair(now[: len(now) - rest], now[rest:]) if rest else now)
+    core, rest = min_bytes - cell + 1 - top, min_bytes - top
+    return grams, _pair(now[: len(now) - core], now[core:]), _pair(now[: len(now) - rest], now[rest:])
 
 
 def _representatives(grams: np.ndarray, width: int) -> np.ndarray:
@@ -93,14 +97,14 @@ def _pieces(batch: pa.RecordBatch, min_bytes: int) -> Iterator[tuple[int, np.nda
 
 def _runs(min_bytes: int):
     """One row per run: keys of the text, bucket, region, first and last start, anchor."""
-    q, _ = _depths(min_bytes)
+    q, _, _ = _depths(min_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BUFFER):
             for _, data, offsets, shift in _pieces(batch, min_bytes):
                 if len(data) < min_bytes:
                     continue
-                grams, full = _identifiers(data, min_bytes)
+                grams, _, full = _identifiers(data, min_bytes)
                 anchor = _representatives(grams, min_bytes - q + 1)
                 n = len(full)
                 row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
@@ -127,35 +131,73 @@ def _runs(min_bytes: int):
 RUNS = "t1 long, t2 long, n long, bucket long, region long, low long, high long, anchor long"
 
 
+def _asked(batches: Iterator[pa.RecordBatch], min_bytes: int):
+    """(batch, place of the piece in its text, offsets, identifiers, rows and runs asked for) of
+    each piece; the runs are cut to the piece and given by places in it."""
+    for batch in slices(batches, "text", BUFFER):
+        for _, data, offsets, shift in _pieces(batch, min_bytes):
+            if len(data) < min_bytes:
+                continue
+            owner, asked = [], []
+            for i, runs in enumerate(batch.column("runs").to_pylist()):
+                for r in runs:
+                    low, high = max(r["low"] - shift, 0), min(r["high"] - shift, offsets[i + 1] - offsets[i] - min_bytes)
+                    if low <= high:
+                        owner.append(i)
+                        asked.append((low + offsets[i], high + offsets[i], r["anchor"] - shift + offsets[i], r["bucket"], r["asks"]))
+            if asked:
+                _, core, full = _identifiers(data, min_bytes)
+                yield batch, shift, offsets, core, full, np.array(owner), tuple(np.array(x) for x in zip(*asked))
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``size`` consecutive numbers from each of ``first``, and whose they are."""
+    own = np.repeat(np.arange(len(size)), size)
+    return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()), own
+
+
+def _cells(min_bytes: int):
+    """One row per cell of the runs asked for: (bucket, offset), core, and all bytes of a cell that is whole."""
+    cell = _depths(min_bytes)[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, shift, offsets, core, full, owner, (low, high, anchor, bucket, asks) in _asked(batches, min_bytes):
+            number, own = _spread((anchor - high) // cell, (anchor - low) // cell - (anchor - high) // cell + 1)
+            last = anchor[own] - number * cell  # the last start that the cell can have
+            first = last - cell + 1
+            whole = (first >= low[own]) & (last <= high[own])
+            spot = mix(bucket.astype(np.int64).view(np.uint64)[own] + number.astype(np.uint64) * _C[5])
+            region = np.where(whole, _pair(full[np.where(whole, first, 0)], full[np.where(whole, last, 0)]), np.uint64(0))
+            row = owner[own]
+            base = shift - offsets[row]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("t1").take(take), batch.column("t2").take(take), pa.array(spot.view(np.int64)), pa.array(core[last].view(np.int64)),
+                 pa.array(region.view(np.int64)), pa.array(whole), pa.array(np.maximum(first, low[own]) + base), pa.array(np.minimum(last, high[own]) + base),
+                 pa.array(anchor[own] + base), pa.array(bucket[own].astype(np.int64)), pa.array(asks[own])],
+                ["t1", "t2", "spot", "core", "region", "whole", "low", "high", "anchor", "bucket", "asks"],
+            )
+
+    return run
+
+
+CELLS = "t1 long, t2 long, spot long, core long, region long, whole boolean, low long, high long, anchor long, bucket long, asks boolean"
+
+
 def _starts(min_bytes: int):
     """One row per start of the runs asked for: (bucket, offset) and full identifier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", BUFFER):
-            for _, data, offsets, shift in _pieces(batch, min_bytes):
-                if len(data) < min_bytes:
-                    continue
-                _, full = _identifiers(data, min_bytes)
-                owner, asked = [], []
-                for i, runs in enumerate(batch.column("runs").to_pylist()):
-                    for r in runs:
-                        low, high = max(r["low"] - shift, 0), min(r["high"] - shift, offsets[i + 1] - offsets[i] - min_bytes)
-                        if low <= high:
-                            owner.append(i)
-                            asked.append((low + offsets[i], high + offsets[i], r["anchor"] - shift + offsets[i], r["bucket"], r["asks"]))
-                if not asked:
-                    continue
-                low, high, anchor, bucket, asks = (np.array(x) for x in zip(*asked))
-                size = high - low + 1
-                place = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                row = np.repeat(np.array(owner), size)
-                spot = mix(np.repeat(bucket.astype(np.int64).view(np.uint64), size) + (np.repeat(anchor, size) - place).astype(np.uint64) * _C[4])
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("t1").take(take), batch.column("t2").take(take), pa.array(spot.view(np.int64)), pa.array(full[place].view(np.int64)),
-                     pa.array(place - offsets[row] + shift), pa.array(np.repeat(asks, size))],
-                    ["t1", "t2", "spot", "full", "start", "asks"],
-                )
+        for batch, shift, offsets, _, full, owner, (low, high, anchor, bucket, asks) in _asked(batches, min_bytes):
+            place, own = _spread(low, high - low + 1)
+            spot = mix(bucket.astype(np.int64).view(np.uint64)[own] + (anchor[own] - place).astype(np.uint64) * _C[4])
+            row = owner[own]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("t1").take(take), batch.column("t2").take(take), pa.array(spot.view(np.int64)), pa.array(full[place].view(np.int64)),
+                 pa.array(place - offsets[row] + shift), pa.array(asks[own])],
+                ["t1", "t2", "spot", "full", "start", "asks"],
+            )
 
     return run
 
@@ -215,6 +257,7 @@ def repeated_bytes(docs: DataFrame, *, min_bytes: int = 400) -> DataFrame:
     (texts.repartition(parts, "t1", "t2").write.option("compression", "zstd").option("path", path)
         .bucketBy(parts, "t1", "t2").saveAsTable(name))
     texts = spark.table(name)
+    runs_at = scratch.mark()
     runs = scratch.keep(texts.mapInArrow(_runs(min_bytes), RUNS), "runs")
     buckets = runs.groupBy("bucket").agg(F.sum("n").alias("n"), (F.min("region") != F.max("region")).alias("several"))
     buckets = scratch.keep(buckets.where("n > 1").drop("n"), "buckets")
@@ -223,15 +266,31 @@ def repeated_bytes(docs: DataFrame, *, min_bytes: int = 400) -> DataFrame:
     regions = scratch.keep(live.groupBy("bucket", "region").agg(F.sum("n").alias("m"), F.first("several").alias("several"), first), "regions")
     whole = live.where("n = 1").join(regions.where("m > 1").select("bucket", "region"), ["bucket", "region"], "left_semi")
     whole = whole.select("t1", "t2", "low", (F.col("high") + min_bytes).alias("high"))
-    asked = regions.where("several").select("first.*", "bucket", (F.col("m") == 1).alias("asks"))
-    asked = asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high", "anchor", "bucket", "asks")).alias("runs"))
-    starts = texts.join(asked, ["t1", "t2"]).select("t1", "t2", "text", "runs").mapInArrow(
-        _starts(min_bytes), "t1 long, t2 long, spot long, full long, start long, asks boolean")
-    starts = scratch.keep(starts, "starts")
+    scratch.drop(runs_at, runs_at + 1)
+
+    def listed(runs: DataFrame) -> DataFrame:
+        """Each text with the runs asked for in it; the table's buckets spare a shuffle of texts."""
+        asked = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high", "anchor", "bucket", "asks")).alias("runs"))
+        return texts.join(asked, ["t1", "t2"]).select("t1", "t2", "text", "runs")
+
+    cells = listed(regions.where("several").select("first.*", "bucket", (F.col("m") == 1).alias("asks"))).mapInArrow(_cells(min_bytes), CELLS)
+    cells = scratch.keep(cells, "cells")
+    several = (F.min("region") != F.max("region")) | ~F.min("whole")
+    cores = scratch.keep(cells.groupBy("spot", "core").agg(F.count("*").alias("m"), several.alias("several")).where("m > 1").drop("m"), "cores")
+    near = scratch.keep(cells.join(cores, ["spot", "core"]), "near")
+    first = F.min(F.struct("t1", "t2", "low", "high", "anchor", "bucket", "asks")).alias("first")
+    kinds = near.where("whole").groupBy("spot", "core", "region").agg(F.count("*").alias("m"), F.first("several").alias("several"), first)
+    kinds = scratch.keep(kinds, "kinds")
+    equal = near.where("asks and whole").join(kinds.where("m > 1").select("spot", "core", "region"), ["spot", "core", "region"], "left_semi")
+    equal = equal.select("t1", "t2", "low", (F.col("high") + min_bytes).alias("high"))
+    ends = ["t1", "t2", "low", "high", "anchor", "bucket"]
+    left = kinds.where("several").select(*(f"first.{c}" for c in ends), (F.col("first.asks") & (F.col("m") == 1)).alias("asks"))
+    left = left.unionByName(near.where("not whole").select(*ends, "asks"))
+    starts = scratch.keep(listed(left).mapInArrow(_starts(min_bytes), "t1 long, t2 long, spot long, full long, start long, asks boolean"), "starts")
     twice = scratch.keep(starts.groupBy("spot", "full").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "twice")
     single = starts.where("asks").join(twice, ["spot", "full"], "left_semi")
     single = single.select("t1", "t2", F.col("start").alias("low"), (F.col("start") + min_bytes).alias("high"))
-    cover = whole.unionByName(single).groupBy("t1", "t2").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    cover = whole.unionByName(equal).unionByName(single).groupBy("t1", "t2").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     own = texts.where("n = 1").select("t1", "t2", "text").join(cover, ["t1", "t2"])
     own = own.mapInArrow(_kept, "t1 long, t2 long, lows array<long>, highs array<long>, kept_sha256 string")
     copies = texts.where("n > 1").select("t1", "t2", F.array(F.lit(0).cast("long")).alias("lows"), F.array(F.length("text").cast("long")).alias("highs"),
