@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
-from pyspark.sql import types as T
 
 from .devices import contains_any
 
@@ -26,6 +24,7 @@ AMOUNT_PATTERNS = (
     r"(\d{1,10}[.,]?\d{0,2})\s*(?:价格|售价|价值)",
     r"\b(\d{3,5}[.,]?\d{0,2})\b",
 )
+# What counts when no pattern does, and which amounts do.
 AMOUNT_RUNS = r"\b(\d{3,})\b"
 AMOUNT_RANGE = (100, 100000)
 AMOUNT_NUMBER = r"^-?\d+(\.\d+)?$"
@@ -35,17 +34,15 @@ ACTIONS = {"P0": "BAN_365D_AND_SHIELD", "P1": "BAN_60D_AND_SHIELD", "P2": "NONE"
 MASKS = {"P0": "***", "P1": "**", "P2": "*"}
 WEIGHTS = {"P0": 3, "P1": 2, "P2": 1}
 CLEAN = "CLEAN"
-# Origin fields of a moderation result.
-RESULT_ORIGIN = {"db": "realtime_v3", "schema": "dbo", "table": "orders_portrait_stream2"}
 
 
-@F.pandas_udf(T.StringType())
-def gbk_text(column: pd.Series) -> pd.Series:
-    """Text whose Latin-1 bytes are really GBK, re-read; null stays null."""
-    return column.map(
-        lambda s: s.encode("iso-8859-1", "replace").decode("gbk", "replace"),
-        na_action="ignore",
-    )
+GBK = "decode(encode({0}, 'ISO-8859-1'), 'GBK')"
+
+
+def gbk_text(column: str) -> Column:
+    """Text whose Latin-1 bytes are really GBK, re-read; null stays null. The
+    session allows the character set (``spark.sql.legacy.javaCharsets``)."""
+    return F.expr(GBK.format(column))
 
 
 def lookup(key: Column, table: dict, default) -> Column:
@@ -67,7 +64,9 @@ def report_level(comment: Column) -> Column:
 
 def register_sql_functions(spark: SparkSession) -> None:
     """``gbk_decode`` and ``comment_level`` for use inside SQL text."""
-    spark.udf.register("gbk_decode", gbk_text)
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION gbk_decode(c STRING) RETURNS STRING RETURN {GBK.format('c')}"
+    )
 
     def any_of(words):
         return " OR ".join(f"contains(lower(c), '{w}')" for w in words)
@@ -147,8 +146,11 @@ def amount_text(value: Column) -> Column:
     )
 
 
-def result_json() -> Column:
-    """Moderation result as one JSON text; a null keyword leaves its field out."""
+def result_json(origin: dict[str, str]) -> Column:
+    """Moderation result as one JSON text; a null keyword leaves its field out.
+
+    ``origin`` names the db, schema and table that the comments come from.
+    """
     head = F.to_json(
         F.struct(
             F.coalesce("order_id", F.lit("")).alias("order_id"),
@@ -158,7 +160,7 @@ def result_json() -> Column:
             F.col("ts").cast("string").alias("ts"),
             F.col("is_sensitive").alias("is_insulting"),
             F.col("comment").alias("user_comment"),
-            *[F.lit(v).alias(k) for k, v in RESULT_ORIGIN.items()],
+            *[F.lit(v).alias(k) for k, v in origin.items()],
             F.col("sensitive_level"),
             F.col("is_sensitive").alias("is_blocked"),
             ban_days(F.col("sensitive_level")).alias("blacklist_duration_days"),

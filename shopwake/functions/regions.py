@@ -12,12 +12,15 @@ UNKNOWN = "未知"
 
 
 def ip_number(ip: Column) -> Column:
-    """Dotted IPv4 text as a number; anything else gives null."""
+    """Dotted IPv4 text as a number; anything else gives null: four octets of
+    digits, each 0 to 255."""
     octets = F.split(F.trim(ip), r"\.")
-    number = F.lit(0).cast("bigint")
+    number, valid = F.lit(0).cast("bigint"), F.trim(ip).rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     for i in range(4):
-        number = number * 256 + F.get(octets, F.lit(i)).try_cast("bigint")
-    return F.when(F.size(octets) == 4, number)
+        octet = F.get(octets, F.lit(i)).try_cast("bigint")
+        number = number * 256 + octet
+        valid = valid & (octet <= 255)
+    return F.when(valid, number)
 
 
 def _address(region: Column) -> Column:

@@ -134,21 +134,21 @@ def cumulative_top(
     While amounts only grow, an id outside the top n of the ids that changed
     in its own step can never lead later without changing again: everybody
     else only gains. So n candidates per step are enough, and only they are
-    repeated over the later windows. A day with a negative step sum does not
-    have that property and keeps all its ids.
+    repeated over the later windows. An id with a negative step sum on a day
+    does not have that property and keeps all its rows of the day; the rule
+    holds among the others, and the leaders are among both.
     """
     sums = step_sums(sales, id_col, step_ms=step_ms, span_ms=span_ms)
     totals = _id_totals(sums, id_col)
-    shrinking = (
-        sums.filter(F.col("amount") < 0).select("window_start").distinct()
-    )
-    growing = totals.join(shrinking, "window_start", "left_anti")
+    own = ["window_start", id_col]
+    shrinking = sums.filter(F.col("amount") < 0).select(*own).distinct()
+    growing = totals.join(shrinking, own, "left_anti")
     candidates = (
         growing.withColumn("_r", F.row_number().over(_rank(id_col, "window_start", "step_end")))
         .filter(F.col("_r") <= n)
         .drop("_r")
     )
-    kept = candidates.unionByName(totals.join(shrinking, "window_start", "left_semi"))
+    kept = candidates.unionByName(totals.join(shrinking, own, "left_semi"))
     return (
         _spread(kept, id_col, step_ms, span_ms)
         .withColumn("rn", F.row_number().over(_rank(id_col, "window_start", "window_end")))

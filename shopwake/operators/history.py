@@ -87,7 +87,7 @@ def user_statistics(logs: DataFrame, comments: DataFrame) -> DataFrame:
     """
     known = logs.filter(F.col("user_id").isNotNull())
     by_type = (
-        known.groupBy("user_id", "log_type")
+        known.groupBy("user_id", F.coalesce("log_type", F.lit("unknown")).alias("log_type"))
         .agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
         .groupBy("user_id")
         .agg(

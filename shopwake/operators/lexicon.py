@@ -1,34 +1,24 @@
 """Words of a lexicon inside comments.
 
-A word matches wherever it occurs in the text. The way it is looked up
-depends on the size of the lexicon, the result does not:
-
-* a few words are compared by the JVM, inside code generation;
-* up to ``AUTOMATON_WORDS`` travel to the tasks as one automaton that reads
-  each text once (Arrow batches);
-* beyond that, substrings of the texts are joined with the lexicon.
+A word matches wherever it occurs in the text. Lexicons of any size take the
+same path: the distinct short pieces of each text are joined with the first
+characters of the words, and the words that this offers are looked for in the
+whole text. Spark broadcasts the lexicon if it has measured it as small; the
+join is an outer one, so the pieces of the texts never are. A word listed with
+several levels has the one of greatest weight.
 
 Found words are ordered by level, then length, then word.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions import comments as M
 
-try:
-    import ahocorasick
-except ImportError:  # the join below covers it
-    ahocorasick = None
-
-LITERAL_WORDS = 32
-AUTOMATON_WORDS = 200_000
-CHUNK = 200
+HEAD = 3  # characters of a word that its pieces are joined on
+CHUNK = 1000  # characters of a text whose pieces are listed at once
 FOUND = T.ArrayType(
     T.StructType([T.StructField("word", T.StringType()), T.StructField("level", T.StringType())])
 )
@@ -74,113 +64,49 @@ def _sorted(found: Column) -> Column:
     )
 
 
-def _by_literal(words: list[tuple[str, str]], text: Column) -> Column:
-    entries = F.array(
-        *[F.struct(F.lit(w).alias("word"), F.lit(v).alias("level")) for w, v in words]
+def one_level(lexicon: DataFrame) -> DataFrame:
+    """The words, each once with its level of greatest weight."""
+    weight = M.lookup(F.col("level"), M.WEIGHTS, 0)
+    return lexicon.filter(F.col("word") != "").groupBy("word").agg(
+        F.max_by("level", F.struct(weight, F.col("level"))).alias("level")
     )
-    return F.filter(entries, lambda w: F.contains(text, w["word"]))
-
-
-@lru_cache(maxsize=2)
-def _automaton(words: tuple[tuple[str, str], ...]):
-    machine = ahocorasick.Automaton()
-    for rank, (word, _) in enumerate(words):
-        machine.add_word(word, rank)
-    machine.make_automaton()
-    return machine
-
-
-def _by_automaton(spark, words: list[tuple[str, str]], text: Column) -> Column:
-    shared = spark.sparkContext.broadcast(tuple(words))
-
-    @F.pandas_udf(FOUND)
-    def find(texts: pd.Series) -> pd.Series:
-        known = shared.value
-        machine = _automaton(known)
-
-        def one(value):
-            ranks = sorted({rank for _, rank in machine.iter(value)})
-            return [{"word": known[r][0], "level": known[r][1]} for r in ranks]
-
-        return texts.map(one, na_action="ignore")
 
-    return find(text)
 
-
-def found_by_join(
-    comments: DataFrame, lexicon: DataFrame, key: str, text: str, chunk: int = CHUNK
-) -> DataFrame:
-    """(key, found) of the comments with a match, for a lexicon of any size.
-
-    Texts are cut into chunks that overlap by the longest word, so whole texts
-    are covered and no row ever holds all substrings of a long text.
-    """
-    # One integer per distinct word length reaches the driver.
-    sizes = sorted(
-        r[0] for r in lexicon.select(F.char_length("word")).distinct().collect()
+def _offered(comments: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, words): the words whose first characters occur in the text."""
+    heads = one_level(lexicon).groupBy(F.left("word", F.lit(HEAD)).alias("head")).agg(
+        F.collect_list(F.struct("word", "level")).alias("words")
     )
-    if not sizes:
-        return comments.select(key, F.array().cast(FOUND).alias("found")).limit(0)
-    longest = sizes[-1]
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)), F.lit(chunk))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)), F.lit(CHUNK))
     pieces = comments.select(key, text, F.explode(starts).alias("_s")).select(
-        key,
-        "_s",
-        F.substr(F.col(text), F.col("_s"), F.lit(chunk + longest - 1)).alias("_piece"),
-    )
-    # A long text is many pieces; hashing them keeps it off a single task.
-    pieces = pieces.repartition(key, "_s")
-    # The longest candidate at each start, then its heads of every word length.
-    at_start = F.transform(
-        F.sequence(F.lit(1), F.least(F.char_length("_piece"), F.lit(chunk))),
-        lambda s: F.substr(F.col("_piece"), s, F.lit(longest)),
+        key, F.substr(F.col(text), F.col("_s"), F.lit(CHUNK + HEAD - 1)).alias("_piece")
     )
-    heads = F.transform(
-        at_start,
-        lambda c: F.array(*[F.when(F.char_length(c) >= n, F.left(c, F.lit(n))) for n in sizes]),
-    )
-    words = F.array_compact(F.array_distinct(F.flatten(heads)))
-    hits = (
-        pieces.select(key, F.explode(words).alias("word"))
-        .join(lexicon, "word")
-        .select(key, "word", "level")
-        .distinct()
+    grams = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.least(F.char_length("_piece"), F.lit(CHUNK))),
+            lambda i: F.array(*[F.substr(F.col("_piece"), i, F.lit(n)) for n in range(1, HEAD + 1)]),
+        )
     )
-    return hits.groupBy(key).agg(
-        _sorted(F.collect_list(F.struct("word", "level"))).alias("found")
+    return (
+        pieces.filter(F.col("_piece") != "")
+        .select(key, F.explode(F.array_distinct(grams)).alias("head"))
+        .join(heads, "head", "left")
+        .groupBy(key)
+        .agg(F.flatten(F.collect_list("words")).alias("_words"))
     )
 
 
-def _bounded_words(lexicon: DataFrame, bound: int) -> list[tuple[str, str]] | None:
-    """The lexicon's words if there are at most ``bound``, else None."""
-    rows = lexicon.select("word", "level").limit(bound + 1).collect()
-    if len(rows) > bound:
-        return None
-    return sorted(((r[0], r[1]) for r in rows), key=lambda w: _order(*w))
-
-
 def with_found(
-    comments: DataFrame,
-    lexicon: DataFrame,
-    key: str,
-    text: str = "comment",
-    literal_words: int = LITERAL_WORDS,
-    automaton_words: int = AUTOMATON_WORDS,
+    comments: DataFrame, lexicon: DataFrame, key: str, text: str = "comment"
 ) -> DataFrame:
     """Add ``found``: the lexicon words inside ``text`` (empty when none).
 
-    ``key`` identifies a comment; ``lexicon`` has one level per word.
+    ``key`` identifies a comment.
     """
-    words = _bounded_words(lexicon, automaton_words)
-    if words is not None and len(words) <= literal_words:
-        found = _by_literal(words, F.col(text)) if words else F.array().cast(FOUND)
-    elif words is not None and ahocorasick is not None:
-        found = _by_automaton(comments.sparkSession, words, F.col(text))
-    else:
-        hits = found_by_join(comments, lexicon, key, text)
-        joined = comments.join(hits, key, "left")
-        return joined.withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
-    return comments.withColumn("found", F.coalesce(found, F.array().cast(FOUND)))
+    offered = _offered(comments, lexicon, key, text)
+    inside = F.filter(F.array_distinct("_words"), lambda w: F.contains(F.col(text), w["word"]))
+    found = F.coalesce(_sorted(inside), F.array().cast(FOUND))
+    return comments.join(offered, key, "left").withColumn("found", found).drop("_words")
 
 
 def highest_level(found: Column) -> Column:
@@ -221,48 +147,6 @@ def _joined(tokens_column: str, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _tokens_by_literal(words: list[tuple[str, str]], column: str) -> Column:
-    known = F.array(*[F.lit(w) for w, _ in words])
-    levels = F.create_map(*[F.lit(x) for pair in words for x in pair])
-    combined = F.array_intersect(F.concat(_joined(column, 3), _joined(column, 2)), known)
-    single = F.array_intersect(column, known)
-    hits = F.when(F.size(combined) > 0, combined).otherwise(single)
-    return _sorted(
-        F.transform(
-            hits,
-            lambda w: F.struct(w.alias("word"), F.try_element_at(levels, w).alias("level")),
-        )
-    )
-
-
-def _tokens_by_lookup(spark, words: list[tuple[str, str]], column: str) -> Column:
-    shared = spark.sparkContext.broadcast(tuple(words))
-
-    @F.pandas_udf(FOUND)
-    def find(lists: pd.Series) -> pd.Series:
-        known = shared.value
-        rank = _ranks(known)
-
-        def one(t):
-            combined = {
-                rank[g]
-                for n in (3, 2)
-                for g in ("".join(t[i : i + n]) for i in range(len(t) - n + 1))
-                if g in rank
-            }
-            ranks = combined or {rank[g] for g in t if g in rank}
-            return [{"word": known[r][0], "level": known[r][1]} for r in sorted(ranks)]
-
-        return lists.map(one, na_action="ignore")
-
-    return find(column)
-
-
-@lru_cache(maxsize=2)
-def _ranks(words: tuple[tuple[str, str], ...]) -> dict[str, int]:
-    return {word: rank for rank, (word, _) in enumerate(words)}
-
-
 def found_in_tokens(
     comments: DataFrame, lexicon: DataFrame, key: str, text: str = "comment"
 ) -> DataFrame:
@@ -273,6 +157,7 @@ def found_in_tokens(
     """
     # explode keeps the tokens a column of their own: cut once, used often
     cut = comments.select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
+
     def tagged(words: Column, combined: bool) -> Column:
         return F.transform(
             F.array_distinct(words),
@@ -282,53 +167,31 @@ def found_in_tokens(
     grams = F.concat(
         tagged(F.concat(_joined("_t", 3), _joined("_t", 2)), True), tagged(F.col("_t"), False)
     )
-    hits = (
-        cut.select(key, F.inline(grams))
-        .join(lexicon, "word")
-        .select(key, "word", "level", "combined")
-        .distinct()
-    )
-    entry = F.struct("word", "level")
+    # An outer join, so that the lexicon is the only side Spark may broadcast.
+    hits = cut.select(key, F.inline(grams)).join(one_level(lexicon), "word", "left")
+    known = F.when(F.col("level").isNotNull(), F.struct("word", "level"))
     both = hits.groupBy(key).agg(
-        F.collect_set(F.when(F.col("combined"), entry)).alias("_c"),
-        F.collect_set(entry).alias("_a"),
+        F.collect_set(F.when(F.col("combined"), known)).alias("_c"),
+        F.collect_set(known).alias("_a"),
     )
-    return both.select(
+    return both.filter(F.size("_a") > 0).select(
         key, _sorted(F.when(F.size("_c") > 0, F.col("_c")).otherwise(F.col("_a"))).alias("found")
     )
 
 
 def with_detection(
-    comments: DataFrame,
-    lexicon: DataFrame,
-    key: str,
-    text: str = "comment",
-    literal_words: int = LITERAL_WORDS,
-    automaton_words: int = AUTOMATON_WORDS,
+    comments: DataFrame, lexicon: DataFrame, key: str, text: str = "comment"
 ) -> DataFrame:
     """``found``, ``sensitive_level``, ``is_sensitive`` and ``masked_comment``.
 
-    Token joining is tried only where plain matching found nothing. With a
-    lexicon that fits the tasks both happen row by row, so texts are read once
-    and not shuffled.
+    Token joining is tried only where plain matching found nothing.
     """
-    direct = with_found(comments, lexicon, key, text, literal_words, automaton_words)
-    words = _bounded_words(lexicon, automaton_words)
-    if words:
-        # explode keeps the tokens a column of their own: cut once, used often
-        missed = F.when(F.size("found") == 0, tokens(F.col(text)))
-        cut = direct.withColumn("_t", F.explode(F.array(missed)))
-        if len(words) <= literal_words:
-            more = F.when(F.col("_t").isNotNull(), _tokens_by_literal(words, "_t"))
-        else:
-            more = _tokens_by_lookup(comments.sparkSession, words, "_t")
-        every = cut.withColumn("_more", more).drop("_t")
-    else:
-        missed = direct.filter(F.size("found") == 0)
-        fallback = found_in_tokens(missed, lexicon, key, text)
-        every = direct.join(fallback.withColumnRenamed("found", "_more"), key, "left")
+    direct = with_found(comments, lexicon, key, text)
+    spelled = found_in_tokens(comments, lexicon, key, text).withColumnRenamed("found", "_more")
+    every = direct.join(spelled, key, "left")
+    found = F.when(F.size("found") > 0, F.col("found")).otherwise(F.coalesce("_more", "found"))
     return (
-        every.withColumn("found", F.coalesce("_more", "found"))
+        every.withColumn("found", found)
         .drop("_more")
         .withColumns(
             {

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import times
-from ..sources.staging import staged
 from .ordered import DEFAULT_SLICE_MS, segments
 
 GAP_MS = 30 * times.MINUTE_MS
 MAX_BOUNCE_EVENTS = 2
-STEPS_PER_PART = 10_000
 
 
 def visit_events(logs: DataFrame) -> DataFrame:
@@ -47,6 +45,10 @@ def with_sessions(
     return cut.withColumn("session_start", F.col("_start.ts")).drop("_start")
 
 
+def _session_id():
+    return F.concat_ws("-", "user_id", "session_start").alias("session_id")
+
+
 def session_metrics(sessions: DataFrame, zone: str = times.DEFAULT_ZONE) -> DataFrame:
     """One row per session, without its path."""
     converted = (F.col("page") == "checkout") | (F.col("action") == "payment")
@@ -69,7 +71,7 @@ def session_metrics(sessions: DataFrame, zone: str = times.DEFAULT_ZONE) -> Data
             times.local_date("session_start", zone).alias("stat_date"),
             "user_id",
             "session_start",
-            F.concat_ws("-", "user_id", "session_start").alias("session_id"),
+            _session_id(),
             "unique_pages",
             "total_events",
             duration.alias("total_duration"),
@@ -86,47 +88,23 @@ def session_metrics(sessions: DataFrame, zone: str = times.DEFAULT_ZONE) -> Data
     )
 
 
-def session_paths(
-    sessions: DataFrame,
-    zone: str = times.DEFAULT_ZONE,
-    steps_per_part: int = STEPS_PER_PART,
-) -> DataFrame:
-    """Ordered steps of each session as JSON.
-
-    A session of any length stays whole: it takes as many numbered parts as it
-    needs, none longer than ``steps_per_part``, so no list grows unbounded.
-    Ordinary sessions have the single part 0.
-    """
-    step = F.struct(
+def session_steps(sessions: DataFrame, zone: str = times.DEFAULT_ZONE) -> DataFrame:
+    """The path of every session, one row per step; a session of any length
+    needs no list. ``session_id`` leads to the row of the report."""
+    return sessions.select(
+        "user_id",
+        _session_id(),
         "step",
         "page",
         "action",
         times.local_datetime("ts", zone).alias("timestamp"),
     )
-    part = F.floor((F.col("step") - 1) / steps_per_part).cast("int")
-    listed = (
-        sessions.groupBy("user_id", "session_start", part.alias("path_part"))
-        .agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    )
-    shown = F.transform(
-        "steps",
-        lambda s: F.struct(
-            s["page"].alias("page"),
-            s["action"].alias("action"),
-            s["timestamp"].alias("timestamp"),
-        ),
-    )
-    return listed.select(
-        "user_id", "session_start", "path_part", F.to_json(shown).alias("path_sequence")
-    )
 
 
 REPORT_COLUMNS = [
     "stat_date",
     "user_id",
     "session_id",
-    "path_part",
-    "path_sequence",
     "unique_pages",
     "total_events",
     "total_duration",
@@ -138,13 +116,6 @@ REPORT_COLUMNS = [
 ]
 
 
-def session_report(
-    sessions: DataFrame, zone: str = times.DEFAULT_ZONE, stage: bool = True
-) -> DataFrame:
-    """Metrics with paths. Both read the cut sessions, hence the staging."""
-    cut = staged(sessions, "sessions") if stage else sessions
-    return (
-        session_metrics(cut, zone)
-        .join(session_paths(cut, zone), ["user_id", "session_start"])
-        .select(*REPORT_COLUMNS)
-    )
+def session_report(sessions: DataFrame, zone: str = times.DEFAULT_ZONE) -> DataFrame:
+    """One row per session."""
+    return session_metrics(sessions, zone).select(*REPORT_COLUMNS)

@@ -26,12 +26,14 @@ def moderate(
     users: DataFrame | None = None,
     key: str = "comment_id",
     stage: bool = True,
+    origin: dict[str, str] | None = None,
 ) -> DataFrame:
     """Comment rows to moderation results.
 
     ``comments`` holds ``key``, order_id, user_id, product_id, total_amount
-    (text), ds, ts and comment. Detection and amounts read every text once;
-    the result is staged because the user history needs it twice.
+    (text), ds, ts and comment; ``key`` is unique. Detection and amounts read
+    every text once; the result is staged because the user history needs it twice.
+    ``origin`` has the db, schema and table that results name as their source.
     """
     rows = comments.filter(M.not_blank(F.col("comment"))).withColumn(
         "amount", M.amount(F.col("total_amount"), F.col("comment"))
@@ -39,7 +41,10 @@ def moderate(
     detected = lexicon_ops.with_detection(rows, lexicon, key)
     if stage:
         detected = staged(detected, "moderated")
-    judged = moderation.with_history(detected, key).withColumn(
+    # Only narrow rows go through the user history.
+    history = moderation.with_history(detected.select(key, "user_id", "ts", "amount", "is_sensitive"), key)
+    history = history.select(key, "sensitive_count", "recent_max", "recent_mean", "consumption_level")
+    judged = detected.join(history, key).withColumn(
         "triggered_keyword",
         M.triggered_keyword(F.col("found"), F.col("sensitive_level")),
     )
@@ -47,7 +52,7 @@ def moderate(
         {
             "ban_days": M.ban_days(F.col("sensitive_level")),
             "action": M.action(F.col("sensitive_level")),
-            "result": M.result_json(),
+            "result": M.result_json({"db": "", "schema": "", "table": "", **(origin or {})}),
         }
     )
     return result if users is None else joins.with_user_defaults(result, users)

@@ -73,11 +73,14 @@ def p5(t):
 
 
 def _as_json(t: Tables):
-    """Log lines as the topic carries them; every third ts is fractional."""
+    """Log lines as the topic carries them; every third ts is fractional, and
+    every seventh is quoted."""
     device = F.struct("brand", "plat", "platv", "softv", "device", "userkey")
     fractional = F.when(F.col("event_id") % 3 == 0, F.col("ts").cast("double") + 0.75)
     listed = F.to_json(F.col("keywords"))
-    return t.logs.select(
+    quoted = F.regexp_replace("value", r'"ts":([0-9.E+]+)', r'"ts":"$1"')
+    lines = t.logs.select(
+        "event_id",
         F.to_json(
             F.struct(
                 "log_id",
@@ -97,7 +100,10 @@ def _as_json(t: Tables):
                 "province",
                 "city",
             )
-        ).alias("value")
+        ).alias("value"),
+    )
+    return lines.select(
+        F.when(F.col("event_id") % 7 == 0, quoted).otherwise(F.col("value")).alias("value")
     ).unionByName(
         # malformed lines, as many as there are signups
         t.logs.filter(F.col("log_type") == "login").select(
@@ -188,7 +194,8 @@ def a2(t):
     logs_with()
     + """SELECT log_date AS ds, log_type AS page_name, ts, log_id,
        CAST(count(*) OVER (PARTITION BY log_date, log_type ORDER BY ts, log_id
-             ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pv FROM d""",
+             ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pv FROM d
+WHERE log_type IN ('payment','page_view','click','view','search','login','product_list')""",
 )
 def a3(t):
     return metrics.running_page_visits(_dated(t))
@@ -197,7 +204,9 @@ def a3(t):
 @report(
     "a3_page_visit_totals",
     logs_with()
-    + "SELECT log_date AS ds, log_type AS page_name, count(*) AS pv FROM d GROUP BY log_date, log_type",
+    + """SELECT log_date AS ds, log_type AS page_name, count(*) AS pv FROM d
+WHERE log_type IN ('payment','page_view','click','view','search','login','product_list')
+GROUP BY log_date, log_type""",
 )
 def a3_totals(t):
     return metrics.page_visit_totals(_dated(t))
@@ -253,8 +262,9 @@ def a27_last(t):
 
 
 _SUFFIX = """
-ip AS (SELECT log_id, (CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536
-       + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT)) AS n, *
+ip AS (SELECT log_id, CASE WHEN regexp_full_match(ip, '([0-9]{1,2}|[01][0-9]{2}|2[0-4][0-9]|25[0-5])([.]([0-9]{1,2}|[01][0-9]{2}|2[0-4][0-9]|25[0-5])){3}') THEN
+         (TRY_CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + TRY_CAST(split_part(ip, '.', 2) AS BIGINT) * 65536
+       + TRY_CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + TRY_CAST(split_part(ip, '.', 4) AS BIGINT)) END AS n, *
        EXCLUDE (log_id) FROM d WHERE ip <> ''),
 g AS (SELECT ip.*, region FROM ip LEFT JOIN ip_ranges ON n BETWEEN start_ip AND end_ip),
 a AS (SELECT *, list_filter(string_split(region, '|'), lambda p: contains(p, '省') OR contains(p, '自治区')
@@ -453,8 +463,8 @@ def _portrait_sql(window: str, key: str) -> str:
   CAST(count(DISTINCT CASE WHEN log_type = 'login' THEN log_date END) AS BIGINT) AS login_days,
   coalesce(string_agg(DISTINCT CASE WHEN log_type = 'login' THEN log_date END, ','
            ORDER BY CASE WHEN log_type = 'login' THEN log_date END), '') AS login_dates,
-  bool_or(log_type = 'payment') AS has_payment, bool_or(log_type = 'search') AS has_search,
-  bool_or(log_type NOT IN ('login', 'payment', 'search')) AS has_browse,
+  coalesce(bool_or(log_type = 'payment'), false) AS has_payment, coalesce(bool_or(log_type = 'search'), false) AS has_search,
+  coalesce(bool_or(log_type NOT IN ('login', 'payment', 'search')), false) AS has_browse,
   CASE WHEN bool_or(log_type = 'login') THEN min(hour) FILTER (WHERE log_type = 'login') || '点-'
        || max(hour) FILTER (WHERE log_type = 'login') || '点' ELSE '无登录' END AS login_time_range,
   CASE WHEN NOT bool_or(log_type = 'login') THEN '未知'
@@ -463,7 +473,7 @@ def _portrait_sql(window: str, key: str) -> str:
        WHEN max(hour) FILTER (WHERE log_type = 'login') <= 14 THEN '中午(12-14)'
        WHEN max(hour) FILTER (WHERE log_type = 'login') <= 18 THEN '下午(14-18)'
        ELSE '晚上(18-24)' END AS time_period
-FROM d WHERE user_id IS NOT NULL GROUP BY user_id{key}"""
+FROM (SELECT * REPLACE (coalesce(log_type, 'unknown') AS log_type) FROM d) WHERE user_id IS NOT NULL GROUP BY user_id{key}"""
     )
 
 
@@ -505,18 +515,11 @@ def w3(t):
     return _sessions(t)
 
 
-_JSON_STEP = (
-    "'{\"page\":\"' || page || '\",\"action\":\"' || action || '\",\"timestamp\":\"' || "
-    "strftime(make_timestamp(ts * 1000) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || '\"}'"
-)
-
-
 @report(
     "a12_session_report",
     _VISITS
     + f"""SELECT {local_date('session_start')} AS stat_date, user_id,
-  user_id || '-' || session_start AS session_id, CAST(0 AS INTEGER) AS path_part,
-  '[' || string_agg({_JSON_STEP}, ',' ORDER BY ts, log_id) || ']' AS path_sequence,
+  user_id || '-' || session_start AS session_id,
   count(DISTINCT page) AS unique_pages, count(*) AS total_events,
   max(ts) - min(ts) AS total_duration,
   CASE WHEN count(*) > 1 THEN (max(ts) - min(ts)) // (count(*) - 1) ELSE 0 END AS avg_duration,
@@ -529,6 +532,17 @@ def a12(t):
     return sessions.session_report(_sessions(t))
 
 
+@report(
+    "a12_session_steps",
+    _VISITS
+    + """SELECT user_id, user_id || '-' || session_start AS session_id,
+  row_number() OVER (PARTITION BY user_id, session_start ORDER BY ts, log_id) AS step, page, action,
+  strftime(make_timestamp(ts * 1000) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS timestamp FROM ss""",
+)
+def a12_steps(t):
+    return sessions.session_steps(_sessions(t))
+
+
 def _contains(column: str, fragments) -> str:
     return "(" + " OR ".join(f"contains({column}, '{f}')" for f in fragments) + ")"
 

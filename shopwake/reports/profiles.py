@@ -212,7 +212,7 @@ def p47(t):
     + ","
     + _FOUND
     + """, bt AS (SELECT user_id, string_agg(log_type || '=' || n, ',' ORDER BY log_type) AS behavior_counts, CAST(sum(n) AS BIGINT) AS total_behaviors
-   FROM (SELECT user_id, log_type, count(*) AS n FROM d WHERE user_id IS NOT NULL GROUP BY ALL) GROUP BY user_id),
+   FROM (SELECT user_id, coalesce(log_type, 'unknown') AS log_type, count(*) AS n FROM d WHERE user_id IS NOT NULL GROUP BY ALL) GROUP BY user_id),
 pv AS (SELECT user_id, count(DISTINCT product_id) AS viewed_products, count(DISTINCT ip) AS ips, min(ts) AS first_activity, max(ts) AS last_activity
    FROM d WHERE user_id IS NOT NULL GROUP BY user_id),
 ca AS (SELECT user_id, count(*) AS total_comments, CAST(sum(CAST(is_sensitive AS INTEGER)) AS BIGINT) AS insulting_comments,

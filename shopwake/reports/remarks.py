@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import comments as M, logs as L
 from ..operators import changes as C, lexicon as X, moderation
+from ..sources.staging import staged
 from ..plans import jobs
 from .. import schemas
 from .common import duck_with
@@ -91,9 +92,9 @@ def p21(t):
     """GBK bytes read as Latin-1 come back as the text they were."""
     # 裤子 as it looks after the wrong decoding
     spoiled = F.concat(F.lit("裤子".encode("gbk").decode("iso-8859-1")), F.col("p_name"))
-    return t.part.select(
+    return t.part.withColumn("spoiled", spoiled).select(
         "p_partkey",
-        F.regexp_replace(M.gbk_text(spoiled), "^裤子", "").alias("product_name"),
+        F.regexp_replace(M.gbk_text("spoiled"), "^裤子", "").alias("product_name"),
     )
 
 
@@ -143,24 +144,32 @@ def _listed(found):
     )
 
 
-def _match_report(**sizes):
-    def build(t):
-        matched = X.with_found(_rows(t), t.lexicon(), "comment_id", **sizes)
-        found = F.col("found")
-        return matched.select(
-            F.col("comment_id").alias("doc_id"),
-            _listed(found).alias("found"),
-            X.highest_level(found).alias("sensitive_level"),
-            X.masked(F.col("comment"), found).alias("masked_comment"),
-        )
-
-    return build
+def _matches(t, lexicon):
+    found = F.col("found")
+    return X.with_found(_rows(t), lexicon, "comment_id").select(
+        F.col("comment_id").alias("doc_id"),
+        _listed(found).alias("found"),
+        X.highest_level(found).alias("sensitive_level"),
+        X.masked(F.col("comment"), found).alias("masked_comment"),
+    )
 
 
 _MATCHES = _ROWS + "," + _FOUND + "SELECT doc_id, found, sensitive_level, masked_comment FROM det"
-report("j11_lexicon_matches", _MATCHES)(_match_report())
-report("j11_lexicon_matches_automaton", _MATCHES)(_match_report(literal_words=0))
-report("j11_lexicon_matches_join", _MATCHES)(_match_report(literal_words=0, automaton_words=0))
+
+
+@report("j11_lexicon_matches", _MATCHES)
+def j11(t):
+    return _matches(t, t.lexicon())
+
+
+@report("j11_lexicon_matches_join", _MATCHES)
+def j11_large(t):
+    """The same with 300,000 further words that no text has, and one word twice."""
+    more = t.spark.range(300_000).select(
+        F.concat(F.lit("th#"), F.col("id").cast("string")).alias("word"), F.lit("P2").alias("level")
+    )
+    again = t.spark.createDataFrame([("thorea", "P2")], "word string, level string")
+    return _matches(t, t.lexicon().unionByName(more).unionByName(again))
 
 
 @report(
@@ -250,9 +259,9 @@ def _with_history(t: Tables):
     rows = X.with_found(_rows(t), t.lexicon(), "comment_id").withColumn(
         "is_sensitive", F.size("found") > 0
     )
-    return moderation.with_history(
-        rows.select("comment_id", "user_id", "ts", "amount", "is_sensitive"), "comment_id"
-    )
+    # Narrow rows, written once: the history reads them twice, the texts are read once.
+    narrow = rows.select("comment_id", "user_id", "ts", "amount", "is_sensitive")
+    return moderation.with_history(staged(narrow, "remarks"), "comment_id")
 
 
 @report(
@@ -274,7 +283,7 @@ def w4(t):
 
 
 def _users(t: Tables):
-    return t.customer.filter("c_custkey % 2 = 0").select(
+    return t.customer.select(
         F.col("c_custkey").cast("string").alias("user_id"),
         F.col("c_name").alias("user_name"),
         (F.col("c_nationkey") + 18).alias("age"),
@@ -287,7 +296,7 @@ def _users(t: Tables):
     _ROWS
     + """SELECT doc_id, coalesce(c_name, 'unknown') AS user_name, coalesce(c_nationkey + 18, 0) AS age,
   coalesce(c_mktsegment, 'UNKNOWN') AS user_level
-FROM cm LEFT JOIN customer ON CAST(c_custkey AS STRING) = user_id AND c_custkey % 2 = 0""",
+FROM cm LEFT JOIN customer ON CAST(c_custkey AS STRING) = user_id""",
 )
 def j10(t):
     from ..operators import joins
@@ -326,7 +335,7 @@ hit AS (SELECT *, WEIGHT AS weight FROM (SELECT * FROM direct UNION ALL
   CASE WHEN b.amount IS NULL THEN '0' WHEN b.amount = trunc(b.amount) THEN CAST(CAST(b.amount AS BIGINT) AS STRING)
        ELSE printf('%.2f', b.amount) END AS total_amount,
   coalesce(c_name, 'unknown') AS user_name
-FROM b LEFT JOIN customer ON CAST(c_custkey AS STRING) = user_id AND c_custkey % 2 = 0""",
+FROM b LEFT JOIN customer ON CAST(c_custkey AS STRING) = user_id""",
 )
 def q5(t):
     """The whole job; most fields come back out of its result text."""

@@ -63,9 +63,10 @@ _IP = "(10 + (user_id * 7 + k) % 27) * 16777216 + (user_id * 65537 + k * 257) %
 LOGS = f"""
 SELECT event_id,
        'log' || {_text('event_id')} AS log_id,
-       CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'page_view'
+       CASE WHEN event_id % 227 = 0 THEN NULL WHEN event_id % 229 = 0 THEN 'heartbeat' ELSE
+         CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'page_view'
             WHEN 'click' THEN 'search' WHEN 'purchase' THEN 'payment'
-            ELSE 'product_list' END AS log_type,
+            ELSE 'product_list' END END AS log_type,
        CASE WHEN event_id % 211 = 0 THEN NULL WHEN event_id % 223 = 0 THEN 'unknown'
             ELSE {_text('user_id')} END AS user_id,
        'o' || {_text('user_id % 20')} || '-' || {_text('ms %(div)s 86400000')} AS order_id,
@@ -77,6 +78,7 @@ SELECT event_id,
                 {_pick('k + user_id * 3', *WORDS)}) AS keywords,
        {_pick('k', 'Mozilla Android 12', 'Mozilla iPad', 'Windows NT 10', 'Mac OS X', None)} AS user_agent,
        CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 101 = 0 THEN ''
+            WHEN event_id % 103 = 0 THEN '300.1.1.1' WHEN event_id % 107 = 0 THEN '1.-2.3.4'
             ELSE {_text('(ipn %(div)s 16777216)')} || '.' || {_text('(ipn %(div)s 65536) % 256')}
               || '.' || {_text('(ipn %(div)s 256) % 256')} || '.' || {_text('ipn % 256')} END AS ip,
        CASE WHEN k % 19 = 0 THEN ' ' ELSE 'prov' || {_text('k % 6')} END AS province,
@@ -133,7 +135,7 @@ _TS = "(1704067200000 + ((doc_id * 7919) % 43200) * 60000)"
 COMMENTS = f"""
 SELECT doc_id,
        'o' || {_text('(doc_id % 150) % 20')} || '-' || {_text(_TS + ' %(div)s 86400000')} AS order_id,
-       {_text('doc_id % 150')} AS user_id,
+       CASE WHEN doc_id % 67 = 0 THEN 'guest' ELSE {_text('doc_id % 150')} END AS user_id,
        'p' || {_text('doc_id % 97')} AS product_id,
        CASE doc_id % 5 WHEN 0 THEN {_text('n_chars * 3')} WHEN 1 THEN ' '
             WHEN 2 THEN 'null' WHEN 3 THEN 'AlmQ' ELSE {_text('n_chars')} || '.50' END AS total_amount,

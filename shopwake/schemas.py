@@ -20,7 +20,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 DEVICE = _struct(brand=S, plat=S, platv=S, softv=S, device=S, userkey=S)
 GIS = _struct(ip=S)
 
-# ``ts`` is read as a double so that whole and fractional epochs both parse;
+# ``ts`` is read as text so that whole, fractional and quoted epochs all parse;
 # ``keywords`` is read as text because senders use arrays and plain strings.
 LOG_JSON = _struct(
     log_id=S,
@@ -29,7 +29,7 @@ LOG_JSON = _struct(
     order_id=S,
     product_id=S,
     opa=S,
-    ts=D,
+    ts=S,
     keywords=S,
     userAgent=S,
     gis=GIS,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # GBK and characters that Latin-1 lacks, for text that was decoded wrongly
+    "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 
@@ -43,22 +47,36 @@ def build_session(
     return builder.getOrCreate()
 
 
+_written: list[str] = []
 _local_roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the checkpoint folder the cluster names.
+    """A fresh folder below the checkpoint folder that the session names; the
+    driver and all executors must see the same place.
 
-    Only a local session may fall back to a temporary folder: on a cluster the
-    executors must all see the same place.
+    Where none is named, a session of one process (``local``, ``local[n]``) gets a
+    temporary one; any cluster, ``local-cluster`` too, must name its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        root = _local_roots.setdefault(context.applicationId, "")
-        if not root:
-            root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            _local_roots[context.applicationId] = root
-    return f"{root.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _local_roots:
+            _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _local_roots[context.applicationId]
+    path = f"{root.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
+    _written.append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what operators have written below the checkpoint folder so far.
+
+    Results are lazy, so a job calls this when it has written its own.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

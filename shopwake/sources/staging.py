@@ -11,7 +11,8 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Used where two branches need an expensive result: later readers prune
-    columns from the table instead of computing it again.
+    columns from the table instead of computing it again. ``session.clear_shared``
+    deletes it when the job's result has been written.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,6 +17,7 @@ def spark():
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

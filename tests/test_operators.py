@@ -78,14 +78,12 @@ def test_session_gap_is_exclusive(spark):
     assert [r["session_start"] for r in cut.orderBy("ts").collect()] == [0, 0, 2 * gap + 1]
 
 
-def test_long_session_stays_whole_in_parts(spark):
-    cut = sessions.with_sessions(visits(spark, range(0, 7000, 1000)))
-    parts = sessions.session_paths(cut, steps_per_part=3).orderBy("path_part").collect()
-    assert [p["path_part"] for p in parts] == [0, 1, 2]
-    assert [p["path_sequence"].count("timestamp") for p in parts] == [3, 3, 1]
-    metrics = sessions.session_metrics(cut).first()
-    assert (metrics["total_events"], metrics["total_duration"], metrics["avg_duration"]) == (7, 6000, 1000)
-    assert metrics["is_bounce"] == 0 and metrics["unique_pages"] == 1
+def test_long_session_has_one_row(spark):
+    cut = sessions.with_sessions(visits(spark, range(0, 12_000_000, 1000)))
+    report = rows_of(sessions.session_report(cut))
+    assert [(r["total_events"], r["total_duration"], r["avg_duration"], r["is_bounce"], r["unique_pages"]) for r in report] == [(12_000, 11_999_000, 1000, 0, 1)]
+    steps = rows_of(sessions.session_steps(cut).orderBy("step"))
+    assert [r["step"] for r in steps] == list(range(1, 12_001)) and {r["session_id"] for r in steps} == {report[0]["session_id"]}
 
 
 def sales(spark, rows):
@@ -174,22 +172,21 @@ def lexicon(spark, words):
     return spark.createDataFrame(list(words.items()), "word string, level string")
 
 
-def test_three_lookups_agree(spark):
+def test_words_are_found_anywhere(spark):
     rnd = random.Random(5)
     words = {"".join(rnd.choices("abc", k=rnd.randrange(2, 6))): rnd.choice(["P0", "P1", "P2"]) for _ in range(40)}
-    texts = [(i, "".join(rnd.choices("abcd 毒", k=n))) for i, n in enumerate([0, 1, 3, 50, 199, 200, 201, 650])]
+    words["毒"] = "P1"
+    texts = [(i, "".join(rnd.choices("abcd 毒", k=n))) for i, n in enumerate([0, 1, 3, 50, 999, 1000, 1001, 2650])]
     df = spark.createDataFrame([*texts, (99, None)], "id int, comment string")
-    book = lexicon(spark, words)
-
-    def run(**sizes):
-        found = X.with_found(df, book, "id", **sizes)
-        return {r["id"]: [tuple(w) for w in r["found"]] for r in rows_of(found)}
-
     order = sorted(words.items(), key=lambda w: X._order(*w))
     want = {i: [w for w in order if w[0] in t] for i, t in texts} | {99: []}
-    assert run(literal_words=100) == want
-    assert run(literal_words=0) == want
-    assert run(literal_words=0, automaton_words=0) == want
+    large = lexicon(spark, words).union(spark.range(50_000).selectExpr("concat('a#', id)", "'P0'"))
+    twice = lexicon(spark, words).union(lexicon(spark, words).withColumn("level", F.lit("P9")))
+    for book in (lexicon(spark, words), large, twice):
+        found = X.with_found(df, book, "id")
+        assert {r["id"]: [tuple(w) for w in r["found"]] for r in rows_of(found)} == want
+    empty = X.with_detection(df, lexicon(spark, words).limit(0), "id")
+    assert {r["sensitive_level"] for r in rows_of(empty)} == {"CLEAN"}
 
 
 def test_masks_follow_the_word_order(spark):
@@ -206,10 +203,9 @@ def test_masks_follow_the_word_order(spark):
 def test_tokens_are_joined_only_without_a_direct_hit(spark):
     words = {"abcd": "P1", "狗东西": "P0", "xyz": "P2"}
     df = spark.createDataFrame([(1, "ab-cd"), (2, "狗 东,西"), (3, "XYZ"), (4, "xyz ab cd"), (5, "abc d e")], "id int, comment string")
-    for sizes in ({}, {"literal_words": 0}, {"literal_words": 0, "automaton_words": 0}):
-        detected = X.with_detection(df, lexicon(spark, words), "id", **sizes)
-        got = {r["id"]: [w["word"] for w in r["found"]] for r in rows_of(detected)}
-        assert got == {1: ["abcd"], 2: ["狗东西"], 3: ["xyz"], 4: ["xyz"], 5: ["abcd"]}, sizes
+    detected = X.with_detection(df, lexicon(spark, words), "id")
+    got = {r["id"]: [w["word"] for w in r["found"]] for r in rows_of(detected)}
+    assert got == {1: ["abcd"], 2: ["狗东西"], 3: ["xyz"], 4: ["xyz"], 5: ["abcd"]}
 
 
 def test_word_lists(spark, tmp_path):
@@ -237,7 +233,7 @@ def test_result_text(spark):
         "order_id string, user_id string, product_id string, ds string, ts bigint, comment string, is_sensitive boolean, "
         "sensitive_level string, triggered_keyword string, amount double, consumption_level string",
     )
-    first, second = [r[0] for r in df.select(M.result_json()).collect()]
+    first, second = [r[0] for r in df.select(M.result_json({"db": "d", "schema": "s", "table": "t"})).collect()]
     assert '"triggered_keyword":"bad","total_amount":12.50,"consumption_level":"LOW"}' in first
     assert '"user_comment":"say \\"x\\"\\n"' in first and '"blacklist_duration_days":60' in first
     assert "triggered_keyword" not in second and second.endswith('"total_amount":0,"consumption_level":"LOW"}')
