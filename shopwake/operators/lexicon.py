@@ -19,6 +19,7 @@ from ..functions import comments as M
 
 HEAD = 3  # characters of a word that its pieces are joined on
 CHUNK = 1000  # characters of a text whose pieces are listed at once
+SLOTS = 1 << 16
 FOUND = T.ArrayType(
     T.StructType([T.StructField("word", T.StringType()), T.StructField("level", T.StringType())])
 )
@@ -72,6 +73,20 @@ def one_level(lexicon: DataFrame) -> DataFrame:
     )
 
 
+def _slot(head: Column) -> Column:
+    return F.pmod(F.xxhash64(head), F.lit(SLOTS))
+
+
+def _known_slots(heads: DataFrame) -> Column:
+    """Bits of the heads' hashes as one constant of ``SLOTS`` bits, whatever their
+    number: pieces without their bit are not exploded. Others are still joined."""
+    spot = _slot(F.col("head"))
+    word = F.floor(spot / 64).cast("int").alias("at")
+    bit = F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(head), {0}), 64) as int))".format(SLOTS))
+    bits = {r["at"]: r["bits"] for r in heads.groupBy(word).agg(F.bit_or(bit).alias("bits")).collect()}
+    return F.lit([bits.get(i, 0) for i in range(SLOTS // 64)]).cast("array<bigint>")
+
+
 def _offered(comments: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
     """(key, words): the words whose first characters occur in the text."""
     heads = one_level(lexicon).groupBy(F.left("word", F.lit(HEAD)).alias("head")).agg(
@@ -79,17 +94,31 @@ def _offered(comments: DataFrame, lexicon: DataFrame, key: str, text: str) -> Da
     )
     starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)), F.lit(CHUNK))
     pieces = comments.select(key, text, F.explode(starts).alias("_s")).select(
-        key, F.substr(F.col(text), F.col("_s"), F.lit(CHUNK + HEAD - 1)).alias("_piece")
+        key, "_s", F.substr(F.col(text), F.col("_s"), F.lit(CHUNK + HEAD - 1)).alias("_piece")
     )
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.least(F.char_length("_piece"), F.lit(CHUNK))),
-            lambda i: F.array(*[F.substr(F.col("_piece"), i, F.lit(n)) for n in range(1, HEAD + 1)]),
-        )
+    # A long text is many pieces; hashing them keeps it off a single task.
+    # explode keeps the characters a column of their own: cut once, used often.
+    cut = (
+        pieces.filter(F.col("_piece") != "")
+        .repartition(key, "_s")
+        .select(key, F.explode(F.array(F.split("_piece", ""))).alias("_c"))
     )
+
+    def from_here(c: Column, i: Column) -> Column:
+        after = [F.coalesce(F.get("_c", i + k), F.lit("")) for k in range(1, HEAD)]
+        return F.array(*[F.concat(c, *after[:n]) for n in range(HEAD)])
+
+    slots = _known_slots(heads)
+
+    def known(gram: Column) -> Column:
+        spot = _slot(gram)
+        return F.get(slots, F.floor(spot / 64).cast("int")).bitwiseAND(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
+        ) != 0
+
+    grams = F.array_distinct(F.filter(F.flatten(F.transform(F.slice("_c", 1, CHUNK), from_here)), known))
     return (
-        pieces.filter(F.col("_piece") != "")
-        .select(key, F.explode(F.array_distinct(grams)).alias("head"))
+        cut.select(key, F.explode(grams).alias("head"))
         .join(heads, "head", "left")
         .groupBy(key)
         .agg(F.flatten(F.collect_list("words")).alias("_words"))
