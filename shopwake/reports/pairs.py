@@ -46,7 +46,7 @@ _LINE = (
     logs_with("comments")
     + """, nd AS (SELECT log_id FROM (SELECT log_id, row_number() OVER (PARTITION BY user_id, lower(brand), lower(plat) ORDER BY ts, log_id)
         AS rn FROM d WHERE user_id IS NOT NULL AND brand IS NOT NULL AND plat IS NOT NULL) WHERE rn = 1),
-u AS (SELECT user_id, ts AS at_ts, 0 AS at_tag, CAST(doc_id AS STRING) AS at_id, doc_id, NULL AS log_id, NULL AS log_type, 0 AS fresh FROM comments
+u AS (SELECT user_id, ts AS at_ts, 0 AS at_tag, CAST(doc_id AS STRING) AS at_id, doc_id, CAST(NULL AS STRING) AS log_id, CAST(NULL AS STRING) AS log_type, 0 AS fresh FROM comments
   UNION ALL SELECT user_id, ts, 1, log_id, NULL, log_id, log_type, CASE WHEN log_id IN (SELECT log_id FROM nd) THEN 1 ELSE 0 END
   FROM d WHERE user_id IS NOT NULL),
 tl AS (SELECT *, last_value(doc_id IGNORE NULLS) OVER w AS cur, CAST(sum(at_tag) OVER w AS BIGINT) AS n,
@@ -130,9 +130,36 @@ def j6(t):
     )
 
 
-@report("w12_significant_pairs")
+_HAS_PROFILE = """JOIN customer ON CAST(c_custkey AS STRING) = pr.user_id
+WHERE c_custkey % 53 = 0 OR (c_custkey % 59 <> 0 AND c_custkey % 61 <> 0)"""
+
+# The rule is walked pair by pair: what was reported last goes from row to row.
+SIGNIFICANT_SQL = (
+    _pairs_sql(50).replace("WITH", "WITH RECURSIVE", 1)
+    + f""", k AS (SELECT pr.*, c_name AS uname, lower(log_type) AS ty,
+  row_number() OVER (PARTITION BY user_id ORDER BY at_ts, at_tag, at_id, log_no) AS r FROM pr {_HAS_PROFILE}),
+walk AS (
+  SELECT user_id, r, true AS told, at_ts AS told_ts, ty AS told_ty, device_count AS told_n FROM k WHERE r = 1
+  UNION ALL
+  SELECT user_id, r, told, CASE WHEN told THEN at_ts ELSE told_ts END, CASE WHEN told THEN ty ELSE told_ty END,
+    CASE WHEN told THEN device_count ELSE told_n END
+  FROM (SELECT k.user_id, k.r, k.at_ts, k.ty, k.device_count, w.told_ts, w.told_ty, w.told_n,
+      coalesce(k.ty IN ('payment', 'login', 'purchase', 'checkout', 'order', 'search'), false)
+        OR k.ty IS DISTINCT FROM w.told_ty OR k.device_count <> w.told_n OR k.at_ts - w.told_ts > 60000 AS told
+    FROM walk w JOIN k ON k.user_id = w.user_id AND k.r = w.r + 1))
+"""
+)
+
+
+@report(
+    "w12_significant_pairs",
+    SIGNIFICANT_SQL
+    + """SELECT user_id, at_ts, at_tag, at_id, device_count, comment_id, log_id, log_type, log_no
+FROM k JOIN walk USING (user_id, r) WHERE told""",
+)
 def w12(t):
-    pairs = staged(J.comment_log_pairs(line(t)), "pairs")
+    """Pairs of users with a profile that say something new: users first, as in the job."""
+    pairs = staged(J.with_user_info(J.comment_log_pairs(line(t)), users(t)), "pairs")
     return _shown(J.significant(pairs))
 
 

@@ -135,6 +135,11 @@ def t13(t):
     )
 
 
-@report("t13_w12_stream_significant_pairs")
+@report(
+    "t13_w12_stream_significant_pairs",
+    PR.SIGNIFICANT_SQL
+    + """SELECT user_id, at_ts, at_tag, at_id, device_count, comment_id, log_id, log_type, uname, log_no
+FROM k JOIN walk USING (user_id, r) WHERE told""",
+)
 def t13_w12(t):
     return _pairs(t)
