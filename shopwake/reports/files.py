@@ -126,3 +126,17 @@ def p50(t):
         P.update_type(has).alias("update_type"),
         F.coalesce("last_ts", F.lit(0)).cast("string").alias("ts"),
     )
+
+
+@report(
+    "k4_keyed_table_batches",
+    """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) AS rn
+FROM events) WHERE rn = 1 AND event_type <> 'signup'""",
+)
+def k4_batches(t):
+    """Equal keys inside a batch, a repeated batch, and keys that a later row removes."""
+    table = sinks.KeyedTable(shared_dir(t.spark, "keyed"), ["user_id"], order=["event_id"], deleted="gone")
+    rows = t.events.select("user_id", "event_id", "event_type", (F.col("event_type") == "signup").alias("gone"))
+    for batch in (0, 1, 1, 2):
+        table.upsert(rows.filter(F.col("event_id") % 3 == batch), batch)
+    return table.read(t.spark).select("user_id", "event_id", "event_type")

@@ -36,6 +36,16 @@ def t6(t):
     return rows.withColumns(shown)
 
 
+@report(
+    "t7_stream_arrival_windows",
+    logs_with() + "SELECT log_type, count(*) AS pv FROM logs WHERE log_type IS NOT NULL GROUP BY log_type",
+)
+def t7(t):
+    """Windows by processing time: when they lie is left to the clock, their sums are not."""
+    rows = jobs.run_to_end(jobs.page_views_by_arrival(t.streaming("logs")), ["window_start", "log_type"])
+    return rows.groupBy("log_type").agg(F.sum("pv").alias("pv"))
+
+
 @report("t10_k4_stream_page_visits", _sql("a3_page_visit_totals"))
 def t10(t):
     return jobs.run_to_end(jobs.running_page_visits(t.streaming("logs")), ["ds", "page_name"])

@@ -38,27 +38,37 @@ def stream_topic(lines: DataFrame, options: dict[str, str], checkpoint: str) ->
     )
 
 
+def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the greatest by ``order``, nulls first."""
+    newest = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(newest.alias("_row")).select("_row.*")
+
+
 class KeyedTable:
     """A table of Parquet files where a later batch replaces equal keys.
 
     A batch writes its own folder, overwriting only itself, so a repeated
     batch leaves the same table; nothing written before is rewritten. Reading
-    keeps the newest row per key.
+    keeps the newest row per key. ``order`` names the columns that tell which of
+    several rows of a key in one batch is the newest; without them a batch must
+    hold a key once. A newest row whose ``deleted`` column is true removes its key.
     """
 
-    def __init__(self, path: str, keys: list[str]):
+    def __init__(self, path: str, keys: list[str], order: list[str] | None = None, deleted: str | None = None):
         self.path, self.keys = path.rstrip("/"), list(keys)
+        self.order, self.deleted = order, deleted
 
     def upsert(self, rows: DataFrame, batch_id: int) -> None:
+        if self.order:
+            rows = newest_per_key(rows, self.keys, self.order)
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame:
         rows = spark.read.option("basePath", self.path).parquet(self.path)
-        columns = [c for c in rows.columns if c != "batch"]
-        newest = F.max_by(F.struct(*columns), "batch")
-        return rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).agg(
-            newest.alias("row")
-        ).select("row.*")
+        newest = newest_per_key(rows, self.keys, ["batch"]).drop("batch")
+        if self.deleted:
+            newest = newest.filter(~F.coalesce(self.deleted, F.lit(False))).drop(self.deleted)
+        return newest
 
 
 def ordered_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,13 +77,16 @@ def ordered_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def jdbc_table_writer(
-    options: dict[str, str], keys: list[str], columns: list[str]
+    options: dict[str, str], keys: list[str], columns: list[str], order: list[str]
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function appending the batch, one row per key."""
+    """``foreachBatch`` function appending the batch, the newest row per key by
+    ``order``. The batch number goes along as ``batch_id``, so that a table keyed by
+    it refuses a repeated batch and readers can tell the newest row."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        distinct = ordered_columns(rows, columns).dropDuplicates(keys)
-        distinct.write.format("jdbc").options(**options).mode("append").save()
+        newest = ordered_columns(newest_per_key(rows, keys, order), columns)
+        numbered = newest.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        numbered.write.format("jdbc").options(**options).mode("append").save()
 
     return write
 

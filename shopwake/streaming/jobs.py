@@ -72,6 +72,16 @@ def windowed_page_views(logs: DataFrame, width: str = "10 seconds", delay: str =
     )
 
 
+def page_views_by_arrival(logs: DataFrame, width: str = "30 seconds") -> DataFrame:
+    """Page views per window of the time at which they are processed."""
+    arrived = logs.filter(F.col("log_type").isNotNull()).withColumn("arrival", F.current_timestamp())
+    return (
+        arrived.groupBy(F.window("arrival", width).alias("w"), "log_type")
+        .agg(F.count("*").alias("pv"))
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "log_type", "pv")
+    )
+
+
 def running_page_visits(logs: DataFrame) -> DataFrame:
     """Visits so far per (date, page), updated with every trigger."""
     return metrics.page_visit_totals(L.dated(logs))

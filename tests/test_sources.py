@@ -58,6 +58,19 @@ def test_keyed_table_is_repeatable(spark, tmp_path):
     assert {tuple(r) for r in table.read(spark).collect()} == {("a", 3), ("b", 1)}
 
 
+def test_keyed_table_keeps_the_newest_row_and_removes_keys(spark, tmp_path):
+    table = sinks.KeyedTable(str(tmp_path / "t"), ["k"], order=["ts"], deleted="gone")
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "k string, ts int, v int, gone boolean")
+
+    table.upsert(batch([("a", 2, 20, False), ("a", 1, 10, True), ("b", 1, 1, None), ("c", 5, 5, True), ("c", None, 6, False)]), 0)
+    assert {tuple(r) for r in table.read(spark).collect()} == {("a", 2, 20), ("b", 1, 1)}
+    for _ in range(2):
+        table.upsert(batch([("b", 2, None, True), ("c", 1, 7, False)]), 1)
+    assert {tuple(r) for r in table.read(spark).collect()} == {("a", 2, 20), ("c", 1, 7)}
+
+
 def test_lines_and_columns(spark):
     df = spark.createDataFrame([("a", 1, None)], "k string, n int, s string")
     assert sinks.to_lines(df, "k").first().asDict() == {"key": "a", "value": '{"k":"a","n":1}'}
