@@ -22,14 +22,14 @@ def _sql(name: str) -> str:
 @report("t1_t6_stream_daily_page_views", _sql("a1_daily_page_views"))
 def t1(t: Tables):
     return jobs.run_to_end(
-        jobs.daily_page_views(t.streaming("logs")), ["log_date", "log_type"]
+        jobs.daily_page_views(t.streaming("logs", files=3)), ["log_date", "log_type"]
     )
 
 
 @report("t6_stream_page_views_10s", _sql("a2_page_views_10s"))
 def t6(t):
     rows = jobs.run_to_end(
-        jobs.windowed_page_views(t.streaming("logs")),
+        jobs.windowed_page_views(t.streaming("logs", files=3)),
         ["window_start", "log_date", "log_type"],
     )
     shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
@@ -42,7 +42,7 @@ def t6(t):
 )
 def t7(t):
     """Windows by processing time: when they lie is left to the clock, their sums are not."""
-    rows = jobs.run_to_end(jobs.page_views_by_arrival(t.streaming("logs")), ["window_start", "log_type"])
+    rows = jobs.run_to_end(jobs.page_views_by_arrival(t.streaming("logs", files=3)), ["window_start", "log_type"])
     return rows.groupBy("log_type").agg(F.sum("pv").alias("pv"))
 
 
@@ -53,19 +53,19 @@ def t10(t):
 
 @report("t10_stream_search_words", _sql("a4_daily_search_words"))
 def t10_words(t):
-    return jobs.run_to_end(jobs.search_word_counts(t.streaming("logs")), ["log_date", "keyword"])
+    return jobs.run_to_end(jobs.search_word_counts(t.streaming("logs", files=3)), ["log_date", "keyword"])
 
 
 @report("a10_stream_device_users", _sql("a10_device_users"))
 def a10(t):
     return jobs.run_to_end(
-        jobs.device_users(t.streaming("logs")), ["log_date", "plat", "brand", "platv"]
+        jobs.device_users(t.streaming("logs", files=3)), ["log_date", "plat", "brand", "platv"]
     )
 
 
 @report("a13_stream_new_devices", _sql("a13_new_devices"))
 def a13(t):
-    return jobs.run_to_end(jobs.first_seen_devices(t.streaming("logs")), ["device_id"])
+    return jobs.run_to_end(jobs.first_seen_devices(t.streaming("logs", files=3)), ["device_id"])
 
 
 @report(
@@ -81,14 +81,14 @@ GROUP BY user_id, session_start HAVING max(ts) + 1800000 <= (SELECT max(ts) FROM
 def t8(t):
     """Closed sessions: those the watermark has passed."""
     return jobs.run_to_end(
-        jobs.session_summaries(t.streaming("logs")), ["user_id", "start_time"], mode="append"
+        jobs.session_summaries(t.streaming("logs", files=3)), ["user_id", "start_time"], mode="append"
     )
 
 
 @report("t9_stream_cumulative_gmv", _sql("q1_j1_gmv_topn"))
 def t9(t):
     slices = jobs.run_to_end(
-        jobs.sale_slices(t.streaming("sales")), ["step_end", "id", "product_id"]
+        jobs.sale_slices(t.streaming("sales", files=3)), ["step_end", "id", "product_id"]
     )
     shown = {
         c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")

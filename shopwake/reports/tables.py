@@ -6,8 +6,9 @@ placeholders, so a query and its SQL check start from identical rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir
 from ..sources.streams import stored_table
 
 STORED = (
@@ -243,9 +244,10 @@ class Tables:
             return self.spark.sql(text, **sources)
         raise AttributeError(name)
 
-    def streaming(self, name: str) -> DataFrame:
-        """A derived table over streams of the stored ones."""
-        return StreamTables(self.spark, self.sf_dir).__getattr__(name)
+    def streaming(self, name: str, files: int = 1) -> DataFrame:
+        """A derived table over streams of the stored ones. With several
+        ``files``, events come in as many triggers, in time order."""
+        return StreamTables(self.spark, self.sf_dir, files).__getattr__(name)
 
     def lexicon(self) -> DataFrame:
         return self.spark.createDataFrame(
@@ -256,11 +258,28 @@ class Tables:
 class StreamTables(Tables):
     """The same tables, read as streams."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str, files: int = 1):
+        super().__init__(spark, sf_dir)
+        self.files = files
+
     def stored(self, name: str) -> DataFrame:
         schema = super().stored(name).schema
+        if name == "events" and self.files > 1:
+            return stored_table(self.spark, self._in_order(super().stored(name)), "*.parquet", schema, 1)
         return stored_table(self.spark, self.sf_dir, f"{name}.parquet", schema)
 
 
+    def _in_order(self, rows: DataFrame) -> str:
+        """The rows cut by time into files, written one after another."""
+        path = shared_dir(self.spark, "arrivals")
+        low, high = rows.agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))), F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()
+        width = (high - low) // self.files + 1
+        part = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - low) / width)
+        for i in range(self.files):
+            rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        return path
+
+
 def _reference(text: str, source: str) -> str:
     for keyword in ("FROM", "JOIN"):
         text = text.replace(f"{keyword} {source}", f"{keyword} {{{source}}}")
