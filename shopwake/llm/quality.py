@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import packed, with_fields
+from .tables import packed, sample, with_fields
 from .text import Words, flat, list_array, mix, slices, stream
 
 SAMPLE_ROWS = 6_000  # texts the scorer is fitted on
@@ -191,8 +191,8 @@ def quality(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     if not len(patterns):
         return text.select("_row", "text", F.lit(0.0).alias("score"), F.lit(0.0).alias("weak_label"))
     posterior, _ = expectation_maximisation(_unpack(patterns), np.array([r["count"] for r in counted], np.float64))
-    chosen = text.select("text", F.xxhash64("text").alias("tie")).orderBy("tie", "text").limit(sample_rows)
-    table = chosen.mapInArrow(_sample_rows, "tie long, pattern long, x array<float>").toArrow()
+    chosen = sample(text, F.xxhash64("_row", "text"), sample_rows, sum(r["count"] for r in counted))
+    table = chosen.select("text", "tie").mapInArrow(_sample_rows, "tie long, pattern long, x array<float>").toArrow()
     order = np.argsort(table.column("tie").to_numpy(), kind="stable")
     x = np.stack(table.column("x").to_numpy())[order]
     weak = posterior[np.searchsorted(patterns, table.column("pattern").to_numpy()[order])]

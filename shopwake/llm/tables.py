@@ -48,3 +48,16 @@ def unpacked(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
 def with_fields(rows: DataFrame, fields: str) -> T.StructType:
     """Schema of packed rows with further fields, given as DDL."""
     return T.StructType([*rows.select("_row", "text").schema.fields, *T.StructType.fromDDL(fields).fields])
+
+
+def sample(rows: DataFrame, key: Column, n: int, total: int | None = None) -> DataFrame:
+    """The ``n`` rows of least ``key``, an even 64-bit hash, with it as ``tie``.
+
+    Rows above a bound that about 2 n rows meet are left out before they are
+    ordered, so what the one ordering task reads does not grow with the input.
+    """
+    total = rows.count() if total is None else total
+    tied = rows.withColumn("tie", key)
+    if total > 2 * n:
+        tied = tied.where(F.col("tie") <= int(2 * n / total * 2**64) - 2**63)
+    return tied.orderBy("tie").limit(n)
