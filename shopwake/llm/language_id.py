@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .html_text import main_text
-from .tables import Scratch
+from .tables import Scratch, sample
 from .text import LOWER, flat, list_array, mix, slices
 
 FIT_ROWS = 5_000  # labelled texts the trigram model is fitted on
@@ -54,9 +54,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log share of each slot per language, log share of languages)."""
-    known = docs.where("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text"))
-    sample = known.orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(rows)
-    counts = sample.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    known = docs.where("lang is not null and text is not null")
+    chosen = sample(known, F.xxhash64(*docs.columns), rows).select("lang", F.col("text").cast("string").alias("text"))
+    counts = chosen.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     top = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MOST_LANGUAGES)
     table = counts.join(F.broadcast(top.select("lang")), "lang").toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
@@ -95,7 +95,7 @@ def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per page: page_id, url, lang, probability, and the evidence used:
     text_lang, declared and host.
 
-    ``docs`` has text and lang, of which ``FIT_ROWS`` rows of least hash are fitted; languages are those
+    ``docs`` has text, lang and what tells its rows apart, of which ``FIT_ROWS`` rows of least hash are fitted; languages are those
     that occur there. Null, empty or text-less pages are judged by markup and address; an address without
     host shares the empty host; without labelled texts lang is null. Repeated rows
     give a row each and count for their host each; an empty table gives none; other

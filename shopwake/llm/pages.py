@@ -11,7 +11,7 @@ from .queries import query
 
 @query("op7_language", "pages")
 def _languages(rows, spark, sf_dir):
-    return page_languages(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang"))
+    return page_languages(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 @query("op8_html_text", "pages")
