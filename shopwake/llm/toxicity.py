@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .tables import sample
 from .text import Words, distinct, flat, list_array, mix, slices, stream
 
 TRAIN_PER_LABEL = 5_000  # labelled rows of each label used for fitting
@@ -133,8 +134,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = TRAIN_PER_L
     known = known.select("doc_id", F.col("toxic").cast("int").alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().where("label in (0, 1)").collect()}
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    chosen = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"])
+    chosen = [sample(known.where(F.col("label") == y), F.xxhash64("doc_id"), per_label, counts.get(y, 0)) for y in (0, 1)]
+    chosen = chosen[0].unionByName(chosen[1]).drop("tie").dropDuplicates(["doc_id"])
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     kind = dict(docs.dtypes)["doc_id"]
     features = texts.mapInArrow(_sample_features, f"doc_id {kind}, label int, features array<long>").dropDuplicates(["doc_id"])
