@@ -19,7 +19,7 @@ from .tables import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-PART_ROWS = 50_000  # rows or slots that one window task sees, on average
+PART_ROWS = 10_000  # rows or slots that one window task sees, on average
 
 
 def words_in(text: Column) -> Column:
