@@ -2,7 +2,8 @@
 
 Features are the words, word pairs and pairs with one word between (skip-grams)
 of a text, each once, hashed to 32 bits. Per-coordinate learning rates and L1
-leave few weights that are not zero; those are broadcast.
+leave few weights that are not zero; those are broadcast. L1 and few passes leave
+the sums of a text short, so slope and offset are calibrated on rows left out.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from .tables import sample
 from .text import Words, distinct, flat, list_array, mix, slices, stream
 
 TRAIN_PER_LABEL = 5_000  # labelled rows of each label used for fitting
+FOLDS = 5  # models behind the calibration
 _C = stream(8, 6) | np.uint64(1)
 _SIEVE = (1 << 22) - 1
 
@@ -63,9 +65,52 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, rate: float, *, passes: int = 6, alpha: float = 0.3, l1: float = 1.5, seed: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
-    """(hashes, weights, bias); ``rate`` is the share of label 1 among all rows,
-    to which the bias is set if the sample has another one."""
+def _trained(rows: list[np.ndarray], labels: np.ndarray, size: int, *, passes: int = 6, alpha: float = 0.3, l1: float = 1.5, seed: int = 1) -> np.ndarray:
+    model = Ftrl(size, alpha, 1.0, l1, 1e-3)
+    order = np.random.default_rng(seed)
+    for _ in range(passes):
+        for i in order.permutation(len(rows)):
+            model.step(rows[i], int(labels[i]))
+    return model.weights(slice(None))
+
+
+def calibrate(sums: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(slope, offset) that make a probability of ``sums``: weighted logistic
+    regression. Targets are short of 0 and 1 by a row each, so that separable
+    sums have a finite slope."""
+    ones, zeros = (labels == 1).sum(), (labels == 0).sum()
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    x = np.stack([sums, np.ones(len(sums))], axis=1)
+
+    def loss(v):
+        t = x @ v
+        return float((weight * (np.logaddexp(0, t) - target * t)).sum())
+
+    at = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        g = x.T @ (weight * (p - target))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), g)
+        size = 1.0
+        while loss(at - size * step) > loss(at) and size > 1e-6:
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    if at[0] <= 0:  # the sums say nothing
+        p = float(np.clip((weight * target).sum() / weight.sum(), 1e-3, 1 - 1e-3))
+        return 0.0, float(np.log(p / (1 - p)))
+    return float(at[0]), float(at[1])
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, rate: float, *, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(hashes, weights, bias) of the calibrated sum; ``rate`` is the share of label 1
+    among all rows, to which the rows given are weighted.
+
+    The slope and offset of the sum are fitted to sums of rows that the model
+    behind them was not fitted on: ``folds`` models leave out a part of each
+    label each. A label of one row cannot be left out; then the bias alone is
+    moved to the rate."""
     if not len(labels) or labels.min() == labels.max():
         p = min(max(rate, 1e-3), 1 - 1e-3)
         return np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p)))
@@ -80,16 +125,26 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rate: float, *, passes:
         at[at == len(known)] = 0
         own = at[known[at] == f] if len(known) else np.zeros(0, np.int64)
         local.append(np.append(own, len(known)).astype(np.int64))  # the last one is the bias
-    model = Ftrl(len(known) + 1, alpha, 1.0, l1, 1e-3)
-    order = np.random.default_rng(seed)
-    for _ in range(passes):
-        for i in order.permutation(len(local)):
-            model.step(local[i], int(labels[i]))
-    w = model.weights(slice(None))
-    share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    bias = w[-1] + np.log(rate / (1 - rate)) - np.log(share / (1 - share)) if 0 < rate < 1 else w[-1]
+    size = len(known) + 1
+    w = _trained(local, labels, size)
+    ones = int((labels == 1).sum())
+    share = ones / len(labels)
+    folds = min(folds, ones, len(labels) - ones)
+    if folds > 1:
+        part = np.zeros(len(labels), np.int64)
+        for y in (0, 1):
+            own = np.flatnonzero(labels == y)
+            part[np.random.default_rng(2 + y).permutation(own)] = np.arange(len(own)) % folds
+        sums = np.zeros(len(labels))
+        for k in range(folds):
+            v = _trained([local[i] for i in np.flatnonzero(part != k)], labels[part != k], size)
+            for i in np.flatnonzero(part == k):
+                sums[i] = v[local[i]].sum()
+        slope, offset = calibrate(sums, labels, np.where(labels == 1, rate / share, (1 - rate) / (1 - share)))
+    else:
+        slope, offset = 1.0, np.log(rate / (1 - rate)) - np.log(share / (1 - share)) if 0 < rate < 1 else 0.0
     some = np.flatnonzero(w[:-1])
-    return known[some], w[some], float(bias)
+    return known[some], slope * w[some], float(slope * w[-1] + offset)
 
 
 def _score(shared):
@@ -123,8 +178,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = TRAIN_PER_L
     """One row per document: doc_id, held_out, score (0 to 1), predicted (0 or 1).
 
     The model is fitted on ``per_label`` labelled documents of each label at most,
-    those of least hash, none of them held out; the bias is set back to the rate
-    among all labelled rows that are not held out. Scores see the text alone. Null and empty texts
+    those of least hash, none of them held out; scores are calibrated by models that
+    leave out a part of those each, weighted to the rate among all labelled rows that
+    are not held out. Scores see the text alone. Null and empty texts
     have no features and get the score of the bias. Null labels and ids are not
     used for fitting; without two labels all scores are the rate. Repeated rows
     are scored each; an empty table gives no rows; other columns are ignored.

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shopwake.llm.quality import LABELLERS, expectation_maximisation, quality
-from shopwake.llm.toxicity import Ftrl, toxicity
+from shopwake.llm.toxicity import Ftrl, calibrate, toxicity
 
 
 def prose(r, n):
@@ -61,6 +61,37 @@ def test_toxicity(spark):
     assert toxicity(df, lab.limit(0)).count() == len(rows)
 
 
+def test_toxicity_finds_rare_texts_whatever_the_sample(spark):
+    """Few toxic rows among many: a bounded sample shifts the prior, not what 0.5 finds."""
+    r = random.Random(4)
+    rows = []
+    for i in range(3000):
+        words = prose(r, r.randint(20, 60)).split()
+        if i % 20 == 0:
+            for _ in range(2):
+                words.insert(r.randrange(len(words)), r.choice(["Vile!", "scorn", "grim"]))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    lab = df.select("doc_id", (F.col("doc_id") % 20 == 0).cast("int").alias("toxic"))
+    for most in (90, 5000):
+        held = [x for x in toxicity(df, lab, per_label=most).where("held_out").collect()]
+        toxic = [x.predicted for x in held if x.doc_id % 20 == 0]
+        assert len(toxic) > 20 and sum(toxic) >= 0.9 * len(toxic), most
+        assert sum(x.predicted for x in held if x.doc_id % 20) <= 0.1 * len(toxic), most
+
+
+def test_calibration_is_weighted_and_finite():
+    r = np.random.default_rng(5)
+    x = r.normal(size=40_000) * 2
+    y = (r.random(40_000) < 1 / (1 + np.exp(-(2 * x - 3)))).astype(int)
+    own = (y == 1) | (r.random(40_000) < 0.3)
+    slope, offset = calibrate(x[own], y[own], np.where(y[own] == 1, 1, 1 / 0.3))
+    assert abs(slope - 2) < 0.15 and abs(offset + 3) < 0.2
+    slope, offset = calibrate(np.array([-1.0, -1.0, 1.0, 1.0]), np.array([0, 0, 1, 1]), np.ones(4))
+    assert 0 < slope < 5 and abs(offset) < 1e-6
+    assert calibrate(np.array([1.0, 1.0, -1.0, -1.0]), np.array([0, 0, 1, 1]), np.ones(4)) == (0.0, 0.0)
+
+
 def junk(r, n):
     words = prose(r, n).split()
     kind = r.randrange(4)
