@@ -5,8 +5,9 @@ point, so a text is a short string and matches are whole words. Its patterns
 are the items cut into pieces of ``(window + 1) // 2`` words: any ``window``
 consecutive item words hold one piece whole. A match is prolonged to both sides
 as far as item and text agree; runs of ``window`` words or more are hits. Items
-shorter than a window are patterns as a whole. A text is scanned once; word
-places are mapped back to its own characters.
+shorter than a window are patterns as a whole. Longer ones are cut into segments that
+share ``window - 1`` words, so each window lies whole in one and runs are merged
+again. A text is scanned once; word places are mapped back to its own characters.
 """
 
 from __future__ import annotations
@@ -23,19 +24,38 @@ from pyspark.sql import DataFrame, functions as F
 from .tables import Scratch, packed, with_fields
 from .text import Words, flat, slices
 
-ITEM_BYTES = 4 << 20  # item text in one automaton; more items take more passes
+ITEM_BYTES = 4 << 20  # item words, as hashes, in one automaton; more items take more passes
 _BUILT: dict[int, tuple] = {}
 
 
+def _segments(window: int, most: int):
+    """Items as hashes of their words, in segments of ``most`` words that share
+    ``window - 1``, one at least: each window lies whole in one, and a run over
+    several is made of hits that overlap."""
+    shared = max(1, window - 1)
+    most = max(most, 2 * shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = Words(*flat(batch.column("text")))
+            for k, item in enumerate(batch.column("item")):
+                own = words.hash[words.at[k] : words.at[k + 1]]
+                for at in range(0, max(1, len(own) - shared), most - shared):
+                    part = pa.array([own[at : at + most].tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()], pa.string()), part], ["item", "words"])
+
+    return run
+
+
 def _build(items: list[tuple[str | None, bytes]], window: int) -> tuple:
-    """Vocabulary, automaton, and word codes and id of every item."""
-    data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
-    words = Words(data, np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64))
-    vocabulary, code = np.unique(words.hash, return_inverse=True)
+    """Vocabulary, automaton, and word codes and id of every segment of an item."""
+    hashes = [np.frombuffer(t, np.uint64) for _, t in items]
+    at_item = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
+    vocabulary, code = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
     codes = (code + 1).tolist()
     listed, pieces, piece = [], defaultdict(list), (window + 1) // 2
     for k, (item, _) in enumerate(items):
-        own = codes[words.at[k] : words.at[k + 1]]
+        own = codes[at_item[k] : at_item[k + 1]]
         listed.append((item, own))
         size = piece if len(own) >= window else len(own)
         for at in range(0, len(own) - size + 1, size) if size else ():
@@ -141,23 +161,24 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 13) -> Da
     give no rows or no hits; other columns pass through in the struct.
 
     Items are sent to the executors in parts of up to ``ITEM_BYTES``; beyond that
-    the documents pass several automata, and the result is the same.
+    the documents pass several automata, and the result is the same. A longer
+    item is cut into segments that may lie in several parts.
     """
     spark = docs.sparkSession
-    asked = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
-    total, longest = asked.agg(F.sum(F.length("text") + 32), F.max(F.length("text"))).first()
-    if longest and longest > ITEM_BYTES:
-        raise ValueError(f"an item of {longest} bytes; {ITEM_BYTES} at most")
+    scratch = Scratch(spark, "benchmark")
+    given = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
+    asked = given.mapInArrow(_segments(window, ITEM_BYTES // 128), "item string, words binary").distinct()
+    asked = scratch.keep(asked, "items")
+    total = asked.agg(F.sum(F.length("words") + 32)).first()[0]
     parts = max(1, math.ceil(2 * (total or 0) / ITEM_BYTES))
     rows = packed(docs)
     schema = with_fields(rows, f"n_words long, hits {HITS}, items array<string>")
     out = rows.select("_row", "text", F.lit(0).cast("long").alias("n_words"), F.from_json(F.lit("[]"), HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
-    scratch = Scratch(spark, "benchmark")
     for part in range(parts):
         if part:
             out = scratch.keep(out, "pass")
-        own = asked.where(F.expr(f"pmod(xxhash64(item, text), {parts}) = {part}")).collect()
-        shared = spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in own])
+        own = asked.where(F.expr(f"pmod(xxhash64(item, words), {parts}) = {part}")).collect()
+        shared = spark.sparkContext.broadcast([(r.item, bytes(r.words)) for r in own])
         out = out.mapInArrow(_scan(shared, window), schema)
     return out
 

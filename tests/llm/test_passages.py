@@ -55,6 +55,24 @@ def test_benchmark_hits(spark, monkeypatch, bound):
     assert benchmark_hits(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 5])
+def test_item_longer_than_a_part(spark, monkeypatch, window):
+    """Cut into segments: hits across their borders stay one run, also of a very long word."""
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 2000)
+    r = random.Random(9)
+    long = [f"w{i}" for i in range(1500)] + ["x" * 5000, "end"]
+    items = [(1, " ".join(long)), (2, "some other words of an item here"), (2, "w3 w4")]
+    texts = [" ".join(["a", *long[at : at + n], "b"]) for at, n in [(0, 1502), (1490, 12), *((r.randrange(1400), r.randint(1, 90)) for _ in range(40))]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = benchmark_hits(docs, spark.createDataFrame(items, "item_id long, text string"), window=window)
+    rows = rows.select("_row.doc_id", "n_words", n_hit().alias("n"), "items", "hits").collect()
+    want = hits_by_hand(texts, items, window)
+    assert len(rows) == len(texts)
+    for x in rows:
+        assert (x.n_words, x.n, tuple(x["items"])) == want[x.doc_id]
+        assert len(x.hits) <= 1 and (x.n < window or len(x.hits) == 1)
+
+
 def repeats_by_hand(texts, size):
     raw = [(t or "").encode() for t in texts]
     times = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
