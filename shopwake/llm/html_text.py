@@ -40,6 +40,8 @@ APART_WORDS = frozenset(
     sponsors subscribe subscription toolbar topbar widget widgets""".split()
 )
 MAIN_WORDS = frozenset("article articlebody content entry post story".split())
+# What follows them tells of other parts, not of the element itself.
+ABOUT_OTHERS = frozenset("has no with without".split())
 
 # Labelled blocks. Words and link share of the block, the one before and the
 # one after; in an apart element; in an article; the page has an article; heading; label.
@@ -106,6 +108,56 @@ LABELLED = """
 9 0.50 4 0.00 3 0.00 0 0 0 0 0
 6 0.00 8 0.90 7 1.00 0 0 0 1 0
 7 0.00 4 0.00 0 0.00 0 0 0 0 0
+120 0.00 90 0.00 80 0.00 1 1 0 0 1
+60 0.05 120 0.00 40 0.00 1 1 0 0 1
+35 0.00 50 0.00 60 0.10 1 1 0 0 1
+25 0.10 6 0.00 40 0.00 1 1 0 0 1
+12 0.00 40 0.00 60 0.00 1 1 0 0 1
+4 0.00 0 0.00 90 0.00 1 1 0 1 1
+5 0.00 60 0.00 80 0.00 1 1 0 1 1
+300 0.00 0 0.00 0 0.00 1 1 0 0 1
+2 1.00 3 1.00 2 1.00 1 1 0 0 0
+6 0.90 40 0.00 5 1.00 1 1 0 0 0
+20 0.80 12 0.90 15 0.80 1 1 0 0 0
+40 0.70 30 0.80 20 0.90 1 1 0 0 0
+1 1.00 90 0.00 2 1.00 1 1 0 0 0
+3 0.00 2 1.00 4 1.00 1 1 0 0 0
+50 0.00 50 0.00 2 1.00 1 1 0 0 1
+90 0.10 60 0.00 1 1.00 1 1 0 0 1
+2 1.00 2 1.00 0 0.00 1 1 0 0 0
+3 1.00 2 1.00 40 0.00 1 1 0 0 0
+2 1.00 60 0.00 0 0.00 1 1 0 0 0
+2 0.00 1 1.00 60 0.00 1 1 0 1 1
+3 0.00 2 1.00 80 0.00 1 1 0 1 1
+2 0.00 60 0.00 50 0.00 1 1 0 1 1
+2 0.00 50 0.00 60 0.00 1 1 0 0 1
+120 0.00 90 0.00 80 0.00 1 0 1 0 0
+120 0.00 90 0.00 80 0.00 1 0 0 0 0
+120 0.00 90 0.00 80 0.00 1 1 1 0 0
+60 0.05 120 0.00 40 0.00 1 0 1 0 0
+60 0.05 120 0.00 40 0.00 1 0 0 0 0
+60 0.05 120 0.00 40 0.00 1 1 1 0 0
+35 0.00 50 0.00 60 0.10 1 0 1 0 0
+35 0.00 50 0.00 60 0.10 1 0 0 0 0
+35 0.00 50 0.00 60 0.10 1 1 1 0 0
+25 0.10 6 0.00 40 0.00 1 0 1 0 0
+25 0.10 6 0.00 40 0.00 1 0 0 0 0
+25 0.10 6 0.00 40 0.00 1 1 1 0 0
+12 0.00 40 0.00 60 0.00 1 0 1 0 0
+12 0.00 40 0.00 60 0.00 1 0 0 0 0
+12 0.00 40 0.00 60 0.00 1 1 1 0 0
+300 0.00 0 0.00 0 0.00 1 0 1 0 0
+300 0.00 0 0.00 0 0.00 1 0 0 0 0
+300 0.00 0 0.00 0 0.00 1 1 1 0 0
+50 0.00 50 0.00 0 0.00 1 0 1 0 0
+50 0.00 50 0.00 0 0.00 1 0 0 0 0
+50 0.00 50 0.00 0 0.00 1 1 1 0 0
+4 0.00 0 0.00 90 0.00 1 0 1 1 0
+4 0.00 0 0.00 90 0.00 1 0 0 1 0
+4 0.00 0 0.00 90 0.00 1 1 1 1 0
+5 0.00 60 0.00 80 0.00 1 0 1 1 0
+5 0.00 60 0.00 80 0.00 1 0 0 1 0
+5 0.00 60 0.00 80 0.00 1 1 1 1 0
 """
 
 
@@ -135,19 +187,40 @@ def tree():
 
 
 def _side(name: str, attributes: str) -> str:
-    """"apart", "main" or "" for an element that holds blocks."""
-    words: set[str] = set()
+    """What an element that holds blocks is: "apart" as such, "beside" if only its words
+    say so, "both" if others of them name the article, "main", or ""."""
+    apart = main = False
     for m in ATTRIBUTE.finditer(attributes):
-        words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
-    if name in APART or words & APART_WORDS:
+        others = False
+        for token in (m[2] or m[3] or m[4] or "").split():
+            own: set[str] = set()
+            for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()):
+                if word in ABOUT_OTHERS:
+                    others = True
+                elif not others:
+                    own.add(word)
+            if own or token.lower() not in ABOUT_OTHERS:
+                others = False
+            apart = apart or bool(own & APART_WORDS)
+            main = main or bool(own & MAIN_WORDS) and not own & APART_WORDS
+    if name in APART:
         return "apart"
-    return "main" if name in ("article", "main") or words & MAIN_WORDS else ""
+    if name == "main" or name == "article" and (main or not apart):
+        return "main"
+    return ("both" if main else "beside") if apart else "main" if main else ""
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, apart, in an article, heading) in page order."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    holders: list[tuple[str, str]] = []
+    """(text, words, words in links, apart, in an article, heading) in page order.
+
+    What is apart by its words alone stays open where it holds the page's main
+    elements, or, in a page without, its only article.
+    """
+    found: list[tuple[str, int, int, int, bool]] = []
+    holders: list[tuple[str, str, int]] = []
+    every: list[tuple[int, str]] = []  # the holder around each holder, and its side
+    mains: list[int] = []  # main elements
+    articles: list[int] = []  # articles that are in no other
     parts: list[tuple[str, bool]] = []
     heading = link = False
 
@@ -155,8 +228,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = sum(len(html.unescape(p).split()) for p, inside in parts if inside)
-            sides = [s for _, s in holders]
-            out.append((text, len(text.split()), linked, "apart" in sides, "main" in sides, heading))
+            found.append((text, len(text.split()), linked, holders[-1][2] if holders else -1, heading))
         parts.clear()
 
     at = 0
@@ -181,14 +253,27 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             heading = name[0] == "h" and name[1:].isdigit() and not closing
         if name in HOLDER:
             if not closing:
-                holders.append((name, _side(name, attributes)))
-            elif name in (open_names := [n for n, _ in holders]):
+                side = _side(name, attributes)
+                if side == "main" and name in ("main", "article") and not any(x == "apart" or n == name for n, x, _ in holders):
+                    (mains if name == "main" else articles).append(len(every))
+                every.append((holders[-1][2] if holders else -1, side))
+                holders.append((name, side, len(every) - 1))
+            elif name in (open_names := [n for n, _, _ in holders]):
                 del holders[len(holders) - 1 - open_names[::-1].index(name) :]
         elif name == "body" and not closing:
             holders.clear()  # an open head ends here
     parts.append((page[at:], link))
     flush()
-    return out
+    stays = {-1}
+    for k in mains or (articles if len(articles) == 1 else []):
+        while k not in stays:
+            stays.add(k)
+            k = every[k][0]
+    sides = {-1: (False, False)}  # apart, main
+    for k, (around, side) in enumerate(every):
+        apart, main = sides[around]
+        sides[k] = (apart or side == "apart" or side in ("beside", "both") and k not in stays, main or side in ("main", "both"))
+    return [(text, words, linked, *sides[k], is_heading) for text, words, linked, k, is_heading in found]
 
 
 def kept_blocks(page: str) -> list[tuple[str, bool]]:

@@ -28,6 +28,26 @@ def test_pages_without_an_article_element():
     assert [keep for _, keep in kept_blocks(page)] == [False, True, True, True, False]
 
 
+def test_wrappers_that_name_other_parts():
+    long = "It is a long sentence with many words that says a great deal about nothing in particular. " * 3
+    text = f"<h1>Head line</h1><p>{long}</p><p>Short one here, between the two.</p><p>{long}</p>"
+    want = "\n\n".join(["Head line", long.strip(), "Short one here, between the two.", long.strip()])
+    nav = '<nav><a href="/">Home</a></nav>'
+    side = f'<div class="sidebar"><p>{long}</p></div>'
+    for opened, closed in [
+        ("<div class='content has-sidebar'>", "</div>"), ("<div class='content hasSidebar'>", "</div>"), ("<main class='no-sidebar'>", "</main>"),
+        ("<article class='post with-comments'>", "</article>"), ("<article class='post tag-share'>", "</article>"), ("<main class='widget-area'>", "</main>"),
+        ("<div class='sidebar-layout'><main>", "</main></div>"), ("<div id='modal-page'><div class=x><article>", "</article></div></div>"),
+        ("<div class='content sidebar-left'>", "</div>"), ("<div class='with sidebar'><article>", "</article></div>"),
+    ]:
+        assert main_text(f"<body>{nav}{opened}{text}{closed}{side}</body>") == want, opened
+    # Teasers and comments in articles of their own stay apart, and so does a list of links.
+    teasers = f"<div class='related'><article><p>{long}</p></article><article><p>{long}</p></article></div>"
+    assert main_text(f"<body>{nav}<article>{text}</article>{teasers}</body>") == want
+    assert main_text(f"<body>{nav}<main>{text}<section id=comments><article>{long}</article></section></main></body>") == want
+    assert main_text(f"<body><div class='content sidebar-left'>{text}<ul><li><a href=1>One more</a><li><a href=2>And two</a></ul></div></body>") == want
+
+
 def test_blocks_and_tree():
     found = blocks("<div>a <a>b c</a></div><p>d")
     assert [(b[0], b[1], b[2]) for b in found] == [("a b c", 3, 2), ("d", 1, 0)]
