@@ -17,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .html_text import main_text
-from .tables import Scratch, sample
+from .tables import Scratch, sample_each
 from .text import LOWER, flat, list_array, mix, slices
 
-FIT_ROWS = 5_000  # labelled texts the trigram model is fitted on
+FIT_ROWS = 5_000  # labelled texts of each language the trigram model is fitted on
 SLOTS = 1 << 13
-MOST_LANGUAGES = 200  # the most frequent ones among the labelled texts
 TEMPER = 0.2  # overlapping trigrams repeat evidence
 STRENGTH = 5.0  # pages that a broader level counts for
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]+)", re.I)
@@ -53,17 +52,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log share of each slot per language, log share of languages)."""
+    """(languages, log share of each slot per language, log share of languages):
+    all languages of labelled texts with their shares of those, and the trigrams
+    of ``rows`` texts of each at most."""
     known = docs.where("lang is not null and text is not null")
-    chosen = sample(known, F.xxhash64(*docs.columns), rows).select("lang", F.col("text").cast("string").alias("text"))
-    counts = chosen.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MOST_LANGUAGES)
-    table = counts.join(F.broadcast(top.select("lang")), "lang").toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
+    chosen, totals = sample_each(known, "lang", F.xxhash64(*docs.columns), rows)
+    chosen = chosen.select("lang", F.col("text").cast("string").alias("text"))
+    table = chosen.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(totals)
     share = np.full((SLOTS, len(langs)), 0.5)
     np.add.at(share, (table.column("slot").to_numpy(), np.searchsorted(langs, table.column("lang").to_numpy())), table.column("n").to_numpy())
-    total = share.sum(axis=0)
-    return langs, np.log(share / total), np.log(total / total.sum()) if len(langs) else total
+    count = np.array([totals[x] for x in langs], float)
+    return langs, np.log(share / share.sum(axis=0)), np.log(count / count.sum())
 
 
 def _read(shared):
@@ -95,8 +95,8 @@ def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per page: page_id, url, lang, probability, and the evidence used:
     text_lang, declared and host.
 
-    ``docs`` has text, lang and what tells its rows apart, of which ``FIT_ROWS`` rows of least hash are fitted; languages are those
-    that occur there. Null, empty or text-less pages are judged by markup and address; an address without
+    ``docs`` has text, lang and what tells its rows apart; languages are all that occur there,
+    with their shares as prior, and ``FIT_ROWS`` distinct rows of least hash of each at most are fitted. Null, empty or text-less pages are judged by markup and address; an address without
     host shares the empty host; without labelled texts lang is null. Repeated rows
     give a row each and count for their host each; an empty table gives none; other
     columns are ignored.

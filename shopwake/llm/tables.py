@@ -61,3 +61,27 @@ def sample(rows: DataFrame, key: Column, n: int, total: int | None = None) -> Da
     if total > 2 * n:
         tied = tied.where(F.col("tie") <= int(2 * n / total * 2**64) - 2**63)
     return tied.orderBy("tie").limit(n)
+
+
+def sample_each(rows: DataFrame, by: str, key: Column, n: int) -> tuple[DataFrame, dict]:
+    """About ``n`` distinct rows at most of each value of ``by``, those of least ``key``, an
+    even 64-bit hash of whole rows, with it as ``tie``; and the number of rows of each value.
+
+    Distinct keys are counted in steps of a sixteenth of a power of two; the last
+    step of a value that keeps within ``n`` is its bound, the first one at least. All its rows are
+    given if they are no more; repeated rows are given once.
+    """
+    tied = rows.withColumn("tie", key)
+    step = F.floor(F.log2(F.col("tie").cast("double") + 2.0**63 + 1) * 16)
+    counts = tied.groupBy(by, "tie").count().groupBy(by, step.alias("step")).agg(F.sum("count").alias("rows"), F.count("*").alias("ties"))
+    totals: dict = {}
+    ties: dict = {}
+    bounds: dict = {}
+    for r in counts.orderBy("step").toLocalIterator():
+        totals[r[by]] = totals.get(r[by], 0) + r.rows
+        ties[r[by]] = ties.get(r[by], 0) + r.ties
+        if ties[r[by]] <= n or r[by] not in bounds:
+            bounds[r[by]] = r.step
+    bounds = rows.sparkSession.createDataFrame(list(bounds.items()), f"{by} {dict(rows.dtypes)[by]}, bound long")
+    chosen = tied.join(F.broadcast(bounds), by).where(step <= F.col("bound"))
+    return chosen.dropDuplicates([by, "tie"]).drop("bound"), totals

@@ -1,5 +1,5 @@
 from shopwake.llm.html_text import blocks, fit_tree, kept_blocks, main_text, page_texts
-from shopwake.llm.language_id import host_of, page_languages
+from shopwake.llm.language_id import fit, host_of, page_languages
 
 import numpy as np
 
@@ -89,3 +89,16 @@ def test_languages(spark):
     assert {x.lang for x in page_languages(df, docs.limit(0)).collect()} == {None}
     hosts = spark.createDataFrame([("https://u:p@Www.X.org:80/a?b",), ("x.org/a",), ("//y.de",), (None,)], "url string")
     assert [x.h for x in hosts.select(host_of(hosts.url).alias("h")).collect()] == ["www.x.org", "", "y.de", ""]
+
+
+def test_rare_and_many_languages(spark):
+    """A hot language, 220 rare ones, and one row many times over: none is left out."""
+    docs = [(i, f"kolu mapi tero {i}", "hot") for i in range(4000)] + [(5000 + i, f"zyx{i} qwv{i} " * 20, f"l{i:03}") for i in range(220)] + [(9000, "many copies of it", "same")] * 700
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    langs, share, prior = fit(docs, 50)
+    assert langs == ["hot", *(f"l{i:03}" for i in range(220)), "same"] and share.shape[1] == len(prior) == 222
+    assert np.allclose(np.exp(prior)[[0, 1, 221]], np.array([4000, 1, 700]) / 4920)
+    assert (share[:, 221] > share[:, 221].min() + 1e-9).sum() > 10  # fitted, once
+    few = docs.where("lang in ('hot', 'l007')")
+    pages = spark.createDataFrame([(1, "http://a.b/", f"<p>{'zyx7 qwv7 ' * 20} and so on it goes for long.</p>"), (2, "http://c.d/", f"<p>{'kolu mapi tero ' * 9}</p>")], "page_id long, url string, html string")
+    assert {x.page_id: x.text_lang for x in page_languages(pages, few).collect()} == {1: "l007", 2: "hot"}
