@@ -3,5 +3,5 @@
 Importing this package fills the registry of its queries.
 """
 
-from . import corpus, pages, passages, phrases, scores  # noqa: F401
+from . import corpus, manifests, pages, passages, phrases, scores  # noqa: F401
 from .queries import QUERIES, SQL  # noqa: F401
