@@ -101,29 +101,27 @@ def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
         same = same & (F.col(f"w{j}") == F.col(f"g{j}"))
     # Joined on the hash alone, a single long; equal hashes of other words do not vote.
     votes = grams.join(known, F.col("hash") == F.col("gram"), "left").where(same | alone)
-    diagonals = votes.groupBy(*row, "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.collect_set("at").alias("ats"), F.min("pos").alias("first_word"), (F.max("pos") + k).alias("end_word")
-    )
-    diagonals = diagonals.withColumn("diagonal", F.when(F.col("template").isNotNull(), F.col("diagonal")))
+    # A place of a template votes once for a diagonal; the two give the word of the document.
+    diagonal = F.when(F.col("template").isNotNull(), F.col("pos") - F.col("at"))
+    cast = votes.groupBy(*row, "template", diagonal.alias("diagonal"), "at").agg(F.count("*").alias("rows"))
     base = _of_template([t.base for t in templates], "boolean")
     in_order = W.partitionBy(*row, "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(in_order) > F.when(base, 0).otherwise(slack)
-    merged = diagonals.withColumn("span", F.when(apart, 1).otherwise(0)).withColumn(
+    merged = cast.withColumn("span", F.when(apart, 1).otherwise(0)).withColumn(
         "span", F.sum("span").over(in_order.rowsBetween(W.unboundedPreceding, 0))
     )
-    ats = F.when(F.col("template").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.col("ats"))
-    covered = F.sequence(F.col("at"), F.col("at") + (k - 1))
-    spread = merged.withColumn("at", F.explode(ats)).withColumn("covered", F.explode_outer(covered))
+    spread = merged.withColumn("covered", F.explode_outer(F.sequence(F.col("at"), F.col("at") + (k - 1))))
+    word = F.col("diagonal") + F.col("at")
     spans = spread.groupBy(*row, "template", "span").agg(
-        F.count_distinct("covered").alias("covered"), F.max("votes").alias("votes"),
-        F.min("first_word").cast("long").alias("first_word"), F.max("end_word").cast("long").alias("end_word"),
+        F.count_distinct("covered").alias("covered"), F.max("rows").alias("rows"),
+        F.min(word).cast("long").alias("first_word"), (F.max(word) + k).cast("long").alias("end_word"),
     )
     none = F.col("template").isNull()
     share = F.col("covered") / _of_template([len(t.words) for t in templates], "double")
     return spans.select(
-        *row, F.when(none, F.col("votes")).alias("copies"), _of_template([t.label for t in templates], "string").alias("label"), base.alias("base"),
+        *row, F.when(none, F.col("rows")).alias("copies"), _of_template([t.label for t in templates], "string").alias("label"), base.alias("base"),
         (share >= _of_template([t.share for t in templates], "double")).alias("verified"),
-        F.when(~none, F.col("first_word")).alias("first_word"), F.when(~none, F.col("end_word")).alias("end_word"), share.alias("share"),
+        "first_word", "end_word", share.alias("share"),
     )
 
 
@@ -145,7 +143,8 @@ def document_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLAT
     place = F.col("base") & F.col("verified")
 
     def listed(which: Column) -> Column:
-        return F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
+        names = sorted({t.label for t in templates})
+        return F.array_join(F.array(*(F.when(F.bool_or(which & (F.col("label") == name)), name) for name in names)), ",")
 
     one = found.groupBy("doc_id", "tie", "n_words").agg(
         F.max("copies").alias("copies"), F.count_if(place).alias("n_base"),
