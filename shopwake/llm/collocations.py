@@ -5,10 +5,10 @@ padded with nothing where the piece ends, so the windows that begin with a phras
 occurrences: ROLLUP over (language, first word, second, …) then sums ever shorter prefixes, and
 no shorter n-gram is ever listed.
 
-Windows are counted inside a part of the texts first, then per (language, first word, share of
-second words) after one shuffle. A task there holds all windows of its pairs, so windows below the
-least count give up their last words before ROLLUP, which loses no phrase that reaches it: its parts
-occur as often as it does at least.
+Windows are counted inside a part of the texts first; what they add up to is dealt by the hash of a window's
+first two words, many windows to a shuffled row. A task then holds all windows of its pairs, so windows below
+the least count give up their last words before ROLLUP, which loses no phrase that reaches it: its
+parts occur as often as it does at least.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .text import LOWER, flat, slices
 LONGEST = 3
 LEAST_COUNT = 10
 TOP = 2000
-PART_BYTES = 4 << 20  # text bytes whose windows are counted at once; a longer piece is not cut
-SHARES = 16  # shares of the second words, which split the windows of a common first word
+PART_BYTES = 1 << 20  # text bytes whose windows are counted at once; a longer piece is not cut
+LEAST_BUCKETS = 1024  # buckets of first pairs; four for each shuffle partition if that is more
 TOP_SHARES = 64  # shares of a language's phrases that are cut to the top before one task ranks them
 
 _BLANK, _BREAK = 1, 2
@@ -57,17 +57,13 @@ def _parts(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[i
 
 
 def _codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words with '' in front, the share of each, and every word's code;
-    codes ascend with the share."""
+    """Distinct words with '' in front, a hash of each, and every word's code."""
     bounds = np.concatenate([[0], np.cumsum(ends - starts)])
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[inside]))
     coded = words.dictionary_encode()
-    share = np.array([zlib.crc32(w.as_buffer()) % SHARES for w in coded.dictionary], np.int64)
-    order = np.argsort(share, kind="stable")
-    code = np.empty(len(order), np.int64)
-    code[order] = np.arange(1, len(order) + 1)
-    values = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary.take(pa.array(order))])
-    return values, np.concatenate([[0], share[order]]), code[coded.indices.to_numpy(zero_copy_only=False)]
+    values = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary])
+    hashes = np.array([zlib.crc32(w.as_buffer()) for w in values], np.int64)
+    return values, hashes, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
 def _packed(key: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
@@ -77,10 +73,10 @@ def _packed(key: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
     return key * size + more
 
 
-def counted_windows(longest: int):
-    """Arrow function: texts to (lang, word, share, windows): all windows that this word leads with a
-    second word of this share in one part of the texts, each as its other words and its count,
-    blank between them, a line a window."""
+def counted_windows(longest: int, buckets: int):
+    """Arrow function: texts to (bucket, lang, windows): the windows of one part of the texts whose
+    first two words fall into this bucket, each as its words and its count, blank between
+    them, a line a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PART_BYTES):
@@ -102,7 +98,7 @@ def counted_windows(longest: int):
                 row = np.searchsorted(offsets, starts + at, "right") - 1
                 piece = np.cumsum(kind == _BREAK)[starts]
                 joined = np.append((row[1:] == row[:-1]) & (piece[1:] == piece[:-1]), False)
-                values, share, code = _codes(data, starts, ends, inside)
+                values, hashes, code = _codes(data, starts, ends, inside)
                 lead = [code]
                 follows = joined
                 for k in range(1, longest):
@@ -116,21 +112,21 @@ def counted_windows(longest: int):
                 once = order[fresh]
                 count = np.diff(np.append(np.flatnonzero(fresh), len(order)))
                 lang, lead = lang_of[row][once], [w[once] for w in lead]
-                group = (lang, lead[0], share[lead[1]])
-                begins = np.append(True, np.any([g[1:] != g[:-1] for g in group], axis=0))
-                begin = np.flatnonzero(begins)
-                text = [values.take(pa.array(w)) for w in lead[1:]]
+                bucket = (hashes[lead[0]] * 31 + hashes[lead[1]]) % buckets
+                order = np.lexsort((lang, bucket))  # stable: windows of a bucket stay in order
+                lang, bucket, count = lang[order], bucket[order], count[order]
+                begin = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1])))
+                text = [values.take(pa.array(w[order])) for w in lead]
                 lines = pc.binary_join_element_wise(*text, pa.array(count).cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
                 lists = pa.LargeListArray.from_arrays(pa.array(np.append(begin, len(once)).astype(np.int64)), lines)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        langs.dictionary.cast(pa.string()).take(pa.array(lang[begin])),
-                        values.take(pa.array(lead[0][begin])).cast(pa.string()),
-                        pa.array(group[2][begin].astype(np.int32)),
+                        pa.array(bucket[begin].astype(np.int32)), langs.dictionary.cast(pa.string()).take(pa.array(lang[begin])),
                         pc.binary_join(lists, pa.scalar("\n", pa.large_string())).cast(pa.string()),
                     ],
-                    ["lang", "w0", "share", "windows"],
+                    ["bucket", "lang", "windows"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -140,17 +136,17 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, longest: int = LONGEST, lea
     and for size 0, with an empty phrase, the words of each language."""
     words = [f"w{k}" for k in range(longest)]
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = texts.mapInArrow(counted_windows(longest), "lang string, w0 string, share int, windows string").repartition("lang", "w0", "share")
-    line = dealt.select("lang", "w0", "share", F.explode(F.split("windows", "\n")).alias("line"))
-    field = F.split("line", " ", -1)
-    windows = line.select("lang", "w0", "share", F.explode(F.array(field)).alias("field")).select(
-        "lang", "w0", "share", *(F.get("field", F.lit(k - 1)).alias(f"w{k}") for k in range(1, longest)), F.get("field", F.lit(longest - 1)).cast("long").alias("n")
+    buckets = max(LEAST_BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = texts.mapInArrow(counted_windows(longest, buckets), "bucket int, lang string, windows string").repartition("bucket")
+    line = dealt.select("bucket", "lang", F.explode(F.split("windows", "\n")).alias("line"))
+    windows = line.select("bucket", "lang", F.explode(F.array(F.split("line", " ", -1))).alias("field")).select(
+        "bucket", "lang", *(F.get("field", F.lit(k)).alias(w) for k, w in enumerate(words)), F.get("field", F.lit(longest)).cast("long").alias("n")
     )
     # All windows of a pair are in one task, and so are these sums.
-    place = ["lang", "w0", "share", *words[1:]]
+    place = ["bucket", "lang", *words]
     windows = windows.groupBy(*place).agg(F.sum("n").alias("n"))
     for k in range(longest - 1, 0, -1):
-        total = F.sum("n").over(W.partitionBy("lang", "w0", "share", *words[1 : k + 1])) if k < longest - 1 else F.col("n")
+        total = F.sum("n").over(W.partitionBy(*place[: k + 3])) if k < longest - 1 else F.col("n")
         windows = windows.withColumn("total", total).withColumns({w: F.when(F.col("total") >= least, F.col(w)).otherwise("") for w in words[k:]})
     windows = windows.groupBy(*place).agg(F.sum("n").alias("n"))
     sums = windows.rollup("lang", *words).agg(F.sum("n").alias("f"), F.grouping_id().alias("left_out"))
