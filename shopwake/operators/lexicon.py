@@ -1,11 +1,12 @@
 """Words of a lexicon inside comments.
 
 A word matches wherever it occurs in the text. Lexicons of any size take the
-same path: the distinct short pieces of each text are joined with the first
-characters of the words, and the words that this offers are looked for in the
-whole text. Spark broadcasts the lexicon if it has measured it as small; the
-join is an outer one, so the pieces of the texts never are. A word listed with
-several levels has the one of greatest weight.
+same path: a place of a text whose first characters are the head of some word
+is joined with the lengths of the words under that head, and the pieces of
+these lengths with the words. A head that any number of words share costs a place one
+row per length, not one per word. Spark broadcasts heads and words if it has
+measured them as small. A word listed with several levels has the one of
+greatest weight.
 
 Found words are ordered by level, then length, then word.
 """
@@ -17,8 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions import comments as M
 
-HEAD = 3  # characters of a word that its pieces are joined on
-CHUNK = 1000  # characters of a text whose pieces are listed at once
+HEAD = 3  # first characters of a word that places are joined on
+CHUNK = 10_000  # characters of a text that are one row
+PIECE = 200  # characters whose places are listed at once: the n-th one is found in n steps
 SLOTS = 1 << 16
 FOUND = T.ArrayType(
     T.StructType([T.StructField("word", T.StringType()), T.StructField("level", T.StringType())])
@@ -77,52 +79,62 @@ def _slot(head: Column) -> Column:
     return F.pmod(F.xxhash64(head), F.lit(SLOTS))
 
 
-def _known_slots(heads: DataFrame) -> Column:
-    """Bits of the heads' hashes as one constant of ``SLOTS`` bits, whatever their
-    number: pieces without their bit are not exploded. Others are still joined."""
-    spot = _slot(F.col("head"))
-    word = F.floor(spot / 64).cast("int").alias("at")
-    bit = F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(head), {0}), 64) as int))".format(SLOTS))
-    bits = {r["at"]: r["bits"] for r in heads.groupBy(word).agg(F.bit_or(bit).alias("bits")).collect()}
-    return F.lit([bits.get(i, 0) for i in range(SLOTS // 64)]).cast("array<bigint>")
+def _sieve(rows: DataFrame, column: str, *aggs: Column):
+    """A test for the values of a column by one constant of ``SLOTS`` bits, whatever their
+    number: what fails it is none of them, the rest is still joined. With it the
+    results of ``aggs``, one row per group of bits."""
+    word = F.floor(_slot(F.col(column)) / 64).cast("int").alias("at")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(`{column}`), {SLOTS}), 64) as int))")
+    found = rows.groupBy(word).agg(F.bit_or(bit).alias("bits"), *aggs).collect()
+    bits = {r["at"]: r["bits"] for r in found}
+    slots = F.lit([bits.get(i, 0) for i in range(SLOTS // 64)]).cast("array<bigint>")
 
+    def known(value: Column) -> Column:
+        spot = _slot(value)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
+        return value.isNotNull() & (F.get(slots, F.floor(spot / 64).cast("int")).bitwiseAND(bit) != 0)
 
-def _offered(comments: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, words): the words whose first characters occur in the text."""
-    heads = one_level(lexicon).groupBy(F.left("word", F.lit(HEAD)).alias("head")).agg(
-        F.collect_list(F.struct("word", "level")).alias("words")
-    )
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)), F.lit(CHUNK))
-    pieces = comments.select(key, text, F.explode(starts).alias("_s")).select(
-        key, "_s", F.substr(F.col(text), F.col("_s"), F.lit(CHUNK + HEAD - 1)).alias("_piece")
-    )
-    # A long text is many pieces; hashing them keeps it off a single task.
-    # explode keeps the characters a column of their own: cut once, used often.
-    cut = (
-        pieces.filter(F.col("_piece") != "")
-        .repartition(key, "_s")
-        .select(key, F.explode(F.array(F.split("_piece", ""))).alias("_c"))
-    )
+    return known, found
 
-    def from_here(c: Column, i: Column) -> Column:
-        after = [F.coalesce(F.get("_c", i + k), F.lit("")) for k in range(1, HEAD)]
-        return F.array(*[F.concat(c, *after[:n]) for n in range(HEAD)])
 
-    slots = _known_slots(heads)
+def _places(comments: DataFrame, key: str, text: str, longest: int) -> DataFrame:
+    """(key, rest, at): pieces of the texts that overlap by the longest word, and the
+    characters of each at which a word may begin."""
 
-    def known(gram: Column) -> Column:
-        spot = _slot(gram)
-        return F.get(slots, F.floor(spot / 64).cast("int")).bitwiseAND(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
-        ) != 0
+    def cut(rows: DataFrame, column: str, own: Column, size: int, *more: str) -> DataFrame:
+        starts = F.sequence(F.lit(1), own, F.lit(size))
+        return rows.select(key, column, own.alias("_all"), F.explode(starts).alias("_s")).select(
+            key, *more, F.substr(F.col(column), F.col("_s"), F.lit(size + longest - 1)).alias("rest"),
+            F.least(F.lit(size), F.col("_all") - F.col("_s") + 1).alias("_own"),
+        )
 
-    grams = F.array_distinct(F.filter(F.flatten(F.transform(F.slice("_c", 1, CHUNK), from_here)), known))
-    return (
-        cut.select(key, F.explode(grams).alias("head"))
-        .join(heads, "head", "left")
-        .groupBy(key)
-        .agg(F.flatten(F.collect_list("words")).alias("_words"))
+    length = F.char_length(text)
+    # A long text is many rows; hashing them keeps it off a single task.
+    large = cut(comments.filter(length > 0), text, length, CHUNK, "_s").repartition(key, "_s")
+    small = cut(large, "rest", F.col("_own"), PIECE)
+    return small.select(key, "rest", F.explode(F.sequence(F.lit(1), F.col("_own"))).alias("at"))
+
+
+def _offered(comments: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _words): the words that stand in the text; texts without any are left out."""
+    words = one_level(lexicon)
+    heads = words.groupBy(F.left("word", F.lit(HEAD)).alias("head")).agg(F.collect_set(F.char_length("word")).alias("sizes"))
+    known, rows = _sieve(heads, "head", F.collect_set(F.char_length("head")).alias("lengths"), F.max(F.array_max("sizes")).alias("longest"))
+    lengths, longest = sorted({n for r in rows for n in r["lengths"]}), max((r["longest"] for r in rows), default=0)
+    if not longest:
+        return comments.limit(0).select(key, F.array().cast(FOUND).alias("_words"))
+    at = F.col("at")
+    # explode gives the heads a column of their own, which the test reads twice
+    starts = F.array(*(F.substr(F.col("rest"), at, F.lit(n)) for n in lengths))
+    begun = (
+        _places(comments, key, text, longest)
+        .select(key, "rest", "at", F.explode(starts).alias("head"))
+        .filter(known(F.col("head")))
+        .select(key, "head", F.substr(F.col("rest"), at, F.lit(longest)).alias("rest"))
     )
+    pieces = begun.join(heads, "head").select(key, "rest", F.explode("sizes").alias("size"))
+    met = pieces.select(key, F.left("rest", F.col("size")).alias("word")).join(words, "word")
+    return met.groupBy(key).agg(F.collect_set(F.struct("word", "level")).alias("_words"))
 
 
 def with_found(
@@ -133,8 +145,7 @@ def with_found(
     ``key`` identifies a comment.
     """
     offered = _offered(comments, lexicon, key, text)
-    inside = F.filter(F.array_distinct("_words"), lambda w: F.contains(F.col(text), w["word"]))
-    found = F.coalesce(_sorted(inside), F.array().cast(FOUND))
+    found = F.coalesce(_sorted(F.col("_words")), F.array().cast(FOUND))
     return comments.join(offered, key, "left").withColumn("found", found).drop("_words")
 
 
@@ -157,23 +168,13 @@ def masked(text: Column, found: Column, mask_p2: bool = False) -> Column:
 
 
 # Words of letters and digits, and single Chinese characters.
-TOKEN = r"([a-z0-9]+|[一-鿿])"
+_SINGLE = "([一-鿿])"
+_BETWEEN = "[^a-z0-9一-鿿]+"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
-
-
-def _joined(tokens_column: str, n: int) -> Column:
-    """Every ``n`` neighbouring tokens as one text."""
-    size = F.size(tokens_column)
-    return F.when(
-        size >= n,
-        F.transform(
-            F.sequence(F.lit(1), size - n + 1),
-            lambda i: F.array_join(F.slice(tokens_column, i, n), ""),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    apart = F.regexp_replace(F.lower(text), _SINGLE, " $1 ")
+    return F.array_remove(F.split(apart, _BETWEEN), "")
 
 
 def found_in_tokens(
@@ -184,28 +185,18 @@ def found_in_tokens(
     Three and two joined tokens come first; single tokens count only for
     comments without such a hit. An equi-join at any lexicon size.
     """
+    words = one_level(lexicon)
+    known, _ = _sieve(words, "word")
     # explode keeps the tokens a column of their own: cut once, used often
     cut = comments.select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
-
-    def tagged(words: Column, combined: bool) -> Column:
-        return F.transform(
-            F.array_distinct(words),
-            lambda w: F.struct(w.alias("word"), F.lit(combined).alias("combined")),
-        )
-
-    grams = F.concat(
-        tagged(F.concat(_joined("_t", 3), _joined("_t", 2)), True), tagged(F.col("_t"), False)
-    )
-    # An outer join, so that the lexicon is the only side Spark may broadcast.
-    hits = cut.select(key, F.inline(grams)).join(one_level(lexicon), "word", "left")
-    known = F.when(F.col("level").isNotNull(), F.struct("word", "level"))
-    both = hits.groupBy(key).agg(
-        F.collect_set(F.when(F.col("combined"), known)).alias("_c"),
-        F.collect_set(known).alias("_a"),
-    )
-    return both.filter(F.size("_a") > 0).select(
-        key, _sorted(F.when(F.size("_c") > 0, F.col("_c")).otherwise(F.col("_a"))).alias("found")
-    )
+    each = cut.select(key, "_t", F.posexplode("_t").alias("_i", "_1"))
+    each = each.withColumn("_2", F.concat("_1", F.get("_t", F.col("_i") + 1)))
+    each = each.select(key, "_1", "_2", F.concat("_2", F.get("_t", F.col("_i") + 2)).alias("_3"))
+    grams = F.array(*(F.struct(F.col(g).alias("word"), F.lit(g != "_1").alias("combined")) for g in ("_3", "_2", "_1")))
+    hits = each.select(key, F.inline(grams)).filter(known(F.col("word"))).join(words, "word")
+    met = F.struct("word", "level")
+    both = hits.groupBy(key).agg(F.collect_set(F.when(F.col("combined"), met)).alias("_c"), F.collect_set(met).alias("_a"))
+    return both.select(key, _sorted(F.when(F.size("_c") > 0, F.col("_c")).otherwise(F.col("_a"))).alias("found"))
 
 
 def with_detection(

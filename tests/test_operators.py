@@ -189,6 +189,23 @@ def test_words_are_found_anywhere(spark):
     assert {r["sensitive_level"] for r in rows_of(empty)} == {"CLEAN"}
 
 
+def test_a_head_that_many_words_share(spark):
+    """Each text holds the head many times and some of its 30,000 words, across the cuts of long texts."""
+    rnd = random.Random(6)
+    crowd = spark.range(30_000).selectExpr("concat('thé', id) AS word", "'P1' AS level").union(lexicon(spark, {"th": "P2", "x" * 450: "P0"}))
+    texts = [(i, "".join(rnd.choice(["thé", "th", "é", " ", "😀", str(rnd.randrange(400)), "thé" + str(rnd.randrange(60_000))]) for _ in range(n))) for i, n in enumerate([1, 40, 300, 9_000])]
+    texts.append((9, "a" * 9_800 + "x" * 450 + "b"))
+    df = spark.createDataFrame(texts, "id int, comment string").repartition(4)
+
+    def inside(text):
+        after = {t[i:j] for t in text.split("thé")[1:] for i in (0,) for j in range(1, 6)}
+        found = {f"thé{d}" for d in after if d.isascii() and d.isdigit() and str(int(d)) == d and int(d) < 30_000}
+        return found | ({"th"} if "th" in text else set()) | ({"x" * 450} if "x" * 450 in text else set())
+
+    got = {r["id"]: {w["word"] for w in r["found"]} for r in rows_of(X.with_found(df, crowd, "id"))}
+    assert got == {i: inside(t) for i, t in texts}
+
+
 def test_masks_follow_the_word_order(spark):
     words = {"badness": "P1", "bad": "P0", "meh": "P2"}
     df = spark.createDataFrame([(1, "badness is bad, meh")], "id int, comment string")
