@@ -6,6 +6,8 @@ placeholders, so a query and its SQL check start from identical rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
@@ -224,6 +226,9 @@ def duck_with(*names: str) -> str:
     return "WITH " + ",\n".join(parts)
 
 
+FILE_ROWS = 1_000_000  # rows of an arriving file, on average
+
+
 class Tables:
     """Reads stored tables of one folder and derives the logical ones."""
 
@@ -260,24 +265,38 @@ class StreamTables(Tables):
 
     def __init__(self, spark: SparkSession, sf_dir: str, files: int = 1):
         super().__init__(spark, sf_dir)
-        self.files = files
+        self.files, self.arrivals = files, None
 
     def stored(self, name: str) -> DataFrame:
-        schema = super().stored(name).schema
+        rows = super().stored(name)
         if name == "events" and self.files > 1:
-            return stored_table(self.spark, self._in_order(super().stored(name)), "*.parquet", schema, 1)
-        return stored_table(self.spark, self.sf_dir, f"{name}.parquet", schema)
-
-
-    def _in_order(self, rows: DataFrame) -> str:
-        """The rows cut by time into files, written one after another."""
-        path = shared_dir(self.spark, "arrivals")
-        low, high = rows.agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))), F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()
-        width = (high - low) // self.files + 1
-        part = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - low) / width)
-        for i in range(self.files):
-            rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-        return path
+            path, per_trigger = self._in_order(rows)
+            return stored_table(self.spark, path, "*.parquet", rows.schema, per_trigger)
+        return stored_table(self.spark, self.sf_dir, f"{name}.parquet", rows.schema)
+
+    def _in_order(self, rows: DataFrame) -> tuple[str, int]:
+        """The rows cut by time into equal parts, written one after another, and the files of
+        each. Rows without a time come with the first part; an empty table is one empty part."""
+        self.arrivals = shared_dir(self.spark, "arrivals")
+        ms = F.unix_millis(F.col("ts").cast("timestamp"))
+        shares = [i / self.files for i in range(1, self.files)]
+        found = rows.agg(F.percentile_approx(ms, shares).alias("cuts"), F.count("*").alias("n")).first()
+        cuts = sorted(set(found["cuts"] or []))
+        per_trigger = max(1, math.ceil(found["n"] / self.files / FILE_ROWS))
+        part = sum((F.when(ms > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        for i in range(len(cuts) + 1):
+            rows.filter(part == i).repartition(per_trigger).write.mode("append").parquet(self.arrivals)
+        return self.arrivals, per_trigger
+
+    def end(self, after_ms: int) -> None:
+        """One more arrival behind all others: an event of nobody, ``after_ms`` later."""
+        rows = super().stored("events")
+        last = rows.agg(F.max("ts").cast("timestamp")).first()[0]
+        if last is not None:
+            moment = F.timestamp_millis(F.unix_millis(F.max(F.col("ts").cast("timestamp"))) + after_ms)
+            marker = rows.agg(moment.alias("ts"))
+            values = [(F.col("ts") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+            marker.select(*values).write.mode("append").parquet(self.arrivals)
 
 
 def _reference(text: str, source: str) -> str:

@@ -20,11 +20,13 @@ def prepare(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def run_to_end(rows: DataFrame, keys: list[str], mode: str = "update", shape=None) -> DataFrame:
+def run_to_end(rows: DataFrame, keys: list[str], mode: str = "update", shape=None, closing=None) -> DataFrame:
     """Process what is there, then give the table the stream has written.
 
     ``shape`` is applied to each batch before writing; it may sort or rank,
-    which a stream itself cannot.
+    which a stream itself cannot. ``closing`` is called when all input has been
+    processed; it may add a last row to the source, which the stream, started
+    again from its checkpoint, then takes too.
     """
     spark = rows.sparkSession
     prepare(spark)
@@ -33,12 +35,15 @@ def run_to_end(rows: DataFrame, keys: list[str], mode: str = "update", shape=Non
     def write(batch: DataFrame, batch_id: int) -> None:
         table.upsert(shape(batch) if shape else batch, batch_id)
 
-    query = (
-        stream_table(rows, write, shared_dir(spark, "stream-state"), mode)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    checkpoint = shared_dir(spark, "stream-state")
+
+    def drain() -> None:
+        stream_table(rows, write, checkpoint, mode).trigger(availableNow=True).start().awaitTermination()
+
+    drain()
+    if closing:
+        closing()
+        drain()
     return table.read(spark)
 
 
@@ -95,11 +100,14 @@ def session_summaries(logs: DataFrame, gap: str = "30 minutes", delay: str = DEL
     """Sessions by inactivity, closed once the watermark passes the gap.
 
     ``session_window`` merges events exactly one gap apart, as the batch form
-    does.
+    does. A log of nobody is no session, but its time moves the watermark: the
+    test names the event time, so that Spark keeps it above the watermark. One such log a gap and
+    a delay after all others closes every session.
     """
+    somebody = F.col("user_id").isNotNull() & (F.col("user_id") != "unknown")
     return (
         timed_logs(logs, delay)
-        .filter(F.col("user_id").isNotNull() & (F.col("user_id") != "unknown"))
+        .filter(somebody | F.col("event_time").isNull())
         .groupBy(F.session_window("event_time", gap).alias("w"), "user_id")
         .agg(
             F.count("*").alias("total_events"),

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopwake.functions import logs as L
+from shopwake.functions.times import DAY_MS
 from shopwake.operators import metrics
+from shopwake.reports.tables import StreamTables
 from shopwake.sources.streams import file_lines, stored_table, with_event_time
 from shopwake.streaming import jobs, profile
 from test_operators import LOG_SCHEMA, traffic, walk_pairs, walk_reports
@@ -112,6 +114,33 @@ def test_counts_by_file_equal_batch(spark, tmp_path):
     )
 
 
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def events(spark, folder, rows):
+    folder.mkdir()
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(folder / "events.parquet"))
+    return StreamTables(spark, str(folder), 3)
+
+
+def test_arrivals_are_whole_and_in_order(spark, tmp_path):
+    day = pd.Timestamp("2024-01-01")
+    rows = [(i, None if i % 10 == 0 else (day + pd.Timedelta(minutes=i % 3)).to_pydatetime(), 1, "view", 1.0, "{}") for i in range(60)]
+    for name, given in (("some", rows), ("none", []), ("timeless", [(1, None, 1, "view", 1.0, "{}")])):
+        arriving = events(spark, tmp_path / name, given)
+        taken = jobs.run_to_end(arriving.stored("events").select("event_id"), ["event_id"], mode="append")
+        assert sorted(r[0] for r in taken.collect()) == [r[0] for r in given]
+
+
+def test_every_session_is_closed_at_the_end(spark, tmp_path):
+    day = pd.Timestamp("2024-01-01")
+    minutes = [(1, 0), (1, 30), (1, 61), (2, 500), (1, 500), (2, 510), (3, 505)]
+    rows = [(1000 + i, (day + pd.Timedelta(minutes=m)).to_pydatetime(), u, "view", 1.0, '{"k": 1}') for i, (u, m) in enumerate(minutes)]
+    arriving = events(spark, tmp_path / "in", rows)
+    found = jobs.run_to_end(jobs.session_summaries(arriving.logs), ["user_id", "start_time"], mode="append", closing=lambda: arriving.end(DAY_MS))
+    assert sorted((r["user_id"], r["total_events"]) for r in found.collect()) == [("1", 1), ("1", 1), ("1", 2), ("2", 2), ("3", 1)]
+
+
 def test_top_words_inside_each_batch(spark, tmp_path):
     """Ranking is not for streams: the updated counts are ranked on reading."""
     stream, batch = log_stream(spark, tmp_path, 2)
