@@ -13,6 +13,7 @@ again. A text is scanned once; word places are mapped back to its own characters
 from __future__ import annotations
 
 import math
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from .tables import Scratch, packed, with_fields
 from .text import Words, flat, slices
 
 ITEM_BYTES = 4 << 20  # item words, as hashes, in one automaton; more items take more passes
-_BUILT: dict[int, tuple] = {}
+_BUILT: dict[bytes, tuple] = {}  # the last automaton of a worker, by a name that the driver made up
 
 
 def _segments(window: int, most: int):
@@ -99,10 +100,10 @@ def _scan(shared, window: int):
     """Add the hits of one automaton to those a row carries already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
+        key, items = shared.value
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = _build(shared.value, window)
+            _BUILT[key] = _build(items, window)
         vocabulary, automaton, listed = _BUILT[key]
         for batch in slices(batches, "text"):
             data, offsets = flat(batch.column("text"))
@@ -178,7 +179,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 13) -> Da
         if part:
             out = scratch.keep(out, "pass")
         own = asked.where(F.expr(f"pmod(xxhash64(item, words), {parts}) = {part}")).collect()
-        shared = spark.sparkContext.broadcast([(r.item, bytes(r.words)) for r in own])
+        shared = spark.sparkContext.broadcast((os.urandom(8), [(r.item, bytes(r.words)) for r in own]))
         out = out.mapInArrow(_scan(shared, window), schema)
     return out
 

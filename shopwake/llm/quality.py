@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import packed, sample, with_fields
+from .tables import packed, sample_each, with_fields
 from .text import Words, flat, list_array, mix, slices, stream
 
 SAMPLE_ROWS = 6_000  # texts the scorer is fitted on
@@ -180,9 +180,10 @@ def quality(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     scorer's and the labellers' probability that a text is good.
 
     Vote patterns are counted over all texts (there are 3^7 at most); the scorer is
-    fitted on ``sample_rows`` texts, those of least hash. Null and empty texts get no votes
-    and have no features: their score is that of the bias. Repeated rows are
-    scored each; an empty table gives no rows; other columns pass through in the struct.
+    fitted on about ``sample_rows`` different rows at most, those of least hash, one of them at least.
+    Null and empty texts get no votes and have no features: their score is that of the bias. A
+    very long text is scored whole. Repeated rows are scored each, and are one row of the sample; ties of the
+    hash are the same row. An empty table gives no rows; other columns pass through in the struct.
     """
     spark = docs.sparkSession
     text = packed(docs)
@@ -191,7 +192,7 @@ def quality(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     if not len(patterns):
         return text.select("_row", "text", F.lit(0.0).alias("score"), F.lit(0.0).alias("weak_label"))
     posterior, _ = expectation_maximisation(_unpack(patterns), np.array([r["count"] for r in counted], np.float64))
-    chosen = sample(text, F.xxhash64("_row", "text"), sample_rows, sum(r["count"] for r in counted))
+    chosen, _ = sample_each(text.withColumn("all", F.lit(0)), "all", F.xxhash64("_row", "text"), sample_rows)
     table = chosen.select("text", "tie").mapInArrow(_sample_rows, "tie long, pattern long, x array<float>").toArrow()
     order = np.argsort(table.column("tie").to_numpy(), kind="stable")
     x = np.stack(table.column("x").to_numpy())[order]

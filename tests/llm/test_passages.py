@@ -114,3 +114,11 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, long), (2, "short " + long[at : at + 700])], "doc_id long, text string")
     got = {x.doc_id: (list(x.lows), list(x.highs)) for x in repeated_bytes(df).collect()}
     assert got == {1: ([at], [at + 700]), 2: ([6], [706])}
+
+
+def test_two_benchmarks_in_the_same_workers(spark):
+    docs = spark.createDataFrame([(i, "a b c" if i % 2 else "x y z") for i in range(8)], "doc_id long, text string")
+    for k in range(6):
+        items = spark.createDataFrame([(k, "b c" if k % 2 else "x y")], "item_id long, text string")
+        hit = {r[0] for r in benchmark_hits(docs, items).where("size(items) > 0").select("_row.doc_id").collect()}
+        assert hit == {i for i in range(8) if i % 2 == k % 2}

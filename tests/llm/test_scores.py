@@ -119,6 +119,12 @@ def test_quality(spark):
     assert quality(df.limit(0)).count() == 0
 
 
+def test_quality_of_one_row_many_times(spark):
+    rows = spark.range(13_000).selectExpr("1L AS doc_id", "'the same text of a few words' AS text", "0 AS all", "1L AS tie")
+    got = quality(rows, sample_rows=10)
+    assert got.count() == 13_000 and got.select("score").distinct().count() == 1
+
+
 def test_em_finds_the_better_labellers():
     r = np.random.default_rng(2)
     truth = r.random(4000) < 0.3

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from shopwake.llm.groups import groups, roots
-from shopwake.llm.text import Words, distinct, flat, shingles, slices
+from shopwake.llm.text import SEGMENT, Words, distinct, flat, shingles, slices
 
 TEXTS = [None, "", "  ", "One two, three", "É éÉ x9_y", "a" * 50, "one TWO three four five six", "x\ny\tz", "naïve-café"]
 
@@ -32,7 +32,9 @@ def test_words_and_shingles():
 
 
 def test_long_text_is_hashed_in_segments():
-    text = " ".join(random.Random(1).choice(["ab", "cde", "f" * 40]) for _ in range(120_000))
+    pick = random.Random(1)
+    text = " ".join(pick.choice(["ab", "cde", "f" * 40]) for _ in range(120_000))
+    assert len(text) > SEGMENT
     words = Words(*flat(pa.array([text, "ab cde"])))
     assert words.counts.tolist() == [120_000, 2]
     assert set(words.hash[-2:].tolist()) <= set(words.hash[:-2].tolist())
