@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import logs as L, times
-from ..streaming import jobs, profile
+from ..streaming import jobs, profile, timers
 from . import pairs as PR
 from .common import logs_with
 from .registry import REPORTS, report
@@ -56,6 +56,15 @@ def t10_words(t):
     return jobs.run_to_end(jobs.search_word_counts(t.streaming("logs", files=3)), ["log_date", "keyword"])
 
 
+@report("t11_stream_words_after_quiet", _sql("w6_top_search_words"))
+def t11(t):
+    """Each date's first words, told once two seconds after its last search."""
+    told = timers.live_table(
+        timers.top_words_after_quiet(L.search_keywords(L.dated(t.streaming("logs")))), ["log_date", "share", "keyword"], timers.WAIT_MS
+    )
+    return timers.ranked_words(told)
+
+
 @report("a10_stream_device_users", _sql("a10_device_users"))
 def a10(t):
     return jobs.run_to_end(

@@ -52,8 +52,9 @@ def tagged(comments: DataFrame, logs: DataFrame, users: DataFrame) -> DataFrame:
 class ProfileJoin(StatefulProcessor):
     """Pairs comments with logs, waits for the user row, drops repetitions."""
 
-    def __init__(self, buffer: int = LOG_BUFFER, suppress: bool = True, ttl_ms: int | None = None, daily: bool = False):
+    def __init__(self, buffer: int = LOG_BUFFER, suppress: bool = True, ttl_ms: int | None = None, daily: bool = False, period_ms: int = DAY_MS):
         self.buffer, self.suppress, self.ttl_ms, self.daily = buffer, suppress, ttl_ms, daily
+        self.period_ms = period_ms  # between two repetitions, a UTC day but in tests
 
     def init(self, handle) -> None:
         ttl = {} if self.ttl_ms is None else {"ttlDurationMs": self.ttl_ms}
@@ -118,7 +119,7 @@ class ProfileJoin(StatefulProcessor):
             self.newest.update(pairs[-1])
         if self.daily:
             now = timerValues.getCurrentProcessingTimeInMs()
-            self.handle.registerTimer((now // DAY_MS + 1) * DAY_MS)
+            self.handle.registerTimer((now // self.period_ms + 1) * self.period_ms)
 
         if user is None:
             if pairs:
@@ -161,7 +162,7 @@ class ProfileJoin(StatefulProcessor):
             out = pd.DataFrame([pair], columns=PAIR_COLUMNS)
             out.insert(0, "user_id", key[0])
             yield out.assign(user_info=user[0], reason="daily")
-        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + DAY_MS)
+        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.period_ms)
 
     def close(self) -> None:
         pass

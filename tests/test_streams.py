@@ -12,7 +12,7 @@ from shopwake.functions.times import DAY_MS
 from shopwake.operators import metrics
 from shopwake.reports.tables import StreamTables
 from shopwake.sources.streams import file_lines, stored_table, with_event_time
-from shopwake.streaming import jobs, profile
+from shopwake.streaming import jobs, profile, timers
 from test_operators import LOG_SCHEMA, traffic, walk_pairs, walk_reports
 
 
@@ -86,6 +86,20 @@ def test_daily_timer_repeats_the_newest_pair(spark):
     assert join.handle.value == 2 * profile.DAY_MS
 
 
+def test_a_live_timer_repeats_the_newest_pair_twice(spark, tmp_path):
+    rows = [("a", 1, profile.USER, "a", None, None, None, '{"uname":"a"}'), ("a", 2, profile.COMMENT, "1", None, None, None, '{"comment_id":1}'),
+            ("a", 3, profile.LOG, "l", "login", "b", "p", '{"log_id":"l"}')]
+    path = as_files(rows, names(TAGGED), tmp_path / "in", 1, TAGGED)
+    stream = stored_table(spark, path, "*.parquet", T._parse_datatype_string(TAGGED))
+    joined = stream.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=profile.ProfileJoin(daily=True, period_ms=2000), outputStructType=profile.OUTPUT,
+        outputMode="Append", timeMode="ProcessingTime",
+    )
+    told = []
+    timers.run_live(joined, lambda batch, n: told.extend((r["at_id"], r["reason"]) for r in batch.collect()), 2000, until=lambda: len(told) >= 3, most_seconds=120)
+    assert told[:3] == [("l", "pair"), ("l", "daily"), ("l", "daily")]
+
+
 LOGS = LOG_SCHEMA + ", opa string, keywords array<string>"
 
 
