@@ -39,6 +39,11 @@ APART_WORDS = frozenset(
     pagination popup promo promotion promotions recommended related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored
     sponsors subscribe subscription toolbar topbar widget widgets""".split()
 )
+# Those of them that never name a whole page.
+PART_WORDS = frozenset(
+    """ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus gdpr
+    navbar newsletter newsletters pager pagination replies reply respond sidebars signup sponsors subscription""".split()
+)
 MAIN_WORDS = frozenset("article articlebody content entry post story".split())
 # What follows them tells of other parts, not of the element itself.
 ABOUT_OTHERS = frozenset("has no with without".split())
@@ -160,6 +165,10 @@ LABELLED = """
 5 0.00 60 0.00 80 0.00 1 1 1 1 0
 """
 
+# The label holds as well where a holder is only named like an apart element. With 70 % of
+# the page's plain words in it (0.3 apart) a block is labelled as in the open, with 55 % as apart.
+NAMED = {0.0: 0.3, 1.0: 0.45}
+
 
 def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8):
     """Nested (feature, threshold, low branch, high branch), or a label."""
@@ -183,13 +192,17 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8):
 @cache
 def tree():
     table = np.array([[float(v) for v in line.split()] for line in LABELLED.split("\n") if line])
+    named = table.copy()
+    named[:, 6] = [NAMED[v] for v in table[:, 6]]
+    table = np.concatenate([table, named])
     return fit_tree(table[:, :-1], table[:, -1])
 
 
 def _side(name: str, attributes: str) -> str:
-    """What an element that holds blocks is: "apart" as such, "beside" if only its words
-    say so, "both" if others of them name the article, "main", or ""."""
-    apart = main = False
+    """What an element that holds blocks is: "apart" as such, "part" or "beside" if only its
+    words say so (surely, or as they also name whole pages), "both" if others of them name the
+    article, "main", or ""."""
+    apart = main = part = False
     for m in ATTRIBUTE.finditer(attributes):
         others = False
         for token in (m[2] or m[3] or m[4] or "").split():
@@ -202,19 +215,22 @@ def _side(name: str, attributes: str) -> str:
             if own or token.lower() not in ABOUT_OTHERS:
                 others = False
             apart = apart or bool(own & APART_WORDS)
+            part = part or bool(own & PART_WORDS)
             main = main or bool(own & MAIN_WORDS) and not own & APART_WORDS
     if name in APART:
         return "apart"
     if name == "main" or name == "article" and (main or not apart):
         return "main"
-    return ("both" if main else "beside") if apart else "main" if main else ""
+    return ("both" if main else "part" if part else "beside") if apart else "main" if main else ""
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, apart, in an article, heading) in page order.
+def blocks(page: str) -> list[tuple[str, int, int, float, bool, bool]]:
+    """(text, words, words in links, how far apart, in an article, heading) in page order.
 
     What is apart by its words alone stays open where it holds the page's main
-    elements, or, in a page without, its only article.
+    elements, or, in a page without, its only article. Where its words may also name
+    a whole page, and no article lies elsewhere, it is apart as far as the page's plain
+    words lie outside it.
     """
     found: list[tuple[str, int, int, int, bool]] = []
     holders: list[tuple[str, str, int]] = []
@@ -269,17 +285,35 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         while k not in stays:
             stays.add(k)
             k = every[k][0]
-    sides = {-1: (False, False)}  # apart, main
+    shut = {-1: False}  # in an element that is apart as such
+    for k, (around, side) in enumerate(every):
+        shut[k] = shut[around] or side == "apart"
+    plain = dict.fromkeys(shut, 0)
+    for _, words, linked, k, _ in found:
+        plain[k] += 0 if shut[k] else words - linked
+    for k in range(len(every) - 1, -1, -1):  # a holder's number is above that of the one around it
+        plain[every[k][0]] += plain[k]
+    named = {-1: False}  # in a holder that is apart, if only by its words
+    main = {-1: False}
+    for k, (around, side) in enumerate(every):
+        named[k] = named[around] or side == "apart" or side in ("part", "beside", "both") and k not in stays
+        main[k] = main[around] or side in ("main", "both")
+    elsewhere = any(main[k] and not named[k] for *_, k, _ in found)  # the article is open to see
+    apart = {-1: 0.0}
     for k, (around, side) in enumerate(every):
-        apart, main = sides[around]
-        sides[k] = (apart or side == "apart" or side in ("beside", "both") and k not in stays, main or side in ("main", "both"))
-    return [(text, words, linked, *sides[k], is_heading) for text, words, linked, k, is_heading in found]
+        apart[k] = apart[around]
+        if shut[k] or side in ("part", "both") and k not in stays:
+            apart[k] = 1.0
+        elif side == "beside" and k not in stays:
+            outside = 1.0 if elsewhere and not main[k] else 1 - plain[k] / max(plain[-1], 1)
+            apart[k] = max(apart[k], outside)
+    return [(text, words, linked, apart[k], main[k], is_heading) for text, words, linked, k, is_heading in found]
 
 
 def kept_blocks(page: str) -> list[tuple[str, bool]]:
     """(text, kept) of every block."""
     found = blocks(page)
-    any_main = any(b[4] and not b[3] for b in found)
+    any_main = max((1 - b[3] for b in found if b[4]), default=0)
     around = [(0, 0.0), *((b[1], b[2] / b[1]) for b in found), (0, 0.0)]
     out = []
     for i, (text, words, linked, apart, main, heading) in enumerate(found):
@@ -306,7 +340,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, ``blocks`` (text and whether it is kept) and text.
 
     Character references are decoded, white space inside a block is one space,
-    and kept blocks are joined in page order by an empty line. Null and empty
+    and kept blocks are joined in page order by an empty line. Very long pages are read
+    whole. Null and empty
     pages have no blocks and an empty text; broken markup is read as far as it
     goes. Repeated rows give a row each; an empty table gives none; other columns are
     ignored.

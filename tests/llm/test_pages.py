@@ -48,6 +48,30 @@ def test_wrappers_that_name_other_parts():
     assert main_text(f"<body><div class='content sidebar-left'>{text}<ul><li><a href=1>One more</a><li><a href=2>And two</a></ul></div></body>") == want
 
 
+def test_wrappers_named_like_parts():
+    """Named like a part, a holder of most of the page is the article; the parts in it and beside it are not."""
+    long = "It is a long sentence with many words that says a great deal about nothing in particular. " * 3
+    text, want = f"<p>{long}</p><p>{long}</p>", "\n\n".join([long.strip()] * 2)
+    nav, foot = '<nav><a href="/">Home</a></nav>', "<footer>All rights reserved by nobody in particular here.</footer>"
+    inner = f'<div class="comments"><p>{long * 3}</p></div><div class="share"><a href="1">Tell a friend</a></div>'
+    side = f'<div class="sidebar"><p>{long}</p></div>'
+    for opened, closed in [
+        ('<div class="widget-page">', "</div>"), ('<div class="search">', "</div>"), ('<div id="form-layout">', "</div>"),
+        ('<div class="share-page"><div class="inner">', "</div></div>"), ('<div class="related-page"><div class="entry">', "</div></div>"),
+        ('<div class="menu-open"><section class="promo-layout">', "</section></div>"),
+    ]:
+        assert main_text(f"<body>{nav}{opened}{text}{closed}{foot}</body>") == want, opened
+        assert main_text(f"<body>{nav}{opened}{text}<div class='ad'>{long}</div>{closed}</body>") == want, opened
+    assert main_text(f"<body>{nav}<div class='search'>{text * 3}{side}</div></body>") == "\n\n".join([want] * 3)
+    assert main_text(f"<body>{nav}<div class='search'>{text * 6}{inner}</div></body>") == "\n\n".join([want] * 6)
+    # Beside an article, or as the smaller part of a page, it stays apart, as do notices on their own.
+    assert main_text(f"<body><article>{text}</article><div class='related'>{text * 4}</div></body>") == want
+    assert main_text(f"<body><p>{long}</p><p>{long}</p><div class='widget'>{text}</div></body>") == want
+    assert main_text("<body><div class='cookie'>We use cookies on this site to make it better.</div></body>") == ""
+    deep = "<div class='widget'>" * 30_000 + text
+    assert main_text(deep) == want
+
+
 def test_blocks_and_tree():
     found = blocks("<div>a <a>b c</a></div><p>d")
     assert [(b[0], b[1], b[2]) for b in found] == [("a b c", 3, 2), ("d", 1, 0)]
