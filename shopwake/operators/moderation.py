@@ -27,6 +27,7 @@ def with_history(
     key: str,
     user: str = "user_id",
     slice_ms: int = DEFAULT_SLICE_MS,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Add per user and in time order
 
@@ -34,7 +35,9 @@ def with_history(
     ``recent_max`` / ``recent_mean``  over the last two known amounts
     ``consumption_level`` the band of those
 
-    A comment without an amount keeps the pair of the one before it.
+    A comment without an amount keeps the pair of the one before it. ``earlier``
+    has what came before these comments, as :func:`carried` gives it; then
+    ``last_two``, the pair itself, is added too.
     """
     s = Slices(comments, [user], ["ts", key], slice_ms)
     amount = F.col("amount")
@@ -81,6 +84,17 @@ def with_history(
             "_two": two,
         },
     )
+    if earlier is not None:
+        past = earlier.select(F.col(user).alias("_user"), F.col("sensitive_count").alias("_past"), F.col("last_two").alias("_past_two"))
+        scanned = scanned.join(past, F.col(user).eqNullSafe(F.col("_user")), "left")
+        widened = pair(F.col("_two.latest"), F.coalesce("_two.before", "_past_two.latest"))
+        scanned = scanned.withColumns(
+            {
+                "sensitive_count": F.col("sensitive_count") + F.coalesce("_past", F.lit(0)),
+                "_two": F.when(F.col("_two").isNotNull(), widened).otherwise(F.col("_past_two")),
+            }
+        ).drop("_user", "_past", "_past_two")
+        scanned = scanned.withColumn("last_two", F.col("_two"))
     latest, before = F.col("_two.latest"), F.col("_two.before")
     return scanned.withColumns(
         {
@@ -89,3 +103,9 @@ def with_history(
             "consumption_level": consumption_level(F.col("_two")),
         }
     ).drop("_two")
+
+
+def carried(history: DataFrame, key: str, user: str = "user_id") -> DataFrame:
+    """(user, sensitive_count, last_two) after the last comment of each user."""
+    newest = F.max_by(F.struct("sensitive_count", "last_two"), F.struct("ts", key))
+    return history.groupBy(user).agg(newest.alias("_end")).select(user, "_end.*")

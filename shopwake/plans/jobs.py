@@ -35,14 +35,33 @@ def moderate(
     every text once; the result is staged because the user history needs it twice.
     ``origin`` has the db, schema and table that results name as their source.
     """
+    detected = detect(comments, lexicon, key)
+    if stage:
+        detected = staged(detected, "moderated")
+    return judge(detected, user_history(detected, key), users, key, origin)
+
+
+def detect(comments: DataFrame, lexicon: DataFrame, key: str = "comment_id") -> DataFrame:
+    """Comments that say something, with their amount and what the lexicon finds in them."""
     rows = comments.filter(M.not_blank(F.col("comment"))).withColumn(
         "amount", M.amount(F.col("total_amount"), F.col("comment"))
     )
-    detected = lexicon_ops.with_detection(rows, lexicon, key)
-    if stage:
-        detected = staged(detected, "moderated")
-    # Only narrow rows go through the user history.
-    history = moderation.with_history(detected.select(key, "user_id", "ts", "amount", "is_sensitive"), key)
+    return lexicon_ops.with_detection(rows, lexicon, key)
+
+
+def user_history(detected: DataFrame, key: str = "comment_id", earlier: DataFrame | None = None) -> DataFrame:
+    """Narrow rows of each comment's user history; only these go through the windows."""
+    return moderation.with_history(detected.select(key, "user_id", "ts", "amount", "is_sensitive"), key, earlier=earlier)
+
+
+def judge(
+    detected: DataFrame,
+    history: DataFrame,
+    users: DataFrame | None = None,
+    key: str = "comment_id",
+    origin: dict[str, str] | None = None,
+) -> DataFrame:
+    """Moderation results of detected comments and their histories."""
     history = history.select(key, "sensitive_count", "recent_max", "recent_mean", "consumption_level")
     judged = detected.join(history, key).withColumn(
         "triggered_keyword",

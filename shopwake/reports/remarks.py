@@ -340,7 +340,11 @@ FROM b LEFT JOIN customer ON CAST(c_custkey AS STRING) = user_id""",
 def q5(t):
     """The whole job; most fields come back out of its result text."""
     rows = t.comments.withColumnRenamed("doc_id", "comment_id")
-    done = jobs.moderate(rows, t.lexicon(), _users(t))
+    return told(jobs.moderate(rows, t.lexicon(), _users(t)))
+
+
+def told(done):
+    """Moderation results as columns."""
     schema = schemas.COMMENT_RESULT
     parsed = done.select(
         "is_sensitive", "masked_comment", "ban_days", "action", "sensitive_count", "user_name",

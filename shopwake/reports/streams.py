@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import logs as L, times
 from ..streaming import jobs, profile, timers
-from . import pairs as PR
+from ..session import shared_dir
+from ..sources.sinks import LineTable
+from ..streaming.moderation import ModerationStream
+from . import pairs as PR, remarks
 from .common import logs_with
 from .registry import REPORTS, report
 from .tables import StreamTables, Tables
@@ -164,3 +167,14 @@ FROM k JOIN walk USING (user_id, r) WHERE told""",
 )
 def t13_w12(t):
     return _pairs(t)
+
+
+@report("k2_q5_stream_moderation", _sql("q5_p34_p36_moderation"))
+def k2_q5(t):
+    """Comments arriving over three triggers, their results written as lines to a sink and read back."""
+    comments = StreamTables(t.spark, t.sf_dir, 3).arriving("comments").withColumnRenamed("doc_id", "comment_id")
+    sink = LineTable(shared_dir(t.spark, "results"))
+    stream = ModerationStream(t.spark, t.lexicon(), remarks._users(t), sink, shared_dir(t.spark, "moderation"))
+    stream.start_on(comments, shared_dir(t.spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    columns = "is_sensitive boolean, masked_comment string, ban_days int, action string, sensitive_count bigint, user_name string, result string"
+    return remarks.told(L.parse_json(sink.read(t.spark), columns))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
 from ..sources.streams import stored_table
@@ -270,15 +270,20 @@ class StreamTables(Tables):
     def stored(self, name: str) -> DataFrame:
         rows = super().stored(name)
         if name == "events" and self.files > 1:
-            path, per_trigger = self._in_order(rows)
+            path, per_trigger = self._in_order(rows, F.unix_millis(F.col("ts").cast("timestamp")))
             return stored_table(self.spark, path, "*.parquet", rows.schema, per_trigger)
         return stored_table(self.spark, self.sf_dir, f"{name}.parquet", rows.schema)
 
-    def _in_order(self, rows: DataFrame) -> tuple[str, int]:
+    def arriving(self, name: str) -> DataFrame:
+        """A derived table with ``ts`` in ms, its rows arriving in time order."""
+        rows = Tables(self.spark, self.sf_dir).__getattr__(name)
+        path, per_trigger = self._in_order(rows, F.col("ts"))
+        return stored_table(self.spark, path, "*.parquet", rows.schema, per_trigger)
+
+    def _in_order(self, rows: DataFrame, ms: Column) -> tuple[str, int]:
         """The rows cut by time into equal parts, written one after another, and the files of
         each. Rows without a time come with the first part; an empty table is one empty part."""
         self.arrivals = shared_dir(self.spark, "arrivals")
-        ms = F.unix_millis(F.col("ts").cast("timestamp"))
         shares = [i / self.files for i in range(1, self.files)]
         found = rows.agg(F.percentile_approx(ms, shares).alias("cuts"), F.count("*").alias("n")).first()
         cuts = sorted(set(found["cuts"] or []))

@@ -71,12 +71,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+def delete_shared(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete what operators have written below the checkpoint folder so far.
 
     Results are lazy, so a job calls this when it has written its own.
     """
-    conf = spark._jsc.hadoopConfiguration()
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete_shared(spark, _written.pop())

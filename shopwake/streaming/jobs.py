@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import logs as L, times
-from ..operators import gmv, joins, metrics, shares
+from ..operators import gmv, joins, shares
 from ..operators.changes import latest_state
 from ..session import ROCKSDB_PROVIDER, shared_dir
 from ..sources.sinks import KeyedTable, stream_table
@@ -14,6 +14,8 @@ from ..sources.streams import with_event_time
 DELAY = "5 seconds"
 # The local day of the default zone begins 16 hours into the UTC day.
 DAY_OFFSET = "16 hours"
+# A day's counts take logs up to this late; then their state goes.
+LATE = "1 day"
 
 
 def prepare(spark) -> None:
@@ -47,16 +49,20 @@ def run_to_end(rows: DataFrame, keys: list[str], mode: str = "update", shape=Non
     return table.read(spark)
 
 
+def local_day():
+    """Grouping key that lets Spark drop a day's state once the watermark has passed it."""
+    return F.window("event_time", "1 day", "1 day", DAY_OFFSET).alias("w")
+
+
 def timed_logs(logs: DataFrame, delay: str = DELAY) -> DataFrame:
     return with_event_time(L.dated(logs), times.event_time("ts"), delay)
 
 
 def daily_page_views(logs: DataFrame, delay: str = DELAY) -> DataFrame:
     """Page views per local day; every update replaces the day's count."""
-    day = F.window("event_time", "1 day", "1 day", DAY_OFFSET)
     return (
         timed_logs(logs, delay)
-        .groupBy(day.alias("w"), "log_date", "log_type")
+        .groupBy(local_day(), "log_date", "log_type")
         .agg(F.count("*").alias("pv"))
         .select("log_date", "log_type", "pv")
     )
@@ -87,13 +93,27 @@ def page_views_by_arrival(logs: DataFrame, width: str = "30 seconds") -> DataFra
     )
 
 
-def running_page_visits(logs: DataFrame) -> DataFrame:
-    """Visits so far per (date, page), updated with every trigger."""
-    return metrics.page_visit_totals(L.dated(logs))
+def running_page_visits(logs: DataFrame, delay: str = LATE) -> DataFrame:
+    """Visits so far per (date, page), updated with every trigger.
+
+    The state of a date goes ``delay`` after its end; later logs are not counted.
+    """
+    return (
+        L.page_types_only(timed_logs(logs, delay))
+        .groupBy(local_day(), F.col("log_date").alias("ds"), F.col("log_type").alias("page_name"))
+        .agg(F.count("*").alias("pv"))
+        .drop("w")
+    )
 
 
-def search_word_counts(logs: DataFrame) -> DataFrame:
-    return metrics.search_word_counts(L.dated(logs))
+def search_word_counts(logs: DataFrame, delay: str = LATE) -> DataFrame:
+    """Searches per date and word; state as in :func:`running_page_visits`."""
+    return (
+        L.search_keywords(timed_logs(logs, delay))
+        .groupBy(local_day(), "log_date", "keyword")
+        .agg(F.count("*").alias("search_count"))
+        .drop("w")
+    )
 
 
 def session_summaries(logs: DataFrame, gap: str = "30 minutes", delay: str = DELAY) -> DataFrame:
@@ -118,10 +138,10 @@ def session_summaries(logs: DataFrame, gap: str = "30 minutes", delay: str = DEL
     )
 
 
-def device_users(logs: DataFrame, delay: str = "1 day") -> DataFrame:
+def device_users(logs: DataFrame, delay: str = LATE) -> DataFrame:
     """Device users per day and device: duplicates go first, then a count.
 
-    The duplicate state is bounded by the watermark.
+    The watermark bounds both states.
     """
     wanted = timed_logs(logs, delay).filter(
         F.col("userkey").isNotNull() & F.col("plat").isNotNull()
@@ -129,7 +149,8 @@ def device_users(logs: DataFrame, delay: str = "1 day") -> DataFrame:
     once = wanted.dropDuplicatesWithinWatermark(
         ["log_date", "plat", "brand", "platv", "userkey"]
     )
-    return once.groupBy("log_date", "plat", "brand", "platv").agg(F.count("*").alias("users"))
+    counted = once.groupBy(local_day(), "log_date", "plat", "brand", "platv").agg(F.count("*").alias("users"))
+    return counted.drop("w")
 
 
 def sale_slices(sales: DataFrame, delay: str = DELAY) -> DataFrame:

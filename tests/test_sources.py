@@ -101,3 +101,36 @@ def test_shared_folder_comes_from_the_session():
     assert session.shared_dir(Named("local[2]"), "t").startswith("/tmp/spark-")
     with pytest.raises(RuntimeError):
         session.shared_dir(Named("yarn"), "t")
+
+
+def test_keyed_table_is_compacted(spark, tmp_path):
+    table = sinks.KeyedTable(str(tmp_path / "t"), ["k"], order=["ts"], deleted="gone")
+
+    def put(n, *rows):
+        table.upsert(spark.createDataFrame(rows, "k string, ts int, v int, gone boolean"), n)
+
+    def now(**at):
+        return {tuple(r) for r in table.read(spark, **at).select("k", "v").collect()}
+
+    put(0, ("a", 1, 1, False), ("b", 1, 1, False), (None, 1, 9, False))
+    put(1, ("a", 2, 2, False), ("a", 1, 0, False), ("b", 2, 2, True))
+    want = {("a", 2), (None, 9)}
+    assert now() == want and now(before=1) == {("a", 1), ("b", 1), (None, 9)}
+    table.compact(spark)
+    plan = table.read(spark)._jdf.queryExecution().toString()
+    assert now() == want and table.merged(spark) == 1 and "Aggregate" not in plan and "batch=" not in plan
+    put(0, ("a", 9, 8, False))  # merged already: a repetition changes nothing
+    table.vacuum(spark)
+    assert now() == want and not [p for p in (tmp_path / "t").iterdir() if p.name.startswith("batch=")]
+    put(2, ("b", 1, 5, False), ("a", 1, 0, True))
+    assert now() == {("b", 5), (None, 9)}
+    table.compact(spark)
+    table.vacuum(spark)
+    assert now() == {("b", 5), (None, 9)} and [p.name for p in (tmp_path / "t" / "_levels").iterdir()] == ["2"]
+    with pytest.raises(ValueError):
+        table.read(spark, before=2)
+    put(4, ("c", 1, 1, False))
+    table.most_batches = 1
+    put(5, ("c", 1, 2, False))
+    put(5, ("c", 1, 2, False))
+    assert table.merged(spark) == 4 and now(before=5) == {("b", 5), (None, 9), ("c", 1)} and now() == {("b", 5), (None, 9), ("c", 2)}

@@ -10,9 +10,12 @@ from pyspark.sql import types as T
 from shopwake.functions import logs as L
 from shopwake.functions.times import DAY_MS
 from shopwake.operators import metrics
+from shopwake.plans import jobs as plans
 from shopwake.reports.tables import StreamTables
+from shopwake.sources.sinks import LineTable
 from shopwake.sources.streams import file_lines, stored_table, with_event_time
 from shopwake.streaming import jobs, profile, timers
+from shopwake.streaming.moderation import ModerationStream
 from test_operators import LOG_SCHEMA, traffic, walk_pairs, walk_reports
 
 
@@ -128,6 +131,42 @@ def test_counts_by_file_equal_batch(spark, tmp_path):
     )
 
 
+def test_state_of_past_days_goes(spark, tmp_path):
+    day = 1_704_067_200_000
+    rows = [("u", day + d * DAY_MS + i, f"{d}-{i}", "search", *[None] * 8, "x", [f"w{i}"]) for d in (0, 1, 5, 10) for i in range(30)]
+    folder = as_files(rows, names(LOGS), tmp_path / "logs", 4, LOGS)
+    schema = T._parse_datatype_string(LOGS)
+    stream = stored_table(spark, folder, "*.parquet", schema, 1)
+    jobs.prepare(spark)
+    query = jobs.search_word_counts(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / "c"))
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(kept) >= 60 and kept[-1] == 30
+    counts = jobs.run_to_end(jobs.search_word_counts(stream), ["log_date", "keyword"])
+    assert same(counts, metrics.search_word_counts(L.dated(spark.read.schema(schema).parquet(folder))))
+
+
+def test_moderation_carries_histories_and_repeats(spark, tmp_path):
+    texts = ["bad word", "花了5000", "fine", "花了9000 bad", "word 20元", "bad"]
+    rows = [(i, f"o{i % 3}", ["a", "b", None][i % 3], "p", None, "20240101", 1000 + i // 2, texts[i * 7 % 6]) for i in range(40)]
+    rows.append((99, "o", "a", "p", None, "20240101", None, "bad before all"))
+    schema = "comment_id bigint, order_id string, user_id string, product_id string, total_amount string, ds string, ts bigint, comment string"
+    comments = spark.createDataFrame(rows, schema)
+    lexicon = spark.createDataFrame([("bad", "P0"), ("word", "P1")], "word string, level string")
+    sink = LineTable(str(tmp_path / "lines"))
+    stream = ModerationStream(spark, lexicon, None, sink, str(tmp_path / "state"), most_batches=2)
+    cuts = ["ts is null or ts < 1003", "false", "ts between 1003 and 1011", "ts >= 1012"]
+    for n, where in enumerate(cuts):
+        for _ in range(1 + n % 2):  # every other trigger comes twice
+            stream.write(comments.filter(where), n)
+    columns = "comment_id bigint, sensitive_count bigint, recent_max double, recent_mean double, consumption_level string, result string"
+    want = plans.moderate(comments, lexicon).select(*names(columns))
+    got = L.parse_json(sink.read(spark), columns)
+    assert same(got.drop("recent_max", "recent_mean"), want.drop("recent_max", "recent_mean"))
+    assert got.count() == want.count() == 41 and stream.past.merged(spark) == 1
+
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
