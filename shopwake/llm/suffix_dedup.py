@@ -220,12 +220,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows, highs = batch.column("lows").to_pylist(), batch.column("highs").to_pylist()
         for i in range(batch.num_rows):
             low, high = merged(np.array(lows[i] or [], np.int64), np.array(highs[i] or [], np.int64))
-            stay = np.ones(offsets[i + 1] - offsets[i] + 1, np.int64)
-            stay[-1] = 0
-            edge = np.zeros(len(stay), np.int64)
-            edge[low], edge[high] = 1, -1
-            own = data[offsets[i] : offsets[i + 1]]
-            digests.append(hashlib.sha256(own[np.cumsum(edge)[:-1] == 0].tobytes()).hexdigest())
+            own, digest, kept_to = data[offsets[i] : offsets[i + 1]], hashlib.sha256(), 0
+            for begin, end in zip(low.tolist(), high.tolist()):
+                digest.update(own[kept_to:begin])
+                kept_to = end
+            digest.update(own[kept_to:])
+            digests.append(digest.hexdigest())
             begins.append(low)
             ends.append(high)
             at.append(at[-1] + len(low))
@@ -244,7 +244,8 @@ def repeated_bytes(docs: DataFrame, *, min_bytes: int = 400) -> DataFrame:
     anywhere else, in the same text or another, overlaps included; all strings are
     judged on the input. Null texts are empty; texts shorter than ``min_bytes``
     keep all; equal texts and repeated rows repeat each other whole. An empty table
-    gives no rows; columns besides doc_id and text are ignored.
+    gives no rows; columns besides doc_id and text are ignored. Very long texts are
+    judged whole, in parts. Of equal strings none is preferred: all go.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
@@ -296,6 +297,7 @@ def repeated_bytes(docs: DataFrame, *, min_bytes: int = 400) -> DataFrame:
     copies = texts.where("n > 1").select("t1", "t2", F.array(F.lit(0).cast("long")).alias("lows"), F.array(F.length("text").cast("long")).alias("highs"),
                                          F.sha2(F.lit(""), 256).alias("kept_sha256"))
     spans = scratch.keep(own.unionByName(copies), "spans")
+    spark.sql(f"DROP TABLE {name}")  # what the result needs of it is written
     none = F.array().cast("array<long>")
     return rows.select("doc_id", "t1", "t2", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")).join(
         spans, ["t1", "t2"], "left"
