@@ -143,14 +143,26 @@ def device_users(logs: DataFrame) -> DataFrame:
     )
 
 
-def device_users_approx(logs: DataFrame, rsd: float = 0.02) -> DataFrame:
+def device_user_sketches(logs: DataFrame, slice_ms: int = 10 * times.MINUTE_MS, lg_k: int = 14) -> DataFrame:
+    """One sketch of the users per device and time slice.
+
+    A sketch has at most 2 ** ``lg_k`` bytes, however many users it has seen; those of
+    any slices can be merged, so a table of them answers windows of every width.
+    """
+    slice_start = F.col("ts") - F.pmod(F.col("ts"), F.lit(slice_ms))
     return (
         logs.filter(F.col("userkey").isNotNull() & F.col("plat").isNotNull())
-        .groupBy("log_date", "plat", "brand", "platv")
-        .agg(F.approx_count_distinct("userkey", rsd).alias("users"))
+        .groupBy("log_date", slice_start.alias("slice_ms"), "plat", "brand", "platv")
+        .agg(F.hll_sketch_agg("userkey", lg_k).alias("sketch"))
     )
 
 
+def sketched_users(sketches: DataFrame, *keys) -> DataFrame:
+    """Estimated users per ``keys``, from the slices that fall under each."""
+    merged = sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.withColumn("users", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 # Last login hour -> period label, ascending.
 PERIODS = {5: "凌晨(1-5)", 12: "早上(6-12)", 14: "中午(12-14)", 18: "下午(14-18)"}
 LATE_PERIOD, NO_PERIOD, NO_LOGIN = "晚上(18-24)", "未知", "无登录"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import devices as D, logs as L, regions as R, times
 from ..operators import geo, metrics, paths, sessions, shares
+from ..sources.staging import staged
 from .common import local_date, logs_with, utc_text, words_with
 from .registry import report
 from .tables import Tables
@@ -446,6 +447,29 @@ def w9(t):
     )
 
 
+@report(
+    "a10_sketched_device_users",
+    logs_with()
+    + """, u AS (SELECT log_date, plat, userkey FROM d WHERE userkey IS NOT NULL AND plat IS NOT NULL)
+SELECT log_date, plat, count(DISTINCT userkey) AS users, true AS near FROM u GROUP BY log_date, plat
+UNION ALL SELECT log_date, 'all', count(DISTINCT userkey), true FROM u GROUP BY log_date""",
+)
+def a10_sketched(t):
+    """Users per day and platform and per day, merged from slices; ``near``: within 3 % of the exact count."""
+    logs = _dated(t)
+    sketches = staged(metrics.device_user_sketches(logs), "sketches")
+    known = logs.filter(F.col("userkey").isNotNull() & F.col("plat").isNotNull())
+    out = None
+    for plat in (F.col("plat"), F.lit("all")):
+        exact = known.groupBy("log_date", plat.alias("plat")).agg(F.count_distinct("userkey").alias("users"))
+        told = metrics.sketched_users(sketches, "log_date", plat.alias("plat")).withColumnRenamed("users", "told")
+        both = exact.join(told, ["log_date", "plat"], "left")
+        near = F.coalesce(F.abs(F.col("told") - F.col("users")) <= 0.03 * F.col("users"), F.lit(False))
+        part = both.select("log_date", "plat", "users", near.alias("near"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @report(
     "a10_device_users",
     logs_with()

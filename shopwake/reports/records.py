@@ -199,8 +199,24 @@ def k7(t):
     + "SELECT row_key, string_agg(qualifier || '=' || value, ',' ORDER BY qualifier) AS cells FROM cells GROUP BY row_key",
 )
 def s8(t):
+    return _as_text(wide.scan(_cells(t)))
+
+
+@report(
+    "s8_wide_scan_limited",
+    duck_with("users")
+    + _CELLS
+    + """SELECT row_key, string_agg(qualifier || '=' || value, ',' ORDER BY qualifier) AS cells FROM cells
+WHERE row_key IN (SELECT DISTINCT row_key FROM cells ORDER BY row_key LIMIT 25) GROUP BY row_key""",
+)
+def s8_limited(t):
+    """A scan that stops after its limit of row keys."""
+    return _as_text(wide.scan(_cells(t), limit=25))
+
+
+def _as_text(scanned):
     entries = F.map_entries("cells")
-    return wide.scan(_cells(t)).select(
+    return scanned.select(
         "row_key",
         F.array_join(
             F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ","

@@ -178,3 +178,33 @@ def k2_q5(t):
     stream.start_on(comments, shared_dir(t.spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
     columns = "is_sensitive boolean, masked_comment string, ban_days int, action string, sensitive_count bigint, user_name string, result string"
     return remarks.told(L.parse_json(sink.read(t.spark), columns))
+
+
+_HOURS = """SELECT strftime(date_trunc('hour', make_timestamp({ms} * 1000)), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS records
+FROM {rows} GROUP BY ALL"""
+
+
+def _hours(rows, time):
+    counts = jobs.run_to_end(jobs.counts_by_time(rows, time), ["window_start"])
+    return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@report(
+    "t2_stream_block_hours",
+    logs_with() + _HOURS.format(ms="((ts // 1000 + CASE WHEN log_type = 'login' THEN 0 ELSE 3600 END) * 1000)", rows="d"),
+)
+def t2(t):
+    """Hours of a block time in seconds; a login has none, so its own time counts."""
+    own = F.floor(F.col("ts") / 1000)
+    rows = L.dated(t.streaming("logs", files=3)).select(
+        own.alias("timestamp"), F.when(F.col("log_type").eqNullSafe("login"), F.lit(None)).otherwise(own + 3600).alias("block_timestamp")
+    )
+    return _hours(rows, times.event_time_of_block("block_timestamp", "timestamp"))
+
+
+@report("t3_stream_first_item_hours", logs_with() + _HOURS.format(ms="ts", rows="d"))
+def t3(t):
+    """Hours of the first item of each record's list."""
+    item = lambda ms: F.struct(ms.alias("window_start_time"))
+    rows = L.dated(t.streaming("logs", files=3)).select(F.array(item(F.col("ts")), item(F.col("ts") + times.DAY_MS)).alias("items"))
+    return _hours(rows, times.event_time_of_first("items"))

@@ -83,6 +83,16 @@ def windowed_page_views(logs: DataFrame, width: str = "10 seconds", delay: str =
     )
 
 
+def counts_by_time(rows: DataFrame, time, width: str = "1 hour", delay: str = LATE) -> DataFrame:
+    """Rows per window of an event time of the caller's, as timestamps; rows without one are not counted."""
+    return (
+        with_event_time(rows, time, delay)
+        .groupBy(F.window("event_time", width).alias("w"))
+        .agg(F.count("*").alias("records"))
+        .select(F.col("w.start").alias("window_start"), "records")
+    )
+
+
 def page_views_by_arrival(logs: DataFrame, width: str = "30 seconds") -> DataFrame:
     """Page views per window of the time at which they are processed."""
     arrived = logs.filter(F.col("log_type").isNotNull()).withColumn("arrival", F.current_timestamp())
