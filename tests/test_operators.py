@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shopwake.functions import comments as M
 from shopwake.operators import changes as C, geo, gmv, joins as J, lexicon as X
-from shopwake.operators import moderation, ordered, sessions, shares, wide
+from shopwake.operators import metrics, moderation, ordered, sessions, shares, wide
 
 LOG_SCHEMA = (
     "user_id string, ts bigint, log_id string, log_type string, order_id string, "
@@ -350,3 +350,20 @@ def test_interval_join_bounds(spark):
     logs = spark.createDataFrame([("o", t, str(i), "ip") for i, t in enumerate(at)], "order_id string, ts bigint, log_id string, ip string")
     got = sorted(r["log_id"] for r in J.interval_join(comments, logs).collect())
     assert got == ["1", "2", "3"]
+
+
+def test_sketches_of_slices_merge_into_any_window(spark):
+    minute = 60_000
+    rows = [("2024-01-01", m * minute, "ios", "b", "1", f"k{(m * 7 + i) % 300}") for m in range(120) for i in range(5)]
+    rows += [("2024-01-01", 0, None, "b", "1", "x"), ("2024-01-01", 0, "ios", None, None, None), ("2024-01-01", 0, "ios", None, None, "y")]
+    logs = spark.createDataFrame(rows, "log_date string, ts long, plat string, brand string, platv string, userkey string")
+    slices = metrics.device_user_sketches(logs)
+    for width in (10, 30, 120):
+        start = (F.floor(F.col("slice_ms") / (width * minute)) * width * minute).alias("start")
+        told = {r["start"]: r["users"] for r in metrics.sketched_users(slices, start).collect()}
+        want = {}
+        for _, ts, plat, *_, key in rows:
+            if plat and key:
+                want.setdefault(ts // (width * minute) * width * minute, set()).add(key)
+        assert told.keys() == want.keys() and all(abs(told[k] - len(v)) <= 0.03 * len(v) for k, v in want.items())
+    assert metrics.sketched_users(metrics.device_user_sketches(logs.limit(0)), "log_date").count() == 0
