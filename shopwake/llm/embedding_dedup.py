@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .components import components
 from .groups import LINKS, emit, groups
@@ -30,6 +30,13 @@ def valid(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _components(rows: DataFrame, vector: str) -> Column:
+    """The vector as floats if it holds floats, else as doubles."""
+    held = rows.schema[vector].dataType
+    single = isinstance(held, T.ArrayType) and isinstance(held.elementType, T.FloatType)
+    return F.col(vector).cast("array<float>" if single else "array<double>")
+
+
 def shape(rows: int, threshold: float, loss: float, bucket: int) -> tuple[int, int]:
     """Planes per table, so that a bucket of unrelated vectors holds about
     ``bucket``, and tables, so that a pair at the threshold is missed with
@@ -94,7 +101,8 @@ def near_vectors(
 ) -> DataFrame:
     """One row per vector: the key, ``n_links``, ``component_id`` and ``kept``.
 
-    Links are pairs of cosine ``threshold`` or more in double precision; a pair
+    Links are pairs of cosine ``threshold`` or more in double precision (components travel in their
+    own type, which is exact); a pair
     just there is found with probability 1 - ``loss``. Equal vectors are one
     class and link with each other. Vectors that are null, empty, zero or hold
     null or non-finite components, and vectors of another length, link with
@@ -103,7 +111,7 @@ def near_vectors(
     least key there, or null. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(rows.sparkSession, "vectors")
-    table = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    table = rows.select(F.col(key).alias("key"), _components(rows, vector).alias("vector"))
     table = table.withColumn("ok", valid(F.col("vector")))
     same = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(seed), "vector", F.size("vector")).alias("h2")]
     rows_in = table.select("key", "ok", *same)
@@ -121,7 +129,8 @@ def near_vectors(
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.withColumn("one", F.least("tile", "other")).withColumn("two", F.greatest("tile", "other"))
     met = met.select("id", "at", "tile", "one", "two", F.xxhash64("at", "code", "one", "two").alias("pair"))
-    wide = met.join(classes.select("id", "n", "vector"), "id").join(codes, "id")
+    # A comparison asks for the codes of earlier tables alone.
+    wide = met.join(classes.select("id", "n", "vector"), "id").join(codes, "id").withColumn("codes", F.slice("codes", F.lit(1), F.col("at")))
     found = scratch.keep(
         wide.repartition("pair").sortWithinPartitions("pair", "at", "one", "two").mapInArrow(_links(threshold), LINKS), "links"
     )
