@@ -125,24 +125,22 @@ def labelled(n: int, seed: int) -> Iterator[tuple[str, list[tuple[str, int, int]
         yield text, spans
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all places near a digit or an @ sign."""
-    out: list[tuple[int, int]] = []
-    runs: list[list[int]] = []
+def runs(text: str) -> list[tuple[int, int]]:
+    """Stretches of the text within ``AROUND`` characters of a digit or an @ sign."""
+    out: list[list[int]] = []
     for m in HINT.finditer(text):
         low, high = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if runs and low <= runs[-1][1]:
-            runs[-1][1] = high
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
         else:
-            runs.append([low, high])
-    for low, high in runs:
-        at = low
-        while True:
-            out.append((at, min(high, at + LENGTH)))
-            if at + LENGTH >= high:
-                break
-            at += STEP
-    return out
+            out.append([low, high])
+    return [(low, high) for low, high in out]
+
+
+def windows(low: int, high: int) -> list[tuple[int, int]]:
+    """Overlapping windows over a run."""
+    starts = range(low, max(low + 1, high - LENGTH + STEP), STEP)
+    return [(at, min(high, at + LENGTH)) for at in starts]
 
 
 def _matrix(text_classes: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
@@ -161,7 +159,7 @@ def model(rows: int = 700, passes: int = 8) -> Tagger:
         for kind, a, b in spans:
             k = 1 + 2 * KINDS.index(kind)
             own[a], own[a + 1 : b] = k, k + 1
-        cut = windows(text)
+        cut = [w for run in runs(text) for w in windows(*run)]
         ids.append(_matrix(classes(text), cut))
         tags.append(_matrix(own, cut))
     tagger = Tagger()
@@ -169,9 +167,9 @@ def model(rows: int = 700, passes: int = 8) -> Tagger:
     return tagger
 
 
-def _spans(tags: np.ndarray, sure: np.ndarray, low: int, high: int, size: int) -> Iterator[tuple[str, int, int, float]]:
-    """(kind, start, end, least probability) of one window over [low, high) of a
-    text of ``size`` characters; spans cut by an inner edge are left to the neighbour."""
+def _fragments(tags: np.ndarray, sure: np.ndarray, low: int, high: int, size: int) -> Iterator[tuple]:
+    """(kind, start, end, least probability, cut before, cut behind) of one window over
+    [low, high) of a text of ``size`` characters; the window's edges cut, the text's do not."""
     n = high - low
     at = 0
     while at < n:
@@ -181,13 +179,68 @@ def _spans(tags: np.ndarray, sure: np.ndarray, low: int, high: int, size: int) -
             inner = tag + tag % 2
             while end < n and tags[end] == inner:
                 end += 1
-            cut = (at == 0 and low > 0) or (end == n and high < size)
             k = (tag - 1) // 2
-            if not cut:
-                yield KINDS[k], low + at, low + end, float(sure[at:end, 1 + 2 * k : 3 + 2 * k].sum(axis=1).min())
+            least = float(sure[at:end, 1 + 2 * k : 3 + 2 * k].sum(axis=1).min())
+            yield KINDS[k], low + at, low + end, least, at == 0 and low > 0, end == n and high < size
         at = end
 
 
+def stitched(fragments: list[tuple]) -> list[tuple]:
+    """The fragments of one run, those of a kind that go on where a window cuts them made one.
+
+    A fragment that its neighbour window shows whole, or not at all, stays cut.
+    """
+    out: list[tuple] = []
+    for kind, a, b, p, before, behind in sorted(fragments, key=lambda f: (KINDS.index(f[0]), f[1], f[2])):
+        last = out[-1] if out else None
+        if last and last[0] == kind and last[5] and before and a <= last[2]:
+            out[-1] = (kind, last[1], max(b, last[2]), min(p, last[3]), last[4], behind)
+        else:
+            out.append((kind, a, b, p, before, behind))
+    return out
+
+
+def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+    """(kind, start, end, least probability) of what the tagger finds in each text.
+
+    A span that reaches the outer edge of its run makes the run twice as long on that side, and it is
+    decoded again, until the span ends inside. A card must have the digits of one.
+    """
+    found: list[list] = [[] for _ in texts]
+    coded = [classes(t) for t in texts]
+    todo = [(i, low, high) for i, t in enumerate(texts) for low, high in runs(t)]
+    while todo:
+        asked = [(r, *w) for r, (_, low, high) in enumerate(todo) for w in windows(low, high)]
+        parts: list[list] = [[] for _ in todo]
+        for at in range(0, len(asked), BATCH):
+            some = asked[at : at + BATCH]
+            ids = np.concatenate([_matrix(coded[todo[r][0]], [(a, b)]) for r, a, b in some])
+            e = tagger.emissions(ids)
+            tags = tagger.decode(e)
+            hits = np.flatnonzero(tags.any(axis=1))
+            sure = tagger.marginals(e[hits])[1] if len(hits) else None
+            for j, k in enumerate(hits):
+                r, a, b = some[k]
+                parts[r] += _fragments(tags[k], sure[j], a, b, len(texts[todo[r][0]]))
+        again = []
+        for (i, low, high), own in zip(todo, parts):
+            spans = stitched(own)
+            before = any(f[4] and f[1] == low for f in spans)
+            behind = any(f[5] and f[2] == high for f in spans)
+            if before or behind:
+                more = high - low
+                again.append((i, max(0, low - more) if before else low, min(len(texts[i]), high + more) if behind else high))
+            else:
+                found[i] += [f[:4] for f in spans if not (f[4] or f[5]) and (f[0] != "card" or _card(texts[i][f[1] : f[2]]))]
+        todo = again
+    return found
+
+
+def _card(span: str) -> bool:
+    digits = re.sub(r"[^0-9]", "", span)
+    return 13 <= len(digits) <= 19 and luhn(digits)
+
+
 def reconcile(found: list[tuple[str, int, int, float]], fixed: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans to add to the fixed ones: none touches a fixed one or another;
     the surest first, then the longest, then the first."""
@@ -210,22 +263,7 @@ def _tag(shared):
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             fixed = [patterns(t) for t in texts]
-            found: list[list] = [[] for _ in texts]
-            asked, ids = [], []
-            for i, t in enumerate(texts):
-                cut = windows(t)
-                if cut:
-                    asked += [(i, a, b) for a, b in cut]
-                    ids.append(_matrix(classes(t), cut))
-            ids = np.concatenate(ids) if ids else np.zeros((0, LENGTH), np.int64)
-            for at in range(0, len(asked), BATCH):
-                e = tagger.emissions(ids[at : at + BATCH])
-                tags = tagger.decode(e)
-                some = np.flatnonzero(tags.any(axis=1))
-                sure = tagger.marginals(e[some])[1] if len(some) else None
-                for j, k in enumerate(some):
-                    i, a, b = asked[at + k]
-                    found[i] += _spans(tags[k], sure[j], a, b, len(texts[i]))
+            found = tagged(tagger, texts)
             rows = []
             for own, more in zip(fixed, found):
                 every = [(*s, False) for s in own] + [(*s, True) for s in reconcile(more, own)]
@@ -240,7 +278,8 @@ def personal_data(docs: DataFrame, *, fit_rows: int = 700) -> DataFrame:
     """The rows packed as ``_row`` and text, with ``spans``: kind, start, end and whether
     the tagger added it, by kind and start.
 
-    Null and empty texts have no spans. Base spans of several kinds may overlap; added ones
+    Null and empty texts have no spans; very long ones are cut into windows around digits and @ signs,
+    and a span may be longer than a window. Base spans of several kinds may overlap; added ones
     overlap nothing. Repeated rows are tagged each; an empty table gives no rows; other
     columns pass through in the struct.
     """

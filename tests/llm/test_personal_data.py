@@ -67,27 +67,52 @@ def test_gradients():
 
 def test_windows_cover_every_hint():
     text = "x" * 100 + "1" + "y" * 300 + "a@b" + "2 " * 200
-    cut = pii.windows(text)
+    cut = [w for run in pii.runs(text) for w in pii.windows(*run)]
     assert all(0 < b - a <= pii.LENGTH for a, b in cut)
     for m in re.finditer("[0-9@]", text):
         assert any(a <= m.start() - min(m.start(), 20) and m.end() + min(20, len(text) - m.end()) <= b for a, b in cut)
-    assert pii.windows("") == pii.windows("no hints") == [] and len(classes("aé1\U0001f600")) == 4
+    assert pii.runs("") == pii.runs("no hints") == [] and len(classes("aé1\U0001f600")) == 4
 
 
 def test_held_out_accuracy():
     tagger = pii.model()
     n = found = wrong = 0
-    for text, spans in pii.labelled(150, 99):
-        cut = pii.windows(text)
-        if cut:
-            e = tagger.emissions(pii._matrix(classes(text), cut))
-            tags, sure = tagger.decode(e), tagger.marginals(e)[1]
-            every = [s for k, (a, b) in enumerate(cut) for s in pii._spans(tags[k], sure[k], a, b, len(text))]
-            got = set(pii.reconcile(every, []))
-            n, found, wrong = n + len(spans), found + len(got & set(spans)), wrong + len(got - set(spans))
+    held = [*pii.labelled(150, 99)]
+    for (text, spans), every in zip(held, pii.tagged(tagger, [text for text, _ in held])):
+        got = set(pii.reconcile(every, []))
+        n, found, wrong = n + len(spans), found + len(got & set(spans)), wrong + len(got - set(spans))
     assert found >= 0.8 * n and wrong <= 0.03 * n
 
 
+class Marker:
+    """Stands for a tagger: letters of the class of ``x`` are one e-mail address."""
+
+    def emissions(self, ids):
+        return (ids == classes("x")[0]).astype(float)
+
+    def decode(self, e):
+        first = np.diff(np.pad(e, ((0, 0), (1, 0))), axis=1) > 0
+        return np.where(e > 0, np.where(first, 1, 2), 0)
+
+    def marginals(self, e):
+        return None, np.ones((*e.shape, TAGS))
+
+
+@pytest.mark.parametrize("before, length", [(60, 3), (60, 30), (60, 47), (60, 90), (7, 200), (300, 1000), (0, 400)])
+def test_spans_beyond_runs_and_windows(before, length):
+    """Spans longer than a window's overlap, a window or the run are found whole."""
+    text = "é" * before + "x" * length + "@" + "é" * 100
+    assert [f[:3] for f in pii.reconcile(pii.tagged(Marker(), [text])[0], [])] == [("email", before, before + length)]
+
+
+def test_stitched():
+    parts = [("card", 5, 50, 0.9, False, True), ("card", 40, 60, 0.8, True, False), ("card", 45, 50, 1.0, False, True), ("ip", 40, 44, 1.0, True, False)]
+    assert pii.stitched(parts[:2]) == [("card", 5, 60, 0.8, False, False)]
+    assert pii.stitched(parts[2:]) == [parts[3], parts[2]]
+    bad = "9" * 16
+    assert pii._card("4111.1111.1111.1111") and not pii._card(bad) and not pii._card("411111111111")
+
+
 def test_personal_data(spark):
     texts = [None, "", "nothing here", "mail bob@example.com or +1 (017) 555-7713, ip 10.0.0.255", "call (123) 456-7890 now", "é 4111111111111111 " * 200, "1" * 3000]
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate([*texts, texts[3]])], "doc_id long, text string, spans string, kind int")
