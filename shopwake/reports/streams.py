@@ -118,23 +118,23 @@ def _inputs(t: Tables):
         F.col("doc_id").alias("comment_id"), "user_id", "ts", "order_id", "product_id", "ds"
     )
     logs = L.dated(t.streaming("logs")).select(*PR._LOG_COLUMNS)
-    from ..functions import users as U
-
-    users = U.enrich(t.streaming("users")).withColumn("ts", F.coalesce("ts", F.lit(0)))
-    return comments, logs, users
+    return comments, logs
 
 
 @report("t5_j2_stream_interval_join", _sql("j2_interval_join"))
 def t5(t):
-    comments, logs, _ = _inputs(t)
-    joined = jobs.interval_join(comments, logs).select(
+    joined = jobs.interval_join(*_inputs(t)).select(
         "comment_id", "ts", "log_id", "log_ts", "ip"
     )
     return jobs.run_to_end(joined, ["comment_id", "log_id"], mode="append")
 
 
 def _pairs(t: Tables, **options):
-    stream = profile.profile_stream(*_inputs(t), **options)
+    """Comments, logs and user rows of all users, arriving over five triggers."""
+    comments = PR.comments(t)
+    logs, users = PR.logs(t), PR.users(t).withColumn("ts", F.coalesce("ts", F.lit(0)))
+    rows = StreamTables(t.spark, t.sf_dir, 5).in_parts(profile.tagged(comments, logs, users), F.col("at_ts"))
+    stream = profile.joined(rows, **options)
     told = jobs.run_to_end(
         stream, ["user_id", "at_ts", "at_tag", "at_id", "log_no"], mode="append"
     )

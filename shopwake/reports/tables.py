@@ -276,8 +276,11 @@ class StreamTables(Tables):
 
     def arriving(self, name: str) -> DataFrame:
         """A derived table with ``ts`` in ms, its rows arriving in time order."""
-        rows = Tables(self.spark, self.sf_dir).__getattr__(name)
-        path, per_trigger = self._in_order(rows, F.col("ts"))
+        return self.in_parts(Tables(self.spark, self.sf_dir).__getattr__(name), F.col("ts"))
+
+    def in_parts(self, rows: DataFrame, ms: Column) -> DataFrame:
+        """Rows that arrive in the order of ``ms``."""
+        path, per_trigger = self._in_order(rows, ms)
         return stored_table(self.spark, path, "*.parquet", rows.schema, per_trigger)
 
     def _in_order(self, rows: DataFrame, ms: Column) -> tuple[str, int]:

@@ -1,13 +1,19 @@
 """Order-dependent three-way join as one stateful operator.
 
 Comments, logs and user rows of a user arrive on one tagged stream. State per
-user: the current comment, the last logs, the devices seen, the user row,
-pairs still waiting for the user row, and the last report.
+user: the current comment, a ring of the last logs by number, the devices seen, the
+user row, and the last report. Until the user row comes, what arrives is held, once each, in
+blocks, and goes through the join when it is there. A task holds the ring, a block per Arrow batch
+of the user's rows, and a frame of results, however much a trigger brings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import json
+from collections import deque
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +25,8 @@ COMMENT, LOG, USER = 0, 1, 2
 DAY_MS = 24 * 3600 * 1000
 PAIR = "at_ts bigint, at_tag int, at_id string, device_count bigint, comment string, log string, log_type string, log_no bigint"
 OUTPUT = f"user_id string, {PAIR}, user_info string, reason string"
+BLOCK = 256  # arrivals in one entry of state
+FRAME = 1000  # results handed on at once
 PAIR_COLUMNS = ["at_ts", "at_tag", "at_id", "device_count", "comment", "log", "log_type", "log_no"]
 
 
@@ -49,11 +57,36 @@ def tagged(comments: DataFrame, logs: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def _order(event):
+    return event[0], event[1], event[2] or ""
+
+
+@dataclass
+class _Known:
+    """What is known of the user while a trigger's rows go through."""
+
+    comment: str | None
+    user: str | None
+    report: tuple | None
+    logs: int
+    blocks: int  # of held arrivals in state
+    ring: deque
+    devices: set
+    held: list = field(default_factory=list)  # arrivals of a block not yet in state
+    newest: tuple | None = None
+
+
 class ProfileJoin(StatefulProcessor):
-    """Pairs comments with logs, waits for the user row, drops repetitions."""
+    """Pairs comments with logs, waits for the user row, drops repetitions.
 
-    def __init__(self, buffer: int = LOG_BUFFER, suppress: bool = True, ttl_ms: int | None = None, daily: bool = False, period_ms: int = DAY_MS):
+    A pair is told with the user row known at its time, or with the first one that
+    comes. Rows of one trigger count in the order (time, comment before log before user
+    row, id); triggers in the order in which they come.
+    """
+
+    def __init__(self, buffer: int = LOG_BUFFER, suppress: bool = True, ttl_ms: int | None = None, daily: bool = False, period_ms: int = DAY_MS, block: int = BLOCK, frame: int = FRAME):
         self.buffer, self.suppress, self.ttl_ms, self.daily = buffer, suppress, ttl_ms, daily
+        self.block, self.frame = block, frame
         self.period_ms = period_ms  # between two repetitions, a UTC day but in tests
 
     def init(self, handle) -> None:
@@ -61,10 +94,12 @@ class ProfileJoin(StatefulProcessor):
         self.handle = handle
         self.comment = handle.getValueState("comment", "payload string", **ttl)
         self.user = handle.getValueState("user", "payload string", **ttl)
-        self.counter = handle.getValueState("counter", "logs bigint", **ttl)
-        self.logs = handle.getListState("logs", "log string, log_type string, log_no bigint", **ttl)
+        self.counter = handle.getValueState("counter", "logs bigint, blocks bigint", **ttl)
+        self.ring = handle.getMapState("ring", "slot bigint", "log string, log_type string, log_no bigint", **ttl)
         self.devices = handle.getMapState("devices", "device string", "seen int", **ttl)
-        self.waiting = handle.getListState("waiting", PAIR, **ttl)
+        self.held = handle.getMapState("held", "block bigint", "events string", **ttl)
+        # Sorted batches of a trigger that brings several for one user; empty between triggers.
+        self.batches = handle.getMapState("batches", "batch bigint, block bigint", "events string", **ttl)
         self.newest = handle.getValueState("newest", PAIR, **ttl)
         self.report = handle.getValueState(
             "report", "ts bigint, device_count bigint, log_type string", **ttl
@@ -74,86 +109,126 @@ class ProfileJoin(StatefulProcessor):
     def _value(state):
         return state.get() if state.exists() else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # A key's rows of one trigger; the trigger size bounds them.
-        arrived = pd.concat(list(rows)).sort_values(["at_ts", "at_tag", "at_id"])
-        comment = self._value(self.comment)
-        comment = comment[0] if comment else None
-        user = self._value(self.user)
-        user = user[0] if user else None
-        count = self._value(self.counter)
-        count = count[0] if count else 0
-        logs = list(self.logs.get()) if self.logs.exists() else []
-        devices = {k[0] for k in self.devices.keys()} if self.devices.exists() else set()
-        known = set(devices)
-
-        pairs = []
-        for r in arrived.itertuples(index=False):
-            if r.at_tag == USER:
-                user = r.payload
+    def _first(self, state):
+        value = self._value(state)
+        return value[0] if value else None
+
+    def _in_order(self, frames) -> Iterable[list]:
+        """The rows of all frames in order; beyond one frame they are merged from state."""
+        own, blocks = [], []
+        for frame in frames:
+            columns = [frame[c] for c in ("at_ts", "at_tag", "at_id", "log_type", "brand", "plat", "payload")]
+            if blocks or own:
+                self._put_batch(own, blocks)
+            own = sorted(([int(ts), int(tag), *rest] for ts, tag, *rest in zip(*columns)), key=_order)
+        if not blocks:
+            return own
+        self._put_batch(own, blocks)
+        return heapq.merge(*[self._batch(n, size) for n, size in enumerate(blocks)], key=_order)
+
+    def _put_batch(self, events: list, blocks: list[int]) -> None:
+        starts = range(0, len(events), self.block)
+        for n, at in enumerate(starts):
+            self.batches.updateValue((len(blocks), n), (json.dumps(events[at : at + self.block]),))
+        blocks.append(len(starts))
+
+    def _batch(self, batch: int, blocks: int) -> Iterator[list]:
+        for n in range(blocks):
+            events = json.loads(self.batches.getValue((batch, n))[0])
+            self.batches.removeKey((batch, n))
+            yield from events
+
+    def _hold(self, known: _Known) -> None:
+        if known.held:
+            self.held.updateValue((known.blocks,), (json.dumps(known.held),))
+            known.blocks, known.held = known.blocks + 1, []
+
+    def _released(self, known: _Known) -> Iterator[list]:
+        for n in range(known.blocks):
+            events = json.loads(self.held.getValue((n,))[0])
+            self.held.removeKey((n,))
+            yield from events
+        last, known.held, known.blocks = known.held, [], 0
+        yield from last
+
+    def _pairs(self, events: Iterable[list], known: _Known) -> Iterator[tuple]:
+        for event in events:
+            ts, tag, own_id, kind, brand, plat, payload = event
+            if tag == USER:
+                first, known.user = known.user is None, payload
+                if first:
+                    yield from self._pairs(self._released(known), known)
+                continue
+            if known.user is None:
+                known.held.append(event)
+                if len(known.held) == self.block:
+                    self._hold(known)
                 continue
-            if r.at_tag == COMMENT:
-                comment = r.payload
-                met = logs
+            if tag == COMMENT:
+                known.comment, met = payload, list(known.ring)
             else:
-                count += 1
-                if r.brand is not None and r.plat is not None:
-                    devices.add(f"{r.brand}\n{r.plat}".lower())
-                logs = [*logs, (r.payload, r.log_type, count)][-self.buffer :]
-                met = logs[-1:] if comment is not None else []
-            pairs += [
-                (r.at_ts, r.at_tag, r.at_id, len(devices), comment, log, kind, number)
-                for log, kind, number in met
-            ]
-
-        self.counter.update((count,))
-        if comment is not None:
-            self.comment.update((comment,))
-        if user is not None:
-            self.user.update((user,))
-        if logs:
-            self.logs.put(logs)
-        for device in devices - known:
-            self.devices.updateValue((device,), (1,))
-        if pairs:
-            self.newest.update(pairs[-1])
+                known.logs += 1
+                if brand is not None and plat is not None:
+                    known.devices.add(f"{brand}\n{plat}".lower())
+                known.ring.append((payload, kind, known.logs))
+                met = [known.ring[-1]] if known.comment is not None else []
+            for log, log_kind, number in met:
+                known.newest = (ts, tag, own_id, len(known.devices), known.comment, log, log_kind, number)
+                yield known.newest
+
+    def _is_new(self, pair: tuple, known: _Known) -> bool:
+        if not self.suppress:
+            return True
+        ts, devices, kind, last = pair[0], pair[3], (pair[6] or "").lower(), known.report
+        new = (
+            last is None
+            or kind in IMPORTANT_TYPES
+            or kind != last[2]
+            or devices != last[1]
+            or ts - last[0] > SILENCE_MS
+        )
+        if new:
+            known.report = (ts, devices, kind)
+        return new
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        logs, blocks = self._value(self.counter) or (0, 0)
+        stored = sorted((v for _, v in self.ring.iterator()), key=lambda v: v[2]) if logs else []
+        known = _Known(
+            comment=self._first(self.comment), user=self._first(self.user), report=self._value(self.report), logs=logs, blocks=blocks,
+            ring=deque((tuple(v) for v in stored), maxlen=self.buffer), devices={k[0] for k in self.devices.keys()} if logs else set(),
+        )
+        seen, comment, user, report = set(known.devices), known.comment, known.user, known.report
         if self.daily:
             now = timerValues.getCurrentProcessingTimeInMs()
             self.handle.registerTimer((now // self.period_ms + 1) * self.period_ms)
 
-        if user is None:
-            if pairs:
-                self.waiting.appendList(pairs)
-            return
-        if self.waiting.exists():
-            pairs = [*self.waiting.get(), *pairs]
-            self.waiting.clear()
-        told = self._tell(pairs)
-        if told:
-            out = pd.DataFrame(told, columns=PAIR_COLUMNS)
-            out.insert(0, "user_id", key[0])
-            yield out.assign(user_info=user, reason="pair")
-
-    def _tell(self, pairs):
-        """Pairs that bring something new, and the state of the last report."""
-        if not self.suppress:
-            return pairs
-        last = self._value(self.report)
         told = []
-        for pair in pairs:
-            ts, devices, kind = pair[0], pair[3], (pair[6] or "").lower()
-            if (
-                last is None
-                or kind in IMPORTANT_TYPES
-                or kind != last[2]
-                or devices != last[1]
-                or ts - last[0] > SILENCE_MS
-            ):
-                told.append(pair)
-                last = (ts, devices, kind)
+        for pair in self._pairs(self._in_order(rows), known):
+            if self._is_new(pair, known):
+                told.append((key[0], *pair, known.user, "pair"))
+                if len(told) == self.frame:
+                    yield pd.DataFrame(told, columns=["user_id", *PAIR_COLUMNS, "user_info", "reason"])
+                    told = []
         if told:
-            self.report.update(last)
-        return told
+            yield pd.DataFrame(told, columns=["user_id", *PAIR_COLUMNS, "user_info", "reason"])
+
+        self._hold(known)
+        if (known.logs, known.blocks) != (logs, blocks):
+            self.counter.update((known.logs, known.blocks))
+        for entry in known.ring:
+            if entry[2] > logs:
+                self.ring.updateValue((entry[2] % self.buffer,), entry)
+        for device in known.devices - seen:
+            self.devices.updateValue((device,), (1,))
+        if known.comment != comment:
+            self.comment.update((known.comment,))
+        if known.user != user:
+            self.user.update((known.user,))
+        if known.report != report:
+            self.report.update(known.report)
+        if known.newest is not None:
+            self.newest.update(known.newest)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Daily repetition of the newest pair of a user."""
@@ -168,21 +243,21 @@ class ProfileJoin(StatefulProcessor):
         pass
 
 
-def profile_stream(
-    comments: DataFrame, logs: DataFrame, users: DataFrame, daily: bool = False, **options
-) -> DataFrame:
-    """Joined rows as they become known.
+def joined(rows: DataFrame, daily: bool = False, **options) -> DataFrame:
+    """Joined rows of a :func:`tagged` stream as they become known.
 
     ``daily`` adds the timer output; a query with timers never drains, so run
     it with an interval trigger, not with ``availableNow``.
     """
-    return (
-        tagged(comments, logs, users)
-        .groupBy("user_id")
-        .transformWithStateInPandas(
-            statefulProcessor=ProfileJoin(daily=daily, **options),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="ProcessingTime" if daily else "None",
-        )
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=ProfileJoin(daily=daily, **options),
+        outputStructType=OUTPUT,
+        outputMode="Append",
+        timeMode="ProcessingTime" if daily else "None",
     )
+
+
+def profile_stream(
+    comments: DataFrame, logs: DataFrame, users: DataFrame, daily: bool = False, **options
+) -> DataFrame:
+    return joined(tagged(comments, logs, users), daily, **options)

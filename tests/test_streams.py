@@ -40,8 +40,25 @@ def names(schema):
 TAGGED = "user_id string, at_ts bigint, at_tag int, at_id string, log_type string, brand string, plat string, payload string"
 
 
+@pytest.fixture
+def few_rows_a_batch(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.transformWithStateInPandas.maxRecordsPerBatch"]
+    held = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "10")
+    yield
+    for n, v in held.items():
+        spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+@pytest.mark.parametrize("files, block", [(1, 3), (3, 256)])
+def test_stateful_join_in_batches_and_blocks(spark, tmp_path, few_rows_a_batch, files, block):
+    """Several batches of a user in one trigger are merged, held rows fill blocks, results fill frames."""
+    test_stateful_join_equals_a_walk(spark, tmp_path, files, block=block, frame=4)
+
+
 @pytest.mark.parametrize("files", [1, 4])
-def test_stateful_join_equals_a_walk(spark, tmp_path, files):
+def test_stateful_join_equals_a_walk(spark, tmp_path, files, **sizes):
     comments, logs = traffic(11, n=200)
     known = {"hot", "u0"}
     rows = [(u, ts, profile.COMMENT, str(c), None, None, None, f'{{"comment_id":{c}}}') for u, ts, c in comments]
@@ -52,7 +69,7 @@ def test_stateful_join_equals_a_walk(spark, tmp_path, files):
     jobs.prepare(spark)
     stream = stored_table(spark, path, "*.parquet", T._parse_datatype_string(TAGGED), 1)
     joined = stream.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=profile.ProfileJoin(buffer=5), outputStructType=profile.OUTPUT,
+        statefulProcessor=profile.ProfileJoin(buffer=5, **sizes), outputStructType=profile.OUTPUT,
         outputMode="Append", timeMode="None",
     )
     told = jobs.run_to_end(joined, ["user_id", "at_ts", "at_tag", "at_id", "log_no"], mode="append")
@@ -80,6 +97,27 @@ class Clock:
         self.value = at
 
 
+class Cells(dict):
+    """Stands for a map state."""
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    getValue, removeKey = dict.__getitem__, dict.pop
+
+
+@pytest.mark.parametrize("frames", [0, 1, 2, 7])
+def test_batches_of_a_trigger_are_merged(frames):
+    join = profile.ProfileJoin(block=3)
+    join.batches = Cells()
+    rows = [[(7 * i) % 40, i % 3, str(i % 5), None, None, "ä", f'{{"n":{i}}}'] for i in range(60)]
+    columns = ["at_ts", "at_tag", "at_id", "log_type", "brand", "plat", "payload"]
+    parts = [pd.DataFrame(rows[i::frames], columns=columns).astype({"log_type": object, "brand": object}) for i in range(frames)]
+    out = list(join._in_order(iter(parts)))
+    assert sorted(map(str, out)) == sorted(map(str, rows if frames else []))
+    assert [r[:3] for r in out] == sorted(r[:3] for r in out) and not join.batches
+
+
 def test_daily_timer_repeats_the_newest_pair(spark):
     join = profile.ProfileJoin(daily=True)
     pair = (5, 1, "l", 1, "{}", "{}", "login", 3)
