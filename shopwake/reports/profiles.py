@@ -242,6 +242,27 @@ def a25(t):
     )
 
 
+@report(
+    "a25_search_counts",
+    words_with() + "SELECT user_id, keyword, count(*) AS searches FROM w WHERE user_id IS NOT NULL GROUP BY ALL",
+)
+def a25_searches(t):
+    return H.search_counts(_known(t))
+
+
+@report(
+    "a25_search_section",
+    words_with()
+    + """, n AS (SELECT user_id, keyword, count(*) AS c FROM w WHERE user_id IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, keyword) AS rn FROM n),
+u AS (SELECT DISTINCT user_id FROM d WHERE user_id IS NOT NULL)
+SELECT u.user_id, CAST(coalesce(sum(c), 0) AS BIGINT) AS total_searched_keywords, count(c) AS different_keywords, max(CASE WHEN rn = 1 THEN keyword END) AS top_keyword
+FROM u LEFT JOIN r ON r.user_id = u.user_id GROUP BY u.user_id""",
+)
+def a25_section(t):
+    return H.user_statistics(_known(t), remarks(t)).select("user_id", "search_analysis.*")
+
+
 def _profile_rows(t: Tables):
     logs = _known(t).withColumn("keywords", L.clean_keywords(F.col("keywords")))
     return profiles.profile_rows(remarks(t), logs, PR.users(t))
