@@ -223,6 +223,18 @@ def test_arrivals_are_whole_and_in_order(spark, tmp_path):
         assert sorted(r[0] for r in taken.collect()) == [r[0] for r in given]
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_is_a_file_or_a_folder_of_parts(spark, tmp_path, parts):
+    frame = pd.DataFrame({"doc_id": range(30), "text": "a"})
+    if parts:
+        spark.createDataFrame(frame).repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        frame.to_parquet(tmp_path / "documents.parquet")
+    arriving = StreamTables(spark, str(tmp_path)).stored("documents")
+    taken = jobs.run_to_end(arriving.select("doc_id"), ["doc_id"], mode="append")
+    assert sorted(r[0] for r in taken.collect()) == list(range(30))
+
+
 def test_every_session_is_closed_at_the_end(spark, tmp_path):
     day = pd.Timestamp("2024-01-01")
     minutes = [(1, 0), (1, 30), (1, 61), (2, 500), (1, 500), (2, 510), (3, 505)]
