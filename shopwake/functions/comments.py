@@ -116,7 +116,7 @@ def amount(raw: Column, comment: Column) -> Column:
 
 
 def not_blank(comment: Column) -> Column:
-    return comment.isNotNull() & (F.regexp_replace(comment, r"\s", "") != "")
+    return comment.isNotNull() & comment.rlike(r"\S")
 
 
 def ban_days(level: Column) -> Column:

@@ -1,9 +1,9 @@
 """Words of a lexicon inside comments.
 
 A word matches wherever it occurs in the text. Lexicons of any size take the
-same path: a place of a text whose first characters are the head of some word
-is joined with the lengths of the words under that head, and the pieces of
-these lengths with the words. A head that any number of words share costs a place one
+same path: the bytes of the texts are tested where they lie, and a place whose first
+characters are the head of some word is joined with the lengths of the words under that head, and the pieces of
+these lengths with the words. Texts are not shuffled, and a place that no word begins at is no row. A head that any number of words share costs a place one
 row per length, not one per word. Spark broadcasts heads and words if it has
 measured them as small. A word listed with several levels has the one of
 greatest weight.
@@ -13,14 +13,16 @@ Found words are ordered by level, then length, then word.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions import comments as M
 
 HEAD = 3  # first characters of a word that places are joined on
-CHUNK = 10_000  # characters of a text that are one row
-PIECE = 200  # characters whose places are listed at once: the n-th one is found in n steps
+SPAN = 1 << 18  # bytes of texts that are tested at once
+BYTE_SLOT_BITS = 20
 SLOTS = 1 << 16
 FOUND = T.ArrayType(
     T.StructType([T.StructField("word", T.StringType()), T.StructField("level", T.StringType())])
@@ -79,13 +81,12 @@ def _slot(head: Column) -> Column:
     return F.pmod(F.xxhash64(head), F.lit(SLOTS))
 
 
-def _sieve(rows: DataFrame, column: str, *aggs: Column):
+def _sieve(rows: DataFrame, column: str):
     """A test for the values of a column by one constant of ``SLOTS`` bits, whatever their
-    number: what fails it is none of them, the rest is still joined. With it the
-    results of ``aggs``, one row per group of bits."""
+    number: what fails it is none of them, the rest is still joined."""
     word = F.floor(_slot(F.col(column)) / 64).cast("int").alias("at")
     bit = F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(`{column}`), {SLOTS}), 64) as int))")
-    found = rows.groupBy(word).agg(F.bit_or(bit).alias("bits"), *aggs).collect()
+    found = rows.groupBy(word).agg(F.bit_or(bit).alias("bits")).collect()
     bits = {r["at"]: r["bits"] for r in found}
     slots = F.lit([bits.get(i, 0) for i in range(SLOTS // 64)]).cast("array<bigint>")
 
@@ -94,45 +95,84 @@ def _sieve(rows: DataFrame, column: str, *aggs: Column):
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
         return value.isNotNull() & (F.get(slots, F.floor(spot / 64).cast("int")).bitwiseAND(bit) != 0)
 
-    return known, found
-
-
-def _places(comments: DataFrame, key: str, text: str, longest: int) -> DataFrame:
-    """(key, rest, at): pieces of the texts that overlap by the longest word, and the
-    characters of each at which a word may begin."""
-
-    def cut(rows: DataFrame, column: str, own: Column, size: int, *more: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), own, F.lit(size))
-        return rows.select(key, column, own.alias("_all"), F.explode(starts).alias("_s")).select(
-            key, *more, F.substr(F.col(column), F.col("_s"), F.lit(size + longest - 1)).alias("rest"),
-            F.least(F.lit(size), F.col("_all") - F.col("_s") + 1).alias("_own"),
-        )
-
-    length = F.char_length(text)
-    # A long text is many rows; hashing them keeps it off a single task.
-    large = cut(comments.filter(length > 0), text, length, CHUNK, "_s").repartition(key, "_s")
-    small = cut(large, "rest", F.col("_own"), PIECE)
-    return small.select(key, "rest", F.explode(F.sequence(F.lit(1), F.col("_own"))).alias("at"))
+    return known
+
+
+def _begins(heads):
+    """The number of bytes of a head that are tested, at most 8, and the slot of these bytes."""
+    for batch in heads:
+        encoded = [h.encode()[:8] for h in batch.column(0).to_pylist()]
+        codes = np.array([int.from_bytes(h, "little") for h in encoded], "<u8")
+        sizes = np.array([len(h) for h in encoded], "i4")
+        slots = _byte_slot(codes).astype("i8")
+        yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(slots)], ["bytes", "slot"])
+
+
+def _byte_slot(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BYTE_SLOT_BITS)
+
+
+def _starts(known: np.ndarray, sizes: list[int], longest: int):
+    """(key, text) to (key, rest): the places of the texts at which a head may begin, each
+    with as many bytes as the longest word has. The bytes of many texts are tested at once."""
+    masks = [np.uint64((1 << 8 * n) - 1) for n in sizes]
+
+    def places(data: np.ndarray, low: int, high: int):
+        for at in range(low, high, SPAN):
+            own = min(SPAN, high - at)
+            block = np.zeros(own + 7, "u1")
+            here = data[at : min(at + own + 7, high)]
+            block[: len(here)] = here
+            codes = np.ndarray((own,), "<u8", block, 0, (1,))
+            hit = np.zeros(own, bool)
+            for mask in masks:
+                hit |= known[_byte_slot(codes & mask)]
+            yield at + np.flatnonzero(hit)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            _, offsets, data = texts.buffers()
+            ends = np.frombuffer(offsets, "<i8")[texts.offset : texts.offset + len(texts) + 1]
+            if not len(texts) or ends[0] == ends[-1]:
+                continue
+            raw = memoryview(data)
+            for found in places(np.frombuffer(data, "u1"), int(ends[0]), int(ends[-1])):
+                rows = np.searchsorted(ends, found, "right") - 1
+                stops = np.minimum(found + longest, ends[rows + 1])
+                rests = [str(raw[a:b], "utf-8", "replace") for a, b in zip(found.tolist(), stops.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(rests, pa.string())], [batch.schema.names[0], "rest"])
+
+    return run
 
 
 def _offered(comments: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
     """(key, _words): the words that stand in the text; texts without any are left out."""
     words = one_level(lexicon)
-    heads = words.groupBy(F.left("word", F.lit(HEAD)).alias("head")).agg(F.collect_set(F.char_length("word")).alias("sizes"))
-    known, rows = _sieve(heads, "head", F.collect_set(F.char_length("head")).alias("lengths"), F.max(F.array_max("sizes")).alias("longest"))
-    lengths, longest = sorted({n for r in rows for n in r["lengths"]}), max((r["longest"] for r in rows), default=0)
-    if not longest:
+    heads = words.groupBy(F.left("word", F.lit(HEAD)).alias("head")).agg(
+        F.collect_set(F.char_length("word")).alias("sizes"), F.max(F.octet_length("word")).alias("bytes")
+    )
+    # One constant of bits, whatever the number of heads: what fails it is none of them, the rest is still joined.
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    rows = (
+        heads.select("head").mapInArrow(_begins, "bytes int, slot bigint")
+        .groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(bit).alias("bits"), F.collect_set("bytes").alias("bytes")).collect()
+    )
+    if not rows:
         return comments.limit(0).select(key, F.array().cast(FOUND).alias("_words"))
-    at = F.col("at")
-    # explode gives the heads a column of their own, which the test reads twice
-    starts = F.array(*(F.substr(F.col("rest"), at, F.lit(n)) for n in lengths))
-    begun = (
-        _places(comments, key, text, longest)
-        .select(key, "rest", "at", F.explode(starts).alias("head"))
-        .filter(known(F.col("head")))
-        .select(key, "head", F.substr(F.col("rest"), at, F.lit(longest)).alias("rest"))
+    most = heads.agg(F.max("bytes").alias("bytes"), F.collect_set(F.char_length("head")).alias("lengths")).first()
+    bits = np.zeros((1 << BYTE_SLOT_BITS) // 64, "<i8")
+    for r in rows:
+        bits[r["at"]] = r["bits"]
+    known = np.unpackbits(bits.view("u1"), bitorder="little").view(bool)
+    sizes = sorted({n for r in rows for n in r["bytes"]})
+    column = comments.schema[key]
+    rest = F.col("rest")
+    begun = comments.select(key, F.col(text).alias("_text")).filter(F.octet_length("_text") > 0).mapInArrow(
+        _starts(known, sizes, most["bytes"]), T.StructType([column, T.StructField("rest", T.StringType())])
     )
-    pieces = begun.join(heads, "head").select(key, "rest", F.explode("sizes").alias("size"))
+    begun = begun.select(key, "rest", F.explode(F.array(*(F.left(rest, F.lit(n)) for n in sorted(most["lengths"])))).alias("head"))
+    pieces = begun.join(heads.select("head", "sizes"), "head").select(key, "rest", F.explode("sizes").alias("size"))
     met = pieces.select(key, F.left("rest", F.col("size")).alias("word")).join(words, "word")
     return met.groupBy(key).agg(F.collect_set(F.struct("word", "level")).alias("_words"))
 
@@ -186,7 +226,7 @@ def found_in_tokens(
     comments without such a hit. An equi-join at any lexicon size.
     """
     words = one_level(lexicon)
-    known, _ = _sieve(words, "word")
+    known = _sieve(words, "word")
     # explode keeps the tokens a column of their own: cut once, used often
     cut = comments.select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
     each = cut.select(key, "_t", F.posexplode("_t").alias("_i", "_1"))
