@@ -39,7 +39,7 @@ class ModerationStream:
         detected = spark.read.schema(schema).parquet(detected_at)
         earlier = self.past.read(spark, before=batch_id) if batch_id else self.nobody
         history = jobs.user_history(detected, self.key, earlier)
-        self.sink.write(jobs.judge(detected, history, self.users, self.key, self.origin), batch_id)
+        self.sink.write(jobs.judge(batch, detected, history, self.users, self.key, self.origin), batch_id)
         self.past.upsert(carried(history, self.key), batch_id)
         self.past.vacuum(spark)
         delete_shared(spark, detected_at)

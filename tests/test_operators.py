@@ -4,11 +4,14 @@ import random
 from collections import defaultdict
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shopwake.functions import comments as M
 from shopwake.operators import changes as C, geo, gmv, joins as J, lexicon as X
 from shopwake.operators import metrics, moderation, ordered, sessions, shares, wide
+from shopwake.plans import jobs as plans
 
 LOG_SCHEMA = (
     "user_id string, ts bigint, log_id string, log_type string, order_id string, "
@@ -206,6 +209,29 @@ def test_a_head_that_many_words_share(spark):
     assert got == {i: inside(t) for i, t in texts}
 
 
+def test_places_without_a_word_are_no_rows(spark):
+    """The texts are tested where they lie: they are neither cut into rows nor shuffled."""
+    df = spark.createDataFrame([(i, "x" * 5_000 + "bad" * (i % 2)) for i in range(40)], "id int, comment string")
+    found = X.with_found(df, lexicon(spark, {"bad": "P0", "毒": "P1"}), "id").select("id", "found")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sequence" not in plan and "Exchange hashpartitioning(id" in plan
+    assert sum(len(r["found"]) for r in rows_of(found)) == 20
+    begun = X._starts(np.arange(1 << X.BYTE_SLOT_BITS) == int(X._byte_slot(np.uint64(int.from_bytes(b"bad", "little")))), [3], 3)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "_text": ["xxbad", "", "bébad" + "y" * (X.SPAN + 9) + "bad"]}).slice(1)
+    assert [r for b in begun(iter([batch])) for r in b.to_pylist()] == [{"id": 3, "rest": "bad"}] * 2
+
+
+def test_moderation_stages_no_texts(spark, monkeypatch):
+    """Only what was found is written and goes through the histories; the texts join once, at the end."""
+    written = []
+    monkeypatch.setattr(plans, "staged", lambda df, purpose: written.append(df.columns) or df)
+    schema = "comment_id bigint, order_id string, user_id string, product_id string, total_amount string, ds string, ts bigint, comment string"
+    df = spark.createDataFrame([(1, "o", "a", "p", "5", "20240101", 1, "a bad one"), (2, "o", "a", "p", None, "20240101", 2, " ")], schema)
+    (row,) = rows_of(plans.moderate(df, lexicon(spark, {"bad": "P0"})))
+    assert row["masked_comment"] == "a *** one" and row["order_id"] == "o" and row["sensitive_count"] == 1
+    assert len(written) == 1 and not {"comment", "masked_comment"} & set(written[0])
+
+
 def test_masks_follow_the_word_order(spark):
     words = {"badness": "P1", "bad": "P0", "meh": "P2"}
     df = spark.createDataFrame([(1, "badness is bad, meh")], "id int, comment string")
