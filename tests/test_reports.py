@@ -37,6 +37,12 @@ def test_report(spark, con, name):
         assert oracle.differences(df, con, report.sql) == ""
 
 
+def test_search_section_needs_no_comments(spark, con, tmp_path):
+    os.symlink(f"{SF_DIR}/events.parquet", tmp_path / "events.parquet")
+    report = REPORTS["a25_search_section"]
+    assert oracle.differences(report(spark, str(tmp_path)), con, report.sql) == ""
+
+
 def test_entry_and_registry(spark, con):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
