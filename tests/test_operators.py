@@ -232,6 +232,16 @@ def test_moderation_stages_no_texts(spark, monkeypatch):
     assert len(written) == 1 and not {"comment", "masked_comment"} & set(written[0])
 
 
+def test_a_timeline_carries_what_is_asked(spark):
+    comments, logs = traffic(3, n=30)
+    c = spark.createDataFrame(comments, "user_id string, ts bigint, comment_id bigint")
+    whole = J.timeline(c, spark.createDataFrame(logs, LOG_SCHEMA))
+    narrow = J.timeline(c, spark.createDataFrame(logs, LOG_SCHEMA), carried=["log_id"])
+    assert narrow.schema["log"].dataType.names == ["log_id"]
+    shown = [*J.AT, "log_no", "device_count", "log.log_id"]
+    assert sorted(map(str, narrow.select(shown).collect())) == sorted(map(str, whole.select(shown).collect()))
+
+
 def test_masks_follow_the_word_order(spark):
     words = {"badness": "P1", "bad": "P0", "meh": "P2"}
     df = spark.createDataFrame([(1, "badness is bad, meh")], "id int, comment string")
