@@ -235,6 +235,12 @@ def test_a_table_is_a_file_or_a_folder_of_parts(spark, tmp_path, parts):
     assert sorted(r[0] for r in taken.collect()) == list(range(30))
 
 
+def test_appended_rows_replace_nothing(spark, tmp_path):
+    folder = as_files([("a", 1), ("a", 1), (None, 2), (None, 3), ("b", 4)], ["id", "ts"], tmp_path / "in", 2, "id string, ts bigint")
+    rows = stored_table(spark, folder, "*.parquet", T._parse_datatype_string("id string, ts bigint"), 1)
+    assert jobs.run_to_end(rows, ["id"], mode="append").count() == 5
+
+
 def test_every_session_is_closed_at_the_end(spark, tmp_path):
     day = pd.Timestamp("2024-01-01")
     minutes = [(1, 0), (1, 30), (1, 61), (2, 500), (1, 500), (2, 510), (3, 505)]
