@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
-from ..plans import profiles
 from . import pairs as PR, profiles as R
 from .common import logs_with
 from .records import _USERS
@@ -81,7 +80,7 @@ CASE WHEN past THEN 'batch_daily' ELSE 'realtime' END AS update_type FROM fa""",
 )
 def q9_fields(t: Tables):
     """The sections of the current profile form, one column per field."""
-    p = profiles.current_profile(R._profile_rows(t), DAY)
+    p = R.current_profiles(t, DAY)
     base, login, money = "user_base_info", "login_activity", "financial_profile"
     search, likes, shop = "search_behavior", "category_preferences", "shopping_profile"
     plain = {
@@ -134,8 +133,7 @@ coalesce(list_aggregate(list_sort(orders), 'string_agg', ','), '') AS shopping_i
 )
 def q8_fields(t: Tables):
     """The sections of the first profile form, one column per field."""
-    texts = t.comments.select(F.col("doc_id").alias("comment_id"), "comment")
-    p = profiles.first_profile(R._profile_rows(t), texts, NOW)
+    p = R.first_profiles(t, NOW)
     info, s = "user_info.user_base_info", "statistics"
     remark = F.col(f"{s}.comment_analysis.all_comments")[0]
     lists = {

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from shopwake.functions import comments as M
@@ -380,6 +381,26 @@ def test_pairs_and_suppression_equal_a_walk(spark):
     assert shown(J.significant(pairs)) == sorted(reports)
 
 
+@pytest.mark.parametrize("seed, buffer", [(7, 5), (8, 1), (9, 50)])
+def test_reports_decided_per_arrival_equal_a_walk_over_all_pairs(spark, seed, buffer, monkeypatch):
+    """Only told pairs are made, and one user's arrivals at the same logs go to several tasks."""
+    monkeypatch.setattr(J, "ARRIVALS_PER_TASK", 3)
+    comments, logs = traffic(seed)
+    c = spark.createDataFrame(comments, "user_id string, ts bigint, comment_id int")
+    users = spark.createDataFrame([("hot",), ("u1",), ("nobody",)], "user_id string")
+    seen, known = J.of_commenters(c, spark.createDataFrame(logs, LOG_SCHEMA), users)
+    line = J.timeline(seen, known, carried=["log_id", "log_type"]).cache()
+    arrivals, with_pairs = J.reports(line, buffer, "log_id", "log_type")
+    listed = with_pairs(arrivals)
+    told = sorted(
+        (r["user_id"], r["at_ts"], r["at_tag"], r["at_id"], r["device_count"], r["comment_id"], r["log_no"], r["log"]["log_type"])
+        for r in J.pair_rows(listed).collect()
+    )
+    expected = [p for p in walk_reports(walk_pairs(comments, logs, buffer)) if p[0] in ("hot", "u1")]
+    assert told == sorted(expected)
+    assert all(0 < len(r["pairs"]) <= buffer for r in listed.select("pairs").collect())
+
+
 def test_interval_join_bounds(spark):
     comments = spark.createDataFrame([("o", 1_000_000, 1)], "order_id string, ts bigint, comment_id int")
     at = [1_000_000 + d for d in (-600_001, -600_000, 0, 300_000, 300_001)]
