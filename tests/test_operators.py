@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shopwake.functions import comments as M
 from shopwake.operators import changes as C, geo, gmv, joins as J, lexicon as X
 from shopwake.operators import metrics, moderation, ordered, sessions, shares, wide
-from shopwake.plans import jobs as plans
+from shopwake.plans import jobs as plans, profiles
 
 LOG_SCHEMA = (
     "user_id string, ts bigint, log_id string, log_type string, order_id string, "
@@ -401,6 +401,27 @@ def test_reports_decided_per_arrival_equal_a_walk_over_all_pairs(spark, seed, bu
     assert all(0 < len(r["pairs"]) <= buffer for r in listed.select("pairs").collect())
 
 
+def test_profile_json_put_together_of_pieces_equals_that_of_the_columns(spark):
+    """Nulls are left out, also where a whole piece or nested form is null."""
+    log = "struct<log_no: bigint, log: struct<kind: string, words: array<string>>>"
+    rows = spark.createDataFrame(
+        [("u", 1, 0, "c1", 'say "so", {ü}', [(1, ("a", ["x", ""])), (2, (None, None))]), ("v", 2, 0, "c2", None, [(3, (None, []))])],
+        f"user_id string, at_ts bigint, at_tag int, at_id string, remark string, pairs array<{log}>",
+    )
+    pair = profiles.PerPair
+    form = {
+        "remark": F.col("remark"),
+        "first": {"remark": F.col("remark"), "kind": pair(F.col("log.kind"))},
+        "kind": pair(F.col("log.kind")),
+        "both": pair(F.concat_ws("/", "said", "log.kind")),
+        "second": {"deep": {"words": pair(F.col("log.words")), "user": F.col("user_id")}, "plain": {"remark": F.col("remark")}},
+        "last": {"remark": F.col("remark")},
+    }
+    done = profiles._laid_out(rows, form, {"said": F.col("remark")})
+    got = done.withColumn("expected", F.to_json(F.struct(*form))).collect()
+    assert len(got) == 3 and [r["profile"] for r in got] == [r["expected"] for r in got]
+
+
 def test_interval_join_bounds(spark):
     comments = spark.createDataFrame([("o", 1_000_000, 1)], "order_id string, ts bigint, comment_id int")
     at = [1_000_000 + d for d in (-600_001, -600_000, 0, 300_000, 300_001)]
