@@ -79,8 +79,9 @@ def register_sql_functions(spark: SparkSession) -> None:
 
 
 def _accepted(text: Column) -> Column:
-    amount = F.regexp_replace(text, "[,， ]", "").try_cast("double")
-    return F.when(amount.between(*AMOUNT_RANGE), amount)
+    # As the element of an array a pattern is matched once, though its number is compared twice.
+    amount = F.array(F.regexp_replace(text, "[,， ]", "").try_cast("double"))
+    return F.get(F.filter(amount, lambda a: a.between(*AMOUNT_RANGE)), F.lit(0))
 
 
 def amount_in_text(comment: Column) -> Column:

@@ -104,7 +104,7 @@ def shopping_gender(comment: Column, female: str, male: str) -> Column:
 
 
 def order_ids(*ids: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*ids)))
+    return F.array_except(F.array(*ids), F.array(F.lit(None).cast("string")))
 
 
 def search_category(keyword: Column) -> Column:

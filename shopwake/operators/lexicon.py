@@ -99,23 +99,31 @@ def _sieve(rows: DataFrame, column: str):
 
 
 def _begins(heads):
-    """The number of bytes of a head that are tested, at most 8, and the slot of these bytes."""
+    """The number of bytes of a head that are tested, at most 8, and the slots of these bytes: one of all
+    of them, and behind these slots one of the first two, for a head of one byte with any second."""
     for batch in heads:
         encoded = [h.encode()[:8] for h in batch.column(0).to_pylist()]
         codes = np.array([int.from_bytes(h, "little") for h in encoded], "<u8")
         sizes = np.array([len(h) for h in encoded], "i4")
         slots = _byte_slot(codes).astype("i8")
-        yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(slots)], ["bytes", "slot"])
+        own, seconds = np.repeat(np.arange(len(sizes)), np.where(sizes == 1, 256, 1)), np.arange(256) << 8
+        first = [int(c) + seconds if n == 1 else [int(c) & 0xFFFF] for c, n in zip(codes, sizes)]
+        first = (1 << BYTE_SLOT_BITS) + np.concatenate([np.empty(0, "i8"), *first]).astype("i8")
+        sizes = np.concatenate([sizes, sizes[own]])
+        yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(np.concatenate([slots, first]))], ["bytes", "slot"])
 
 
 def _byte_slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BYTE_SLOT_BITS)
 
 
-def _starts(known: np.ndarray, sizes: list[int], longest: int):
+def _starts(known: np.ndarray, sizes: list[int], longest: int, first: np.ndarray | None = None):
     """(key, text) to (key, rest): the places of the texts at which a head may begin, each
-    with as many bytes as the longest word has. The bytes of many texts are tested at once."""
+    with as many bytes as the longest word has. The bytes of many texts are tested at once.
+    ``first`` tells for each two bytes whether a head begins so; the other places are not looked at again."""
     masks = [np.uint64((1 << 8 * n) - 1) for n in sizes]
+    if first is None:
+        first = np.ones(1 << 16, bool)
 
     def places(data: np.ndarray, low: int, high: int):
         for at in range(low, high, SPAN):
@@ -123,11 +131,12 @@ def _starts(known: np.ndarray, sizes: list[int], longest: int):
             block = np.zeros(own + 7, "u1")
             here = data[at : min(at + own + 7, high)]
             block[: len(here)] = here
-            codes = np.ndarray((own,), "<u8", block, 0, (1,))
-            hit = np.zeros(own, bool)
+            begun = np.flatnonzero(first.take(np.ndarray((own,), "<u2", block, 0, (1,))))
+            codes = np.ndarray((own,), "<u8", block, 0, (1,))[begun]
+            hit = np.zeros(len(begun), bool)
             for mask in masks:
                 hit |= known[_byte_slot(codes & mask)]
-            yield at + np.flatnonzero(hit)
+            yield at + begun[hit]
 
     def run(batches):
         for batch in batches:
@@ -161,7 +170,7 @@ def _offered(comments: DataFrame, lexicon: DataFrame, key: str, text: str) -> Da
     if not rows:
         return comments.limit(0).select(key, F.array().cast(FOUND).alias("_words"))
     most = heads.agg(F.max("bytes").alias("bytes"), F.collect_set(F.char_length("head")).alias("lengths")).first()
-    bits = np.zeros((1 << BYTE_SLOT_BITS) // 64, "<i8")
+    bits = np.zeros(((1 << BYTE_SLOT_BITS) + (1 << 16)) // 64, "<i8")
     for r in rows:
         bits[r["at"]] = r["bits"]
     known = np.unpackbits(bits.view("u1"), bitorder="little").view(bool)
@@ -169,7 +178,7 @@ def _offered(comments: DataFrame, lexicon: DataFrame, key: str, text: str) -> Da
     column = comments.schema[key]
     rest = F.col("rest")
     begun = comments.select(key, F.col(text).alias("_text")).filter(F.octet_length("_text") > 0).mapInArrow(
-        _starts(known, sizes, most["bytes"]), T.StructType([column, T.StructField("rest", T.StringType())])
+        _starts(known[: 1 << BYTE_SLOT_BITS], sizes, most["bytes"], known[1 << BYTE_SLOT_BITS :]), T.StructType([column, T.StructField("rest", T.StringType())])
     )
     begun = begun.select(key, "rest", F.explode(F.array(*(F.left(rest, F.lit(n)) for n in sorted(most["lengths"])))).alias("head"))
     pieces = begun.join(heads.select("head", "sizes"), "head").select(key, "rest", F.explode("sizes").alias("size"))

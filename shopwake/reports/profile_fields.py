@@ -102,7 +102,7 @@ def q9_fields(t: Tables):
         F.col("device_analysis.total_devices").cast("bigint").alias("total_devices"),
         _text(F.col(f"{search}.search_keywords")).alias("search_keywords"),
         _text(F.col(f"{likes}.browsed_categories")).alias("browsed_categories"),
-        F.nullif(_text(F.array_sort(f"{shop}.order_ids")), F.lit("")).alias("order_ids"),
+        F.nullif(_text(F.sort_array(f"{shop}.order_ids")), F.lit("")).alias("order_ids"),
         _text(F.col("risk_management.triggered_keywords")).alias("triggered_keywords"),
         F.round("behavior_insights.engagement_score", 6).alias("engagement_score"),
         _text(F.col("metadata.data_sources")).alias("data_sources"),
@@ -160,5 +160,5 @@ def q8_fields(t: Tables):
         f"{s}.order_analysis.total_order_amount", f"{s}.order_analysis.order_count",
         F.coalesce(F.size(f"{s}.environment_analysis.devices"), F.lit(0)).cast("bigint").alias("devices"),
         "consumption_level", F.col("shopping_gender.gender").alias("shopping_gender"),
-        _text(F.array_sort("shopping_gender.shopping_id")).alias("shopping_id"), "process_time", "data_timestamp",
+        _text(F.sort_array("shopping_gender.shopping_id")).alias("shopping_id"), "process_time", "data_timestamp",
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shopwake.functions import comments as M
+from shopwake.functions import comments as M, profiles as P
 from shopwake.operators import changes as C, geo, gmv, joins as J, lexicon as X
 from shopwake.operators import metrics, moderation, ordered, sessions, shares, wide
 from shopwake.plans import jobs as plans, profiles
@@ -422,6 +422,33 @@ def test_profile_json_put_together_of_pieces_equals_that_of_the_columns(spark):
     assert len(got) == 3 and [r["profile"] for r in got] == [r["expected"] for r in got]
 
 
+def test_a_profile_works_out_once_what_belongs_to_a_log_or_a_comment(spark):
+    """A pattern of an amount is matched once, lists and maps of a pair need no function of elements,
+    and places whose two bytes begin no word are not looked at again."""
+    texts = spark.createDataFrame([("花了99999999 价格 250.5 和 700",), ("7 元",), ("买了 120 块",), (None,)], "comment string")
+    offered = texts.select(M.amount_in_text(F.col("comment")).alias("amount"))
+    assert offered._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == len(M.AMOUNT_PATTERNS)
+    assert [r[0] for r in offered.collect()] == [250.5, None, 120.0, None]
+
+    ids = spark.createDataFrame([("b", "a"), ("a", "a"), (None, "a"), (None, None)], "x string, y string")
+    both = ids.select(P.order_ids(F.col("x"), F.col("y")).alias("ids"))
+    assert [r[0] for r in both.collect()] == [["b", "a"], ["a"], ["a"], []]
+    assert "lambda" not in both._jdf.queryExecution().analyzed().toString()
+
+    logs = spark.createDataFrame([("search", ["a", "b", "a"], 1704067200000), ("login", ["a"], 0), (None, None, None)], "log_type string, keywords array<string>, ts bigint")
+    facts = logs.select(*[c.alias(n) for n, c in profiles.first_per_log().items()]).collect()
+    assert [tuple(r) for r in facts] == [("2024-01-01 08:00:00", {"a": 2, "b": 1}), ("1970-01-01 08:00:00", {}), (None, {})]
+
+    heads = next(X._begins(iter([pa.RecordBatch.from_pydict({"head": ["bad", "x"]})])))
+    known = np.zeros((1 << X.BYTE_SLOT_BITS) + (1 << 16), bool)
+    known[heads.column("slot").to_numpy()] = True
+    first, every = known[1 << X.BYTE_SLOT_BITS :], np.ones(1 << X.BYTE_SLOT_BITS, bool)
+    assert first.sum() == 257
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "_text": ["a bad baobab", "éx"]})
+    met = [r for b in X._starts(every, [1, 3], 3, first)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["id"], r["rest"]) for r in met] == [(1, "bad"), (1, "bao"), (1, "bab"), (2, "x")]
+
+
 def test_interval_join_bounds(spark):
     comments = spark.createDataFrame([("o", 1_000_000, 1)], "order_id string, ts bigint, comment_id int")
     at = [1_000_000 + d for d in (-600_001, -600_000, 0, 300_000, 300_001)]
