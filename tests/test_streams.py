@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from shopwake.functions import logs as L
 from shopwake.functions.times import DAY_MS
-from shopwake.operators import metrics
+from shopwake.operators import joins, metrics
 from shopwake.plans import jobs as plans
 from shopwake.reports.tables import StreamTables
 from shopwake.sources.sinks import LineTable
@@ -241,6 +241,27 @@ def test_appended_rows_replace_nothing(spark, tmp_path):
     assert jobs.run_to_end(rows, ["id"], mode="append").count() == 5
 
 
+def test_interval_join_meets_near_rows_of_a_busy_order(spark, tmp_path):
+    start = 1_704_067_200_000
+    at = [start + i * 100_000 + j for i in range(30) for j in (-1, 0, 1)]
+    sides = {
+        "comments": ("comment_id bigint, ts bigint, order_id string", [(i, ts, "busy") for i, ts in enumerate(at)] + [(900, None, "busy"), (901, start, None)]),
+        "logs": ("log_id string, ts bigint, order_id string, ip string", [(f"l{i}", ts, "busy", "1") for i, ts in enumerate(at)] + [("x", start, "other", "2"), ("y", None, "busy", None)]),
+    }
+    streams, batches = [], []
+    for name, (schema, rows) in sides.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        streams.append(stored_table(spark, str(tmp_path / name), "*.parquet", T._parse_datatype_string(schema)))
+        batches.append(spark.createDataFrame(rows, schema))
+    shown = ["comment_id", "ts", "log_id", "log_ts", "ip"]
+    joined = jobs.interval_join(*streams)
+    # By the order alone, each row is compared with all rows of its order.
+    (meeting,) = [line for line in joined._jdf.queryExecution().analyzed().toString().splitlines() if "Join Inner" in line]
+    assert "order_id" in meeting and "slot" in meeting
+    told = jobs.run_to_end(joined.select(shown), ["comment_id", "log_id"], mode="append", count_state=False)
+    assert same(told, joins.interval_join(*batches).select(shown)) and told.count() > 1000
+
+
 def test_every_session_is_closed_at_the_end(spark, tmp_path):
     day = pd.Timestamp("2024-01-01")
     minutes = [(1, 0), (1, 30), (1, 61), (2, 500), (1, 500), (2, 510), (3, 505)]
