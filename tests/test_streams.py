@@ -78,6 +78,59 @@ def test_stateful_join_equals_a_walk(spark, tmp_path, files, **sizes):
     assert ours == sorted((*p[:5], *p[6:]) for p in want)
 
 
+@pytest.mark.parametrize("files, buckets, suppress", [(1, 1, True), (4, 1, True), (4, 7, False)])
+def test_users_share_state(spark, tmp_path, few_rows_a_batch, files, buckets, suppress):
+    """As the walk, with users of a bucket in batches, blocks and frames of a few rows, and many users with nothing but a row."""
+    comments, logs = traffic(17, n=200)
+    known = {"hot", "u0", "u1"}
+    rows = [(u, ts, profile.COMMENT, str(c), None, None, None, f'{{"comment_id":{c}}}') for u, ts, c in comments]
+    rows += [(r[0], r[1], profile.LOG, r[2], r[3], r[6], r[7], f'{{"log_id":"{r[2]}"}}') for r in logs]
+    rows += [(u, 5_000_000, profile.USER, u, None, None, None, f'{{"uname":"{u}"}}') for u in known]
+    rows += [(f"idle{i}", i, profile.USER, f"idle{i}", None, None, None, '{"uname":"ä"}') for i in range(40)]
+    path = as_files(rows, names(TAGGED), tmp_path / "in", files, TAGGED)
+    stream = stored_table(spark, path, "*.parquet", T._parse_datatype_string(TAGGED), 1)
+    jobs.prepare(spark)
+    joined = profile.listed_pairs(profile.arrivals(stream, buckets, buffer=5, block=3, frame=4, suppress=suppress))
+    told = jobs.run_to_end(joined, [], mode="append").collect()
+    ours = sorted((r["user_id"], r["at_ts"], r["at_tag"], r["at_id"], r["device_count"], r["log_no"], r["log_type"]) for r in told)
+    pairs = [p for p in walk_pairs(comments, logs, 5) if p[0] in known]
+    assert ours == sorted((*p[:5], *p[6:]) for p in (walk_reports(pairs) if suppress else pairs))
+    assert {r["user_info"] for r in told} <= {f'{{"uname":"{u}"}}' for u in known}
+
+
+class Counted:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+def test_state_calls_do_not_grow_with_the_users():
+    join = profile.SharedProfileJoin(suppress=False)
+    join.idle, join.known, join.held, join.batches = Counted(), Counted(), Cells(), Cells()
+    columns = ["user_id", "at_ts", "at_tag", "at_id", "log_type", "brand", "plat", "payload"]
+    for trigger in range(3):
+        rows = [(f"u{i}", 0, profile.USER, f"u{i}", None, None, None, "{}") for i in range(500)] if trigger == 0 else []
+        rows += [(f"u{i}", 10 * trigger + n, profile.LOG, f"l{n}", "view", "b", "p", '{"log_id":1}') for i in range(0, 500, 5) for n in range(4)]
+        rows += [("u0", 10 * trigger + 9, profile.COMMENT, "1", None, None, None, "{}")]
+        frame = pd.DataFrame(rows, columns=columns).astype({"brand": object, "log_type": object})
+        (told,) = list(join.handleInputRows((0,), iter([frame]), None))
+        assert len(told) == (1 if trigger == 0 else 5)
+    assert join.idle.calls + join.known.calls <= 3 * 6
+    assert not join.held and not join.batches
+
+
 class Clock:
     """State handles and a clock without a stream, to fire the timer by hand."""
 
