@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry_module
 import oracle
 from shopwake.reports import REPORTS
+from shopwake.session import compress_repeats
 
 SF_DIR = "/root/testdata/sf0.001"
 SOME = (
@@ -43,6 +44,21 @@ def test_search_section_needs_no_comments(spark, con, tmp_path):
     assert oracle.differences(report(spark, str(tmp_path)), con, report.sql) == ""
 
 
+def test_repeated_texts_take_little_room(spark, tmp_path):
+    """Profiles of a comment's pairs repeat its text, so their files see further back than snappy; a caller's codec stays."""
+    codec = "spark.sql.parquet.compression.codec"
+    assert spark.conf.get(codec, None) is None
+    try:
+        profiles = REPORTS["q8_profiles_first_form"](spark, SF_DIR)
+        profiles.write.parquet(str(tmp_path / "out"))
+        assert list((tmp_path / "out").glob("*.zstd.parquet")) and not list((tmp_path / "out").glob("*.snappy.parquet"))
+        spark.conf.set(codec, "gzip")
+        compress_repeats(spark)
+        assert spark.conf.get(codec) == "gzip"
+    finally:
+        spark.conf.unset(codec)
+
+
 def test_entry_and_registry(spark, con):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
